@@ -6,7 +6,7 @@ import importlib
 
 from workload import common
 
-_MODULES = ("text", "skills")
+_MODULES = ("text", "skills", "classify", "dedup", "profiles")
 
 
 def _load() -> None:

@@ -8,7 +8,7 @@ from roleweave.functions import text as T
 from roleweave.functions.arrays import sorted_distinct
 from roleweave.operators import skills as K
 from workload.common import (
-    ACRONYMS, ALIASES, CUES, DICTIONARY, NW, P_CTE, S, SINGLE_LETTERS, VOCAB_CTE, postings, query, sql_match, sql_norm, sql_occurs, table, vocabulary,
+    ACRONYMS, ALIASES, CUES, DICTIONARY, NW, P_CTE, S, SINGLE_LETTERS, VOCAB_CTE, postings, query, sql_match, sql_norm, sql_occurs, table, values, vocabulary,
 )
 
 _KNOWN = "known AS (SELECT DISTINCT term FROM skill WHERE dictionary OR approved)"
@@ -142,9 +142,7 @@ def e3(spark, sf):
 )
 def e3_join(spark, sf):
     surfaces = _surfaces(spark, K.scan_surfaces)
-    rows = spark.createDataFrame(
-        [(s, c) for s, cs in surfaces.items() for c in cs], "surface string, canonical string"
-    )
+    rows = spark.sql(values([(s, c) for s, cs in surfaces.items() for c in cs], "surface, canonical"))
     docs = table(spark, sf, "documents").select("doc_id", T.match_text(F.col("text")).alias("matching"))
     return K.scan_terms_by_join(docs, "doc_id", "matching", rows, longest=3)
 
