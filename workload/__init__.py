@@ -6,7 +6,7 @@ import importlib
 
 from workload import common
 
-_MODULES = ("text", "skills", "classify", "dedup", "profiles")
+_MODULES = ("text", "skills", "classify", "dedup", "profiles", "scoring")
 
 
 def _load() -> None:
