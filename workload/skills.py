@@ -206,12 +206,12 @@ def e4(spark, sf):
     )
 
 
-def sql_posting_skills(texts: str) -> str:
-    """CTE chain ending in ``gated(id, skill)`` for ``texts(id, raw, matching)``."""
-    return f"""{sql_scan(texts, 'scan')}, {sql_acronyms(texts, 'acr')}, {sql_letters(texts, 'letters')},
-      {sql_requirements(texts, 'req')},
-      every AS (SELECT * FROM scan UNION SELECT * FROM acr UNION SELECT * FROM letters UNION SELECT * FROM req),
-      {sql_gate('every', 'gated')}"""
+def sql_posting_skills(texts: str, p: str = "") -> str:
+    """CTE chain ending in ``gated(id, skill)`` for ``texts(id, raw, matching)``; ``p`` prefixes names."""
+    return f"""{sql_scan(texts, p + 'scan')}, {sql_acronyms(texts, p + 'acr')}, {sql_letters(texts, p + 'letters')},
+      {sql_requirements(texts, p + 'req')},
+      {p}every AS (SELECT * FROM {p}scan UNION SELECT * FROM {p}acr UNION SELECT * FROM {p}letters UNION SELECT * FROM {p}req),
+      {sql_gate(p + 'every', p + 'gated')}"""
 
 
 POSTING_TEXTS = f"""texts AS MATERIALIZED (SELECT posting_id AS id, raw, {sql_match('raw')} AS matching FROM
