@@ -6,7 +6,7 @@ import importlib
 
 from workload import common
 
-_MODULES = ("text", "skills", "classify", "dedup", "profiles", "scoring", "ranking")
+_MODULES = ("text", "skills", "classify", "dedup", "profiles", "scoring", "ranking", "web", "ingest")
 
 
 def _load() -> None:
