@@ -22,9 +22,16 @@ def with_computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
     The optimizer copies a projected expression into every filter and every field access above
     it; a generated one-element list is not copied.  Worth it for heavy text expressions only.
+    The outer form matters: for the plain one Spark adds a size filter that evaluates the list
+    a second time.
     """
     row = F.struct(*[c.alias(name) for name, c in columns.items()])
-    return df.select("*", F.inline(F.array(row)))
+    return df.select("*", F.inline_outer(F.array(row)))
+
+
+def explode_items(df: DataFrame, keep: list, items: Column, name: str) -> DataFrame:
+    """One row per list item; the list expression is evaluated once (see ``with_computed``)."""
+    return df.select(*keep, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
 
 
 def word_grams(tokens: Column, max_words: int) -> Column:

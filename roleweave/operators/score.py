@@ -160,6 +160,22 @@ def choose_text(postings: DataFrame, page_text: DataFrame) -> DataFrame:
     )
 
 
+def full_texts(postings: DataFrame, page_text: DataFrame) -> DataFrame:
+    """(posting_id, job_title, text) of the postings whose full page adds enough.
+
+    The snippet itself is not needed, so only its length is shuffled.
+    """
+    link = F.coalesce(F.col("job_link"), F.lit(""))
+    short = postings.where(link != "").select(
+        "posting_id", "job_title", "job_link", F.length(T.text_or_empty(F.col("job_description"))).alias("_n")
+    )
+    return (
+        short.join(page_text.select("job_link", "text"), "job_link")
+        .where(F.length("text") > F.col("_n") + FULL_TEXT_MARGIN)
+        .select("posting_id", "job_title", "text")
+    )
+
+
 def role_breakdown(
     scored: DataFrame, role: Column, weights: tuple, vocab: Vocabulary
 ) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roleweave.functions import text as T
-from roleweave.functions.arrays import gram_at, gram_starts, let, sorted_distinct, word_grams
+from roleweave.functions.arrays import explode_items, gram_at, gram_starts, let, sorted_distinct, word_grams
 from roleweave.operators.joins import broadcast_if_small
 from roleweave.vocabulary import Vocabulary, array_literal, map_literal
 
@@ -113,7 +113,7 @@ def canonicalize_rows(skills: DataFrame, vocab: Vocabulary, id_col: str, term_co
     shuffle and no list is gathered.
     """
     one = canonicalize(F.array(F.col(term_col)), vocab)
-    return skills.select(F.col(id_col), F.explode(one).alias("skill")).distinct()
+    return explode_items(skills, [id_col], one, "skill").distinct()
 
 
 # --- surface forms ---------------------------------------------------------------------------
@@ -319,9 +319,9 @@ def scan_terms_by_join(
         "canonical",
     )
     tokens = F.regexp_extract_all(text_col, F.lit(_TOKENS), F.lit(0))
-    grams = texts.select(
-        F.col(id_col), F.explode(_context_grams(tokens, longest)).alias("g")
-    ).select(id_col, "g.gram", "g.context")
+    grams = explode_items(texts, [id_col], _context_grams(tokens, longest), "g").select(
+        id_col, "g.gram", "g.context"
+    )
     hits = grams.join(broadcast_if_small(rows), F.col("gram") == F.col("core"))
     exact = (F.col("gram") == F.col("surface")) | F.rlike("context", F.col("pattern"))
     return hits.where(exact).select(id_col, F.col("canonical").alias("skill")).distinct()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from roleweave.functions import text as T
 from roleweave.functions.arrays import let, run_counts
-from roleweave.operators.joins import broadcast_if_small, unmatched_key
+from roleweave.operators.joins import unmatched_key
 
 # Fixed value: vocabulary size of the ranking model.
 MAX_FEATURES = 40_000
@@ -41,8 +41,8 @@ def term_counts(text: Column, stopwords, bigrams: bool = True) -> Column:
 
 
 def explode_terms(docs: DataFrame, id_col: str, counts_col: str = "terms") -> DataFrame:
-    """Long (id, term, tf) table; a projection, no shuffle."""
-    return docs.select(id_col, F.inline(counts_col))
+    """Long (id, term, tf) table; a projection, no shuffle.  A document without terms keeps a row."""
+    return docs.select(id_col, F.inline_outer(counts_col))
 
 
 def fit_vocabulary(
@@ -53,7 +53,8 @@ def fit_vocabulary(
     The document count includes documents without any term.
     """
     stats = (
-        docs.select(F.inline(counts_col))
+        docs.select(F.inline_outer(counts_col))
+        .where("term IS NOT NULL")
         .groupBy("term")
         .agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     )
@@ -64,15 +65,16 @@ def fit_vocabulary(
 
 
 def weigh(terms: DataFrame, vocabulary: DataFrame, id_col: str, capped: bool) -> DataFrame:
-    """(id, term, weight) with ``weight = tf * idf``; terms outside the vocabulary are dropped.
+    """(id, term, weight) with ``weight = tf * idf``, null for terms outside the vocabulary.
 
-    A capped vocabulary has at most its cap of rows and is broadcast.  An uncapped one is split:
-    the most frequent terms, a fixed number of them, are broadcast, and only the rest of the
-    pairs shuffle by term, so no frequent term gathers in one task.
+    Every input row stays, so later sums see every document.  A capped vocabulary has at most
+    its cap of rows and is broadcast.  An uncapped one is split: the most frequent terms, a fixed
+    number of them, are broadcast, and only the rest of the pairs shuffle by term, so no
+    frequent term gathers in one task.
     """
     weight = F.col("tf") * F.col("idf")
     if capped:
-        joined = terms.join(F.broadcast(vocabulary.select("term", "idf")), "term")
+        joined = terms.join(F.broadcast(vocabulary.select("term", "idf")), "term", "left")
         return joined.select(id_col, "term", weight.alias("weight"))
     hot = vocabulary.orderBy(F.col("df").desc(), F.col("term")).limit(HOT_TERMS)
     tagged = terms.join(
@@ -82,7 +84,6 @@ def weigh(terms: DataFrame, vocabulary: DataFrame, id_col: str, capped: bool) ->
     return (
         tagged.join(rest, "_key", "left")
         .withColumn("idf", F.coalesce("_hot", "_rest"))
-        .where("idf IS NOT NULL")
         .select(id_col, "term", weight.alias("weight"))
     )
 
@@ -108,18 +109,15 @@ def cosine_to_query(
     """
     vocabulary = fit_vocabulary(docs, max_features=max_features)
     q = query_weights(query.withColumn("_q", F.lit(0)), vocabulary, "_q").select("term", "qw")
-    terms = explode_terms(docs, doc_id)
-    weighted = weigh(terms, vocabulary, doc_id, capped=max_features is not None)
+    weighted = weigh(explode_terms(docs, doc_id), vocabulary, doc_id, capped=max_features is not None)
     # One query has no more terms than its own text.
     scored = weighted.join(F.broadcast(q), "term", "left")
     sums = scored.groupBy(doc_id).agg(
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),
-        F.sum(F.col("weight") * F.coalesce("qw", F.lit(0.0))).alias("dot"),
+        F.sum(F.col("weight") * F.col("qw")).alias("dot"),
     )
     similarity = F.coalesce(F.try_divide("dot", "norm"), F.lit(0.0))
-    return (
-        docs.select(doc_id).join(sums, doc_id, "left").select(doc_id, similarity.alias("similarity"))
-    )
+    return sums.select(doc_id, similarity.alias("similarity"))
 
 
 def cosine_pairs(
@@ -136,10 +134,10 @@ def cosine_pairs(
     terms = explode_terms(docs, doc_id)
     weighted = weigh(terms, vocabulary, doc_id, capped)
     norms = weighted.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    query_terms = broadcast_if_small(queries.select(F.explode(F.transform("terms", lambda t: t["term"])).alias("term")).distinct())
+    query_terms = explode_terms(queries, query_id).where("term IS NOT NULL").select("term").distinct()
     relevant = weigh(terms.join(query_terms, "term", "left_semi"), vocabulary, doc_id, capped)
     dots = (
-        relevant.join(broadcast_if_small(qvec), "term")
+        relevant.join(qvec, "term")
         .groupBy(query_id, doc_id)
         .agg(F.sum(F.col("weight") * F.col("qw")).alias("dot"))
     )

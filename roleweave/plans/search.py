@@ -157,7 +157,9 @@ def score_postings(features: DataFrame, similarity: DataFrame, profile: Row) ->
 def ranked(results: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
     """(posting_id, rank) in the chosen order; join the columns a page needs by id."""
     keys = results.select("posting_id", "arrival_seq", "final_score", "skill_score", "role_score", "job_title", "company")
-    return with_rank(keys, sort_keys(options.sort)).select("posting_id", "rank")
+    ensure_checkpoint_dir(results.sparkSession)
+    # Sorting samples its input first, so the scores are written once instead of made twice.
+    return with_rank(keys.checkpoint(), sort_keys(options.sort)).select("posting_id", "rank")
 
 
 def rescore(
@@ -170,18 +172,16 @@ def rescore(
 ) -> DataFrame:
     """Score again from full page texts where they add enough; the similarity stays as it was."""
     profile = one_profile(profiles)
-    texts = score.choose_text(
-        postings.select("posting_id", "job_link", "job_title", "job_description"), page_text
-    ).where("used_full_desc")
+    texts = score.full_texts(postings, page_text)
     fit = score.role_fit(
         F.lit(profile["role"]),
         F.col("job_title"),
-        classify.spaced_match(F.col("job_title"), F.col("scored_text")),
+        classify.spaced_match(F.col("job_title"), F.col("text")),
         vocab,
     )
     fresh = texts.select(
         "posting_id",
-        canonicalize(extractor.posting_skills(F.col("job_title"), F.col("scored_text")), vocab).alias("_skills"),
+        canonicalize(extractor.posting_skills(F.col("job_title"), F.col("text")), vocab).alias("_skills"),
         fit.alias("_fit"),
     )
     old_fit = F.struct(F.col("role_score").alias("score"), F.col("role_hits").alias("hits"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roleweave.functions import text as T
-from roleweave.functions.arrays import sorted_distinct
+from roleweave.functions.arrays import explode_items, sorted_distinct
 from roleweave.operators import skills as K
 from workload.common import (
     ACRONYMS, ALIASES, CUES, DICTIONARY, NW, P_CTE, S, SINGLE_LETTERS, VOCAB_CTE, postings, query, sql_match, sql_norm, sql_occurs, table, values, vocabulary,
@@ -252,7 +252,7 @@ _WORDS = f"words AS (SELECT DISTINCT unnest(string_split(lower({sql_norm('text')
 
 def _words(spark, sf):
     words = F.array_distinct(F.split(F.lower(T.normalize(F.col("text"))), " "))
-    return table(spark, sf, "documents").select(F.explode(words).alias("word")).distinct()
+    return explode_items(table(spark, sf, "documents"), [], words, "word").distinct()
 
 
 @query("e7_valid_skill", f"{_BASE}, {_WORDS} SELECT word, {sql_valid('word')} AS valid FROM words")
@@ -267,9 +267,7 @@ def e7(spark, sf):
 )
 def e8(spark, sf):
     matcher = K.TokenMatcher(_surfaces(spark, K.token_surfaces))
-    return _words(spark, sf).select(
-        "word", F.explode(matcher.in_tokens(F.array("word"))).alias("skill")
-    )
+    return explode_items(_words(spark, sf), ["word"], matcher.in_tokens(F.array("word")), "skill")
 
 
 @query(
@@ -336,8 +334,8 @@ def e11(spark, sf):
       SELECT id AS doc_id, count(*) AS n_skills FROM named WHERE {sql_valid('skill')} GROUP BY id""",
 )
 def e11_rows(spark, sf):
-    words = F.explode(F.array_distinct(F.split(F.lower(T.normalize(F.col("text"))), " ")))
-    long = table(spark, sf, "documents").select("doc_id", words.alias("word"))
+    words = F.array_distinct(F.split(F.lower(T.normalize(F.col("text"))), " "))
+    long = explode_items(table(spark, sf, "documents"), ["doc_id"], words, "word")
     return (
         K.canonicalize_rows(long, vocabulary(spark), "doc_id", "word")
         .groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_skills"))
@@ -358,9 +356,10 @@ def _quality_inputs(spark, sf):
     words = F.array_intersect(
         F.split(F.lower(T.normalize(F.col("job_description"))), " "), K.array_literal(vocab.known)
     )
-    expected = p.select(F.col("posting_id").alias("name"), F.explode(words).alias("skill"))
+    name = F.col("posting_id").alias("name")
+    expected = explode_items(p, [name], words, "skill")
     found = _extractor(spark).posting_skills(F.col("job_title"), F.col("job_description"))
-    extracted = p.select(F.col("posting_id").alias("name"), F.explode(found).alias("skill"))
+    extracted = explode_items(p, [name], found, "skill")
     return expected, extracted
 
 
