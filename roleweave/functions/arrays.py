@@ -34,8 +34,8 @@ def explode_items(df: DataFrame, keep: list, items: Column, name: str) -> DataFr
     return df.select(*keep, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
 
 
-def word_grams(tokens: Column, max_words: int) -> Column:
-    """All 1..max_words-word substrings of a tokenized text, separators kept verbatim.
+def word_grams(tokens: Column, max_words: int, first_words: list[str]) -> Column:
+    """Words, and grams of 2..max_words words that start with one of ``first_words``.
 
     ``tokens`` alternates word and separator runs.  Because separators stay in the gram, a
     plain equality test on a gram is an exact bounded match of a term that starts and ends
@@ -43,10 +43,19 @@ def word_grams(tokens: Column, max_words: int) -> Column:
     """
 
     def of_tokens(tok: Column) -> Column:
-        def of_length(words: int) -> Column:
-            return F.transform(gram_starts(tok, words), lambda i: gram_at(tok, i, words))
+        words = F.transform(gram_starts(tok, 1), lambda i: gram_at(tok, i, 1))
+        if max_words < 2:
+            return words
+        starts = F.filter(gram_starts(tok, 2), lambda i: F.get(tok, i - 1).isin(first_words))
 
-        return F.concat(*[of_length(k) for k in range(1, max_words + 1)])
+        def longer(first: Column) -> Column:
+            # A gram that runs past the end is null; it matches nothing.
+            return F.concat(*[of_length(first, k) for k in range(2, max_words + 1)])
+
+        def of_length(first: Column, k: int) -> Column:
+            return F.transform(first, lambda i: gram_at(tok, i, k))
+
+        return F.concat(words, let(starts, longer))
 
     return let(tokens, of_tokens)
 

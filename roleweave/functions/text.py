@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]"
 NON_WORD = r"[^\p{L}\p{N}_]"
-BLANK = r"[\t-\r\x1c-\x20\x85\p{Z}]"
-NON_BLANK = r"[^\t-\r\x1c-\x20\x85\p{Z}]"
+# Latin-1 members one by one: Java tests those with a bit set, ranges one after the other.
+_BLANKS = (
+    r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+BLANK = f"[{_BLANKS}]"
+NON_BLANK = f"[^{_BLANKS}]"
 LINE_BREAK = r"\r\n|[\n-\r\x1c-\x1e\x85\x{2028}\x{2029}]"
 LEFT_EDGE = rf"(?<!{WORD})"
 RIGHT_EDGE = rf"(?!{WORD})"
@@ -31,10 +35,14 @@ def normalize(col: Column) -> Column:
 
 def match_text(col: Column) -> Column:
     """Lowered text for matching: ``&`` and ``/`` spelled out, brackets, bars and colons dropped."""
-    lowered = F.lower(normalize(col))
+    lowered = F.lower(text_or_empty(col))
     spelled = F.replace(F.replace(lowered, F.lit("&"), F.lit(" and ")), F.lit("/"), F.lit(" / "))
-    opened = F.regexp_replace(spelled, r"[|()\[\]{}:]", " ")
-    return F.trim(F.regexp_replace(opened, rf"{BLANK}+", " "))
+    return F.trim(F.regexp_replace(spelled, rf"[{_BLANKS}|()\[\]{{}}:]+", " "))
+
+
+def join_match(*matching: Column) -> Column:
+    """Matching text of several fields from their own matching texts; empty ones add nothing."""
+    return F.concat_ws(" ", *[blank_to_null(m) for m in matching])
 
 
 def key_text(col: Column) -> Column:

@@ -87,32 +87,38 @@ def employment_type(matching: Column, contract_type: Column, contract_time: Colu
 
 def spaced_match(*cols: Column) -> Column:
     """Matching text of several fields joined by one space."""
-    return T.match_text(T.join_fields(" ", *cols))
+    return T.join_match(*[T.match_text(c) for c in cols])
 
 
-def add_classes(postings: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """Add work mode, industry, level and employment type; each text is prepared once."""
-    job_type = F.col("job_type") if "job_type" in postings.columns else F.lit("")
-    prepared = with_computed(
+def with_matching(postings: DataFrame) -> DataFrame:
+    """Add ``match_title``, ``match_desc`` and their joint ``matching`` text, made once per row."""
+    return with_computed(
         postings,
         {
-            "_match": spaced_match(F.col("job_title"), F.col("job_description")),
-            "_mode": spaced_match(job_type, F.col("job_description"), F.col("job_title")),
-            "_type": spaced_match(
-                F.col("contract_type"), F.col("contract_time"), F.col("job_title"), F.col("job_description")
-            ),
+            "match_title": T.match_text(F.col("job_title")),
+            "match_desc": T.match_text(F.col("job_description")),
         },
-    )
+    ).withColumn("matching", T.join_match(F.col("match_title"), F.col("match_desc")))
+
+
+MATCHING_COLUMNS = ("match_title", "match_desc", "matching")
+
+
+def add_classes(prepared: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Add work mode, industry, level and employment type to postings ``with_matching``."""
+    title, description, matching = (F.col(c) for c in MATCHING_COLUMNS)
+    job_type = T.match_text(F.col("job_type")) if "job_type" in prepared.columns else F.lit("")
+    contract = [T.match_text(F.col(c)) for c in ("contract_type", "contract_time")]
     return prepared.withColumns(
         {
-            "work_mode": work_mode(F.col("_mode")),
-            "industry": industry(F.col("_match"), vocab),
-            "job_level_norm": career_level(F.col("_match")),
+            "work_mode": work_mode(T.join_match(job_type, description, title)),
+            "industry": industry(matching, vocab),
+            "job_level_norm": career_level(matching),
             "employment_type_norm": employment_type(
-                F.col("_type"), F.col("contract_type"), F.col("contract_time")
+                T.join_match(*contract, matching), F.col("contract_type"), F.col("contract_time")
             ),
         }
-    ).drop("_match", "_mode", "_type")
+    )
 
 
 def in_country(country: Column, pattern: str = HOME_COUNTRY) -> Column:

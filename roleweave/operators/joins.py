@@ -30,10 +30,12 @@ def unmatched_key(key: Column, matches: Column, row_id: Column) -> Column:
 def spread(scan: DataFrame) -> DataFrame:
     """Spread a small scan over all cores; a scan with enough splits is returned as it is.
 
-    A small file is one row group, hence one task, however heavy the row-local work on it.  The
-    split count is known at plan time, so at scale this adds no shuffle.
+    A small file is often one row group, hence one task, however many byte ranges Spark cuts it
+    into and however heavy the row-local work on it.  Files and splits are known at plan time, so
+    at scale this adds no shuffle.
     """
-    spark = scan.sparkSession
-    cores = spark.sparkContext.defaultParallelism
+    cores = scan.sparkSession.sparkContext.defaultParallelism
     splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
-    return scan.repartition(cores) if splits < cores else scan
+    if splits >= 4 * cores or min(splits, len(scan._jdf.inputFiles())) >= cores:
+        return scan
+    return scan.repartition(cores)

@@ -88,10 +88,10 @@ def role_key(role: Column) -> Column:
     return F.lower(T.strip_blank(T.text_or_empty(role)))
 
 
-def role_fit(role: Column, title: Column, matching: Column, vocab: Vocabulary) -> Column:
+def role_fit(role: Column, match_title: Column, matching: Column, vocab: Vocabulary) -> Column:
     """Share of role keywords inside the text, plus a bonus if the title names the role.
 
-    An unknown role is scored by its own words of three or more letters.
+    Title and text are matching texts.  An unknown role is scored by its own words of three or more letters.
     """
     key = role_key(role)
     words = F.filter(F.split(key, rf"{T.BLANK}+"), lambda w: F.length(w) >= MIN_ROLE_WORD_CHARS)
@@ -99,7 +99,7 @@ def role_fit(role: Column, title: Column, matching: Column, vocab: Vocabulary) -
     hits = F.filter(F.coalesce(keywords, words), lambda k: F.contains(matching, k))
     share = _share(F.size(hits), F.size(F.coalesce(keywords, words)))
     bonus = F.when(
-        keywords.isNotNull() & (key != "") & F.contains(T.match_text(title), key), ROLE_TITLE_BONUS
+        keywords.isNotNull() & (key != "") & F.contains(match_title, key), ROLE_TITLE_BONUS
     ).otherwise(0.0)
     return F.struct(F.least(share + bonus, F.lit(1.0)).alias("score"), hits.alias("hits"))
 

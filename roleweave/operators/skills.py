@@ -20,14 +20,14 @@ from roleweave.vocabulary import Vocabulary, array_literal, map_literal
 
 # Cue phrases that introduce a list of requirements; group 1 is the list text.
 REQUIREMENT_CUES = (
-    r"(?i)(?:experience with|proficiency in|proficient in|knowledge of|expertise in|skilled in|"
+    r"(?:experience with|proficiency in|proficient in|knowledge of|expertise in|skilled in|"
     r"hands[- ]on experience with|experience using|working knowledge of|familiarity with|"
     r"familiar with)\s+([a-zA-Z0-9+#/\-\s,]{3,300})",
-    r"(?i)(?:required skills?|preferred skills?|technical skills?|core skills?|key skills?)"
+    r"(?:required skills?|preferred skills?|technical skills?|core skills?|key skills?)"
     r"[:\s]+([a-zA-Z0-9+#/\-\s,]{3,350})",
-    r"(?i)(?:must have|should have|nice to have)\s+([a-zA-Z0-9+#/\-\s,]{3,250})",
-    r"(?i)(?:tools?|technologies?|stack|platforms?)[:\s]+([a-zA-Z0-9+#/\-\s,]{3,250})",
-    r"(?i)(?:using|use of|build using|reports using|develop and maintain|maintain)"
+    r"(?:must have|should have|nice to have)\s+([a-zA-Z0-9+#/\-\s,]{3,250})",
+    r"(?:tools?|technologies?|stack|platforms?)[:\s]+([a-zA-Z0-9+#/\-\s,]{3,250})",
+    r"(?:using|use of|build using|reports using|develop and maintain|maintain)"
     r"\s+([a-zA-Z0-9+#/\-\s,]{3,250})",
 )
 # Words that mark a citizenship or clearance demand, never a skill.
@@ -186,17 +186,25 @@ class TextMatcher:
     def __init__(self, surfaces: Surfaces):
         plain = {s: c for s, c in surfaces.items() if _WORD_EDGED.fullmatch(s)}
         self._tokens = TokenMatcher(plain)
+        words = [re.findall(r"\w+", s) for s in plain]
+        self._longest = max([len(w) for w in words], default=1)
+        self._first_words = sorted({w[0] for w in words if len(w) > 1})
         # Terms that start or end with punctuation are few; each is one literal pattern.
-        self._odd = [(bounded_pattern(s), c) for s, c in surfaces.items() if s not in plain]
-        self._longest = max([len(re.findall(r"\w+", s)) for s in plain], default=1)
+        self._odd = {s: c for s, c in surfaces.items() if s not in plain}
 
     def in_text(self, text: Column) -> Column:
-        grams = word_grams(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), self._longest)
-        odd = [
-            F.when(text.rlike(pattern), array_literal(c)).otherwise(_empty())
-            for pattern, c in self._odd
-        ]
-        return F.concat(self._tokens.in_tokens(grams), *odd)
+        tokens = F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0))
+        grams = word_grams(tokens, self._longest, self._first_words)
+        return F.concat(self._tokens.in_tokens(grams), literal_hits(text, self._odd))
+
+
+def literal_hits(text: Column, surfaces: Surfaces) -> Column:
+    """One literal pattern per surface form, tried only where the form occurs at all."""
+    hits = [
+        F.when(F.contains(text, F.lit(s)) & text.rlike(bounded_pattern(s)), array_literal(c)).otherwise(_empty())
+        for s, c in surfaces.items()
+    ]
+    return F.concat(*hits) if hits else _empty()
 
 
 def bounded_pattern(term: str) -> str:
@@ -213,34 +221,38 @@ def quoted(term: str) -> str:
 
 def single_letter_hits(matching_text: Column, surfaces: Surfaces) -> Column:
     """One-letter skills between list separators, at text edges or at chunk edges."""
-    if not surfaces:
-        return _empty()
-    chunks = F.filter(
-        F.transform(F.split(matching_text, CHUNK_BREAK), F.trim),
-        lambda c: F.length(c) >= MIN_CHUNK_CHARS,
-    )
 
-    def in_piece(p: Column) -> Column:
-        return F.concat(
-            *[
-                F.when(p.rlike(LETTER_LEFT + quoted(s) + LETTER_RIGHT), array_literal(c)).otherwise(_empty())
-                for s, c in surfaces.items()
-            ]
+    def hit(letter: str) -> Column:
+        strict = LETTER_LEFT + quoted(letter) + LETTER_RIGHT
+        # Only a letter next to a chunk break can be a hit in a chunk and not in the text.
+        near_break = f"{CHUNK_BREAK} *{quoted(letter)}|{quoted(letter)} *{CHUNK_BREAK}"
+        chunks = F.filter(
+            F.transform(F.split(matching_text, CHUNK_BREAK), F.trim),
+            lambda c: F.length(c) >= MIN_CHUNK_CHARS,
+        )
+        return matching_text.rlike(strict) | (
+            matching_text.rlike(near_break) & F.exists(chunks, lambda c: c.rlike(strict))
         )
 
-    return F.flatten(F.transform(F.concat(F.array(matching_text), chunks), in_piece))
+    hits = [F.when(hit(s), array_literal(c)).otherwise(_empty()) for s, c in surfaces.items()]
+    return F.concat(*hits) if hits else _empty()
 
 
 def _trim_list_token(token: Column) -> Column:
     return F.lower(F.regexp_replace(token, r"^[ .:\-]+|[ .:\-]+$", ""))
 
 
-def requirement_tokens(text: Column, cues=REQUIREMENT_CUES) -> Column:
-    """Tokens of the lists that follow a requirement cue."""
-    body = T.match_text(F.regexp_replace(text, r"\([^\n]*?\)", " "))
-    lists = F.concat(*[F.regexp_extract_all(body, F.lit(cue), F.lit(1)) for cue in cues])
-    parts = F.flatten(F.transform(lists, lambda m: F.split(m, r"(?i),|;|/|\band\b|\bor\b")))
-    return F.filter(F.transform(parts, _trim_list_token), lambda p: p != "")
+def requirement_tokens(text: Column, matching_text: Column, cues=REQUIREMENT_CUES) -> Column:
+    """Tokens of the lists that follow a requirement cue, parenthesized notes removed."""
+    bare = T.match_text(F.regexp_replace(text, r"\([^\n]*?\)", " "))
+    body = F.when(F.contains(text, F.lit("(")), bare).otherwise(matching_text)
+
+    def of_body(b: Column) -> Column:
+        lists = F.concat(*[F.regexp_extract_all(b, F.lit(cue), F.lit(1)) for cue in cues])
+        parts = F.flatten(F.transform(lists, lambda m: F.split(m, r",|;|/|\band\b|\bor\b")))
+        return F.filter(F.transform(parts, _trim_list_token), lambda p: p != "")
+
+    return let(body, of_body)
 
 
 def colon_tokens(text: Column, vocab: Vocabulary) -> Column:
@@ -266,38 +278,56 @@ class SkillExtractor:
     def __init__(self, spark: SparkSession, vocab: Vocabulary, cues=REQUIREMENT_CUES):
         self._vocab, self._cues = vocab, cues
         passing = valid_known_terms(spark, vocab)
-        self._scan = TextMatcher(scan_surfaces(vocab, passing))
-        self._acronyms = TextMatcher(acronym_surfaces(vocab, passing))
+        acronyms = acronym_surfaces(vocab, passing)
+        # A one-word acronym is in the raw text if and only if it is in the matching text, but
+        # for the word that replaces "&" there.
+        words = {a: c for a, c in acronyms.items() if re.fullmatch(r"\w+", a) and a != "and"}
+        self._raw_acronyms = {a: c for a, c in acronyms.items() if a not in words}
+        scan = scan_surfaces(vocab, passing)
+        merged = {s: sorted({*scan.get(s, ()), *words.get(s, ())}) for s in sorted({*scan, *words})}
+        self._scan = TextMatcher(merged)
         self._tokens = TokenMatcher(token_surfaces(vocab, passing))
         self._letters = letter_surfaces(vocab, passing)
 
-    def dictionary_hits(self, text: Column) -> Column:
+    def dictionary_hits(self, text: Column, matching_text: Column) -> Column:
         """Dictionary, alias, acronym and one-letter hits of a text, not yet sorted."""
-        matching = T.match_text(text)
+        raw = literal_hits(F.lower(text), self._raw_acronyms) if self._raw_acronyms else _empty()
         return F.concat(
-            self._scan.in_text(matching),
-            self._acronyms.in_text(F.lower(text)),
-            single_letter_hits(matching, self._letters),
+            self._scan.in_text(matching_text), raw, single_letter_hits(matching_text, self._letters)
         )
 
-    def requirement_hits(self, text: Column) -> Column:
-        return self._tokens.in_tokens(requirement_tokens(text, self._cues))
+    def requirement_hits(self, text: Column, matching_text: Column) -> Column:
+        return self._tokens.in_tokens(requirement_tokens(text, matching_text, self._cues))
 
     def colon_hits(self, text: Column) -> Column:
         return self._tokens.in_tokens(colon_tokens(text, self._vocab))
 
-    def posting_skills(self, title: Column, text: Column) -> Column:
+    def posting_skills(self, title: Column, text: Column, matching_text: Column | None = None) -> Column:
+        """Skills of a posting; ``matching_text`` of title and text may be given if at hand."""
         full = F.concat(T.text_or_empty(title), F.lit("\n"), T.text_or_empty(text))
-        found = F.concat(self.dictionary_hits(full), self.requirement_hits(full))
-        return F.when(T.normalize(text) == "", _empty()).otherwise(sorted_distinct(found))
+
+        def of_matching(m: Column) -> Column:
+            return sorted_distinct(
+                F.concat(self.dictionary_hits(full, m), self.requirement_hits(full, m))
+            )
+
+        matching = T.match_text(full) if matching_text is None else matching_text
+        blank = ~T.text_or_empty(text).rlike(T.NON_BLANK)
+        return F.when(blank, _empty()).otherwise(let(matching, of_matching))
 
     def resume_skills(self, text: Column) -> Column:
         source = F.regexp_replace(T.text_or_empty(text), rf"https?://{T.NON_BLANK}+", " ")
         source = F.regexp_replace(source, rf"www\.{T.NON_BLANK}+", " ")
-        found = F.concat(
-            self.dictionary_hits(source), self.colon_hits(source), self.requirement_hits(source)
-        )
-        return F.when(T.normalize(text) == "", _empty()).otherwise(sorted_distinct(found))
+
+        def of_source(s: Column) -> Column:
+            return let(
+                T.match_text(s),
+                lambda m: sorted_distinct(
+                    F.concat(self.dictionary_hits(s, m), self.colon_hits(s), self.requirement_hits(s, m))
+                ),
+            )
+
+        return F.when(T.normalize(text) == "", _empty()).otherwise(let(source, of_source))
 
 
 # --- dictionaries beyond the inline bound ---------------------------------------------------

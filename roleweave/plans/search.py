@@ -41,7 +41,7 @@ def one_profile(profiles: DataFrame) -> Row:
 
 
 def flagged(postings: DataFrame, vocab: Vocabulary, options: SearchOptions) -> DataFrame:
-    """Deduplicated postings with their classes and the flags of both filters."""
+    """Deduplicated postings with matching texts, classes and the flags of both filters."""
     direct = classify.direct_employer(
         F.col("job_link"), F.col("job_description"), F.col("job_title"), vocab
     )
@@ -51,7 +51,8 @@ def flagged(postings: DataFrame, vocab: Vocabulary, options: SearchOptions) -> D
     for name, value in options.facets.items():
         if value != "All":
             in_scope = in_scope & (F.col(name) == value)
-    return classify.add_classes(deduplicate_postings(postings), vocab).withColumns(
+    prepared = classify.with_matching(deduplicate_postings(postings))
+    return classify.add_classes(prepared, vocab).withColumns(
         {
             "is_clean": direct if options.direct_only else F.lit(True),
             "in_scope": in_scope,
@@ -68,18 +69,14 @@ def funnel_counts(rows: DataFrame) -> dict[str, F.Column]:
 def posting_features(
     postings: DataFrame, extractor: SkillExtractor, vocab: Vocabulary, role: str
 ) -> DataFrame:
-    """Per posting: canonical skills, role fit and term counts; the texts end here.
+    """Per posting ``with_matching``: canonical skills, role fit and term counts.
 
-    A skill list that came with the posting is used; an empty one is extracted from the text.
+    The texts end here.  A skill list that came with the posting is used; an empty one is extracted from the text.
     """
     given = F.col("job_skills_list") if "job_skills_list" in postings.columns else F.lit(None).cast("array<string>")
-    found = extractor.posting_skills(F.col("job_title"), F.col("job_description"))
+    found = extractor.posting_skills(F.col("job_title"), F.col("job_description"), F.col("matching"))
     listed = with_computed(
-        postings,
-        {
-            "_skills": F.when(F.size(given) > 0, given).otherwise(found),
-            "_match": classify.spaced_match(F.col("job_title"), F.col("job_description")),
-        },
+        postings, {"_skills": F.when(F.size(given) > 0, given).otherwise(found)}
     ).withColumn("job_skills", T.join_list(F.col("_skills")))
     job_text = T.posting_text(
         *[F.col(c) for c in ("job_title", "job_description", "job_skills", "company", "job_location")]
@@ -88,11 +85,11 @@ def posting_features(
         listed,
         {
             "expanded_job_skills": canonicalize(F.col("_skills"), vocab),
-            "_role": score.role_fit(F.lit(role), F.col("job_title"), F.col("_match"), vocab),
+            "_role": score.role_fit(F.lit(role), F.col("match_title"), F.col("matching"), vocab),
             "terms": term_counts(job_text, vocab.stopwords),
         },
     )
-    return features.drop("job_description", "_match", "_skills", "job_skills_list")
+    return features.drop("job_description", "_skills", "job_skills_list", *classify.MATCHING_COLUMNS)
 
 
 def search(
@@ -175,7 +172,7 @@ def rescore(
     texts = score.full_texts(postings, page_text)
     fit = score.role_fit(
         F.lit(profile["role"]),
-        F.col("job_title"),
+        T.match_text(F.col("job_title")),
         classify.spaced_match(F.col("job_title"), F.col("text")),
         vocab,
     )

@@ -18,8 +18,6 @@ def local_session(name: str = "roleweave", cpus: int | None = None) -> SparkSess
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.files.maxPartitionBytes", "4m")
-        .config("spark.sql.files.openCostInBytes", "262144")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )

@@ -82,14 +82,14 @@ def c4(spark, sf):
     {SQL_LEVEL} AS job_level_norm, {SQL_TYPE} AS employment_type_norm FROM blobs""",
 )
 def classes(spark, sf):
-    return C.add_classes(postings(spark, sf), vocabulary(spark)).select(
+    return C.add_classes(C.with_matching(postings(spark, sf)), vocabulary(spark)).select(
         "posting_id", "industry", "work_mode", "job_level_norm", "employment_type_norm"
     )
 
 
 @query("c5_employment_type", f"WITH {P_CTE}, {_BLOB} SELECT employment_type_norm, count(*) AS n FROM (SELECT {SQL_TYPE} AS employment_type_norm FROM blobs) GROUP BY 1")
 def c5(spark, sf):
-    return M.value_counts(C.add_classes(postings(spark, sf), vocabulary(spark)), "employment_type_norm")
+    return M.value_counts(C.add_classes(C.with_matching(postings(spark, sf)), vocabulary(spark)), "employment_type_norm")
 
 
 @query(
@@ -105,7 +105,7 @@ def c6(spark, sf):
     f"WITH {P_CTE}, {_BLOB} SELECT posting_id, job_title FROM blobs WHERE {SQL_TYPE} = 'Contract' AND {SQL_INDUSTRY} = 'Latin'",
 )
 def c7(spark, sf):
-    classed = C.add_classes(postings(spark, sf), vocabulary(spark))
+    classed = C.add_classes(C.with_matching(postings(spark, sf)), vocabulary(spark))
     facets = {"employment_type_norm": "Contract", "industry": "Latin", "work_mode": "All"}
     return C.facet_filter(classed, facets).select("posting_id", "job_title")
 

@@ -181,7 +181,7 @@ def sql_hits(words) -> str:
 )
 def r5(spark, sf):
     p = postings(spark, sf).withColumn("m", spaced_match(F.col("job_title"), F.col("job_description")))
-    fit = R.role_fit(_role(), F.col("job_title"), F.col("m"), vocabulary(spark))
+    fit = R.role_fit(_role(), T.match_text(F.col("job_title")), F.col("m"), vocabulary(spark))
     return p.withColumn("f", fit).select(
         "posting_id", T.join_list(F.col("f.hits"), "|").alias("hits"), F.round("f.score", 6).alias("score")
     )

@@ -175,7 +175,7 @@ def e6(spark, sf):
 )
 def e5(spark, sf):
     return table(spark, sf, "documents").select(
-        "doc_id", _joined(_extractor(spark).requirement_hits(F.col("text"))).alias("skills")
+        "doc_id", _joined(_extractor(spark).requirement_hits(F.col("text"), T.match_text(F.col("text")))).alias("skills")
     )
 
 
