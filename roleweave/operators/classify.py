@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roleweave.functions import text as T
-from roleweave.functions.arrays import with_computed
+from roleweave.functions.arrays import let, with_computed
 from roleweave.vocabulary import KeywordSet, Vocabulary, array_literal
 
 # Words that decide the work mode, career level and employment type.
@@ -42,46 +42,52 @@ def direct_employer(link: Column, description: Column, title: Column, vocab: Voc
     href, head, body = (F.lower(T.normalize(c)) for c in (link, title, description))
     rules = {k: vocab.quality.get(k, ()) for k in ("domain", "text", "title")}
     return (
-        (href != "")
-        & ~contains_any(T.link_authority(href), rules["domain"])
-        & ~contains_any(head, rules["title"])
-        & ~contains_any(F.concat(head, F.lit(" "), body), rules["text"])
+        let(href, lambda h: (h != "") & ~let(T.link_authority(h), lambda d: contains_any(d, rules["domain"])))
+        & ~let(head, lambda h: contains_any(h, rules["title"]))
+        & ~let(F.concat(head, F.lit(" "), body), lambda t: contains_any(t, rules["text"]))
     )
 
 
 def industry(matching: Column, vocab: Vocabulary) -> Column:
     """First industry, in rule order, with a keyword inside the text."""
-    result = F.when(F.lit(False), "")
-    for label, keywords in vocab.industries:
-        result = result.when(contains_any(matching, keywords), label)
-    return result.otherwise("Other")
+
+    def of_text(text: Column) -> Column:
+        result = F.when(F.lit(False), "")
+        for label, keywords in vocab.industries:
+            result = result.when(contains_any(text, keywords), label)
+        return result.otherwise("Other")
+
+    return let(matching, of_text)
 
 
 def work_mode(matching: Column) -> Column:
-    return (
-        F.when(contains_any(matching, REMOTE_WORDS), "Remote")
-        .when(contains_any(matching, HYBRID_WORDS), "Hybrid")
-        .otherwise("Onsite")
+    return let(
+        matching,
+        lambda m: F.when(contains_any(m, REMOTE_WORDS), "Remote")
+        .when(contains_any(m, HYBRID_WORDS), "Hybrid")
+        .otherwise("Onsite"),
     )
 
 
 def career_level(matching: Column) -> Column:
-    return (
-        F.when(contains_any(matching, INTERN_WORDS), "Intern")
-        .when(contains_any(matching, ENTRY_WORDS), "Entry")
-        .when(contains_any(matching, SENIOR_WORDS), "Senior")
-        .otherwise("Mid")
+    return let(
+        matching,
+        lambda m: F.when(contains_any(m, INTERN_WORDS), "Intern")
+        .when(contains_any(m, ENTRY_WORDS), "Entry")
+        .when(contains_any(m, SENIOR_WORDS), "Senior")
+        .otherwise("Mid"),
     )
 
 
 def employment_type(matching: Column, contract_type: Column, contract_time: Column) -> Column:
     kind, time = T.text_or_empty(contract_type), T.text_or_empty(contract_time)
-    return (
-        F.when(contains_any(matching, INTERN_WORDS), "Internship")
-        .when(contains_any(matching, PART_TIME_WORDS) | (time == "part_time"), "Part-time")
-        .when(contains_any(matching, CONTRACT_WORDS) | (kind == "contract"), "Contract")
-        .when(contains_any(matching, FULL_TIME_WORDS) | (time == "full_time"), "Full-time")
-        .otherwise("Other")
+    return let(
+        matching,
+        lambda m: F.when(contains_any(m, INTERN_WORDS), "Internship")
+        .when(contains_any(m, PART_TIME_WORDS) | (time == "part_time"), "Part-time")
+        .when(contains_any(m, CONTRACT_WORDS) | (kind == "contract"), "Contract")
+        .when(contains_any(m, FULL_TIME_WORDS) | (time == "full_time"), "Full-time")
+        .otherwise("Other"),
     )
 
 

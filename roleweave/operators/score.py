@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roleweave.functions import text as T
+from roleweave.functions.arrays import let
 from roleweave.operators.joins import unmatched_key
 from roleweave.vocabulary import Vocabulary, map_literal
 
@@ -32,17 +33,20 @@ def skill_overlap(user: Column, job: Column) -> Column:
     A posting with fewer than four skills cannot score above one half: its text was probably
     cut short, so the result is capped and flagged.
     """
-    matched = F.sort_array(F.array_intersect(user, job))
-    raw = _share(F.size(matched), F.size(job))
-    capped = (F.size(job) < MIN_SKILLS_FOR_FULL_SCORE) & (raw > CAPPED_SCORE)
-    return F.struct(
-        F.when(capped, F.lit(CAPPED_SCORE)).otherwise(raw).alias("score"),
-        matched.alias("matched"),
-        F.sort_array(F.array_except(job, user)).alias("missing"),
-        F.sort_array(F.array_except(user, job)).alias("extra"),
-        F.size(job).alias("job_skills_count"),
-        capped.alias("capped"),
-    )
+
+    def of_matched(matched: Column) -> Column:
+        raw = _share(F.size(matched), F.size(job))
+        capped = (F.size(job) < MIN_SKILLS_FOR_FULL_SCORE) & (raw > CAPPED_SCORE)
+        return F.struct(
+            F.when(capped, F.lit(CAPPED_SCORE)).otherwise(raw).alias("score"),
+            matched.alias("matched"),
+            F.sort_array(F.array_except(job, user)).alias("missing"),
+            F.sort_array(F.array_except(user, job)).alias("extra"),
+            F.size(job).alias("job_skills_count"),
+            capped.alias("capped"),
+        )
+
+    return let(F.sort_array(F.array_intersect(user, job)), of_matched)
 
 
 def plain_overlap(user: Column, job: Column, strip: bool = True) -> Column:
@@ -96,12 +100,19 @@ def role_fit(role: Column, match_title: Column, matching: Column, vocab: Vocabul
     key = role_key(role)
     words = F.filter(F.split(key, rf"{T.BLANK}+"), lambda w: F.length(w) >= MIN_ROLE_WORD_CHARS)
     keywords = role_keywords(role, vocab)
-    hits = F.filter(F.coalesce(keywords, words), lambda k: F.contains(matching, k))
-    share = _share(F.size(hits), F.size(F.coalesce(keywords, words)))
     bonus = F.when(
         keywords.isNotNull() & (key != "") & F.contains(match_title, key), ROLE_TITLE_BONUS
     ).otherwise(0.0)
-    return F.struct(F.least(share + bonus, F.lit(1.0)).alias("score"), hits.alias("hits"))
+
+    def of_terms(terms: Column) -> Column:
+        def of_hits(hits: Column) -> Column:
+            share = _share(F.size(hits), F.size(terms))
+            return F.struct(F.least(share + bonus, F.lit(1.0)).alias("score"), hits.alias("hits"))
+
+        found = let(matching, lambda m: F.filter(terms, lambda k: F.contains(m, k)))
+        return let(found, of_hits)
+
+    return let(F.coalesce(keywords, words), of_terms)
 
 
 def final_score(weights: tuple, similarity: Column, skill: Column, role: Column) -> Column:

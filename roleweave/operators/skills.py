@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from roleweave.functions import text as T
 from roleweave.functions.arrays import explode_items, gram_at, gram_starts, let, sorted_distinct, word_grams
 from roleweave.operators.joins import broadcast_if_small
-from roleweave.vocabulary import Vocabulary, array_literal, map_literal
+from roleweave.vocabulary import Vocabulary, array_literal, map_literal, one_of
 
 # Cue phrases that introduce a list of requirements; group 1 is the list text.
 REQUIREMENT_CUES = (
@@ -53,40 +53,47 @@ Surfaces = dict[str, list[str]]
 
 def valid_skill(term: Column, vocab: Vocabulary) -> Column:
     """Whether a term looks like a skill (first matching rule wins)."""
-    s = F.lower(T.strip_blank(T.text_or_empty(term)))
-    words = F.split(s, rf"{T.BLANK}+")
-    barred = (
-        ~F.length(s).between(2, 40)
-        | F.array_contains(array_literal(vocab.stop("generic")), s)
-        | s.rlike(r"^\p{Nd}{5}|&|http|www\.|@")
-        | F.array_contains(array_literal(vocab.stop("location")), s)
-        | F.arrays_overlap(words, array_literal(vocab.stop("institution")))
-        | ~s.rlike("[a-z0-9+#]")
-        | s.rlike(r"^\p{Nd}+$")
-    )
-    return (
-        F.when(F.array_contains(array_literal(vocab.single_letters), s), True)
-        .when(barred, False)
-        .when(F.array_contains(array_literal(vocab.known), s), True)
-        .when(F.size(words) >= 2, False)
-        .otherwise(~s.rlike(NON_SKILL_WORDS))
-    )
+
+    def of_term(s: Column) -> Column:
+        words = F.split(s, rf"{T.BLANK}+")
+        barred = (
+            ~F.length(s).between(2, 40)
+            | one_of(s, vocab.stop("generic"))
+            | s.rlike(r"^\p{Nd}{5}|&|http|www\.|@")
+            | one_of(s, vocab.stop("location"))
+            | F.arrays_overlap(words, array_literal(vocab.stop("institution")))
+            | ~s.rlike("[a-z0-9+#]")
+            | s.rlike(r"^\p{Nd}+$")
+        )
+        return (
+            F.when(one_of(s, vocab.single_letters), True)
+            .when(barred, False)
+            .when(one_of(s, vocab.known), True)
+            .when(F.size(words) >= 2, False)
+            .otherwise(~s.rlike(NON_SKILL_WORDS))
+        )
+
+    return let(F.lower(T.strip_blank(T.text_or_empty(term))), of_term)
 
 
 def resolve_alias(term: Column, vocab: Vocabulary) -> Column:
     """One alias step."""
-    return F.coalesce(F.try_element_at(map_literal(vocab.aliases), term), term)
+    return F.when(
+        one_of(term, vocab.aliases), F.try_element_at(map_literal(vocab.aliases), term)
+    ).otherwise(term)
 
 
 def known_skill(term: Column, vocab: Vocabulary) -> Column:
     """Membership after one alias step; blank terms are unknown."""
-    s = F.lower(T.strip_blank(T.text_or_empty(term)))
-    return (s != "") & F.array_contains(array_literal(vocab.known), resolve_alias(s, vocab))
+    return let(
+        F.lower(T.strip_blank(T.text_or_empty(term))),
+        lambda s: (s != "") & let(resolve_alias(s, vocab), lambda c: one_of(c, vocab.known)),
+    )
 
 
 def _unslashed(token: Column, vocab: Vocabulary) -> Column:
     """Parts of an ``a/b`` token; a token that is a known term or an alias stays whole."""
-    whole = F.array_contains(array_literal(vocab.known | set(vocab.aliases)), token)
+    whole = one_of(token, vocab.known | set(vocab.aliases))
     parts = F.filter(F.transform(F.split(token, "/"), T.strip_blank), lambda p: p != "")
     return F.when(whole | ~F.contains(token, F.lit("/")), F.array(token)).otherwise(parts)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from roleweave.functions import text as T
 from roleweave.functions.arrays import let, run_counts
 from roleweave.operators.joins import unmatched_key
+from roleweave.vocabulary import one_of
 
 # Fixed value: vocabulary size of the ranking model.
 MAX_FEATURES = 40_000
@@ -25,8 +26,7 @@ def term_counts(text: Column, stopwords, bigrams: bool = True) -> Column:
     Words have two or more characters.  Stop words go first, so a bigram may span a removed word.
     """
     words = F.regexp_extract_all(F.lower(T.text_or_empty(text)), F.lit(rf"{T.WORD}{{2,}}"), F.lit(0))
-    stop = sorted(stopwords)
-    kept = F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
+    kept = F.filter(words, lambda w: ~one_of(w, stopwords)) if stopwords else words
     if not bigrams:
         return run_counts(kept)
 

@@ -42,22 +42,20 @@ def one_profile(profiles: DataFrame) -> Row:
 
 def flagged(postings: DataFrame, vocab: Vocabulary, options: SearchOptions) -> DataFrame:
     """Deduplicated postings with matching texts, classes and the flags of both filters."""
+    unique = deduplicate_postings(postings)
     direct = classify.direct_employer(
         F.col("job_link"), F.col("job_description"), F.col("job_title"), vocab
     )
+    # Computed first, so that dropped postings cost nothing further.
+    checked = with_computed(unique, {"is_clean": direct if options.direct_only else F.lit(True)})
     in_scope = F.lit(True)
     if options.home_country_only:
         in_scope = classify.in_country(F.col("search_country"))
     for name, value in options.facets.items():
         if value != "All":
             in_scope = in_scope & (F.col(name) == value)
-    prepared = classify.with_matching(deduplicate_postings(postings))
-    return classify.add_classes(prepared, vocab).withColumns(
-        {
-            "is_clean": direct if options.direct_only else F.lit(True),
-            "in_scope": in_scope,
-        }
-    )
+    prepared = classify.with_matching(checked)
+    return classify.add_classes(prepared, vocab).withColumn("in_scope", in_scope)
 
 
 def funnel_counts(rows: DataFrame) -> dict[str, F.Column]:
@@ -71,7 +69,8 @@ def posting_features(
 ) -> DataFrame:
     """Per posting ``with_matching``: canonical skills, role fit and term counts.
 
-    The texts end here.  A skill list that came with the posting is used; an empty one is extracted from the text.
+    The texts end here.  A skill list that came with the posting is used; an empty one is
+    extracted from the text.
     """
     given = F.col("job_skills_list") if "job_skills_list" in postings.columns else F.lit(None).cast("array<string>")
     found = extractor.posting_skills(F.col("job_title"), F.col("job_description"), F.col("matching"))

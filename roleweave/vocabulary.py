@@ -42,6 +42,12 @@ def array_literal(items: Iterable[str]) -> Column:
     return F.split(F.lit(_ITEM.join(items)), _ITEM)
 
 
+def one_of(col: Column, items: Iterable[str]) -> Column:
+    """Membership in a fixed list, as a hashed set test."""
+    items = sorted(items)
+    return col.isin(items) if items else F.lit(False)
+
+
 def map_literal(pairs: Mapping[str, str]) -> Column:
     if not pairs:
         return F.create_map().cast("map<string,string>")
