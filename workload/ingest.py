@@ -177,7 +177,8 @@ def s11(spark, sf):
     base = f"{spark.sparkContext.getCheckpointDir()}/ingest-{uuid.uuid4().hex}"
     schema = table(spark, sf, "documents").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    rows = _as_postings(stream)
+    # The one file is one task; a landing folder of many files needs no such step.
+    rows = _as_postings(stream.repartition(spark.sparkContext.defaultParallelism))
     I.ingest(rows, f"{base}/table", f"{base}/progress").awaitTermination()
     return I.read_ingested(spark, f"{base}/table").select("posting_id", "job_title")
 
