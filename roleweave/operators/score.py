@@ -171,15 +171,18 @@ def choose_text(postings: DataFrame, page_text: DataFrame) -> DataFrame:
     )
 
 
-def full_texts(postings: DataFrame, page_text: DataFrame) -> DataFrame:
+def full_texts(postings: DataFrame, page_text: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(posting_id, job_title, text) of the postings whose full page adds enough.
 
-    The snippet itself is not needed, so only its length is shuffled.
+    The snippet itself is not needed, so only its length is shuffled.  ``only`` names the
+    postings to look at; deduplicated ones have one link each, so no link is hot.
     """
     link = F.coalesce(F.col("job_link"), F.lit(""))
     short = postings.where(link != "").select(
         "posting_id", "job_title", "job_link", F.length(T.text_or_empty(F.col("job_description"))).alias("_n")
     )
+    if only is not None:
+        short = short.join(only.select("posting_id"), "posting_id", "left_semi")
     return (
         short.join(page_text.select("job_link", "text"), "job_link")
         .where(F.length("text") > F.col("_n") + FULL_TEXT_MARGIN)

@@ -234,7 +234,7 @@ def single_letter_hits(matching_text: Column, surfaces: Surfaces) -> Column:
         # Only a letter next to a chunk break can be a hit in a chunk and not in the text.
         near_break = f"{CHUNK_BREAK} *{quoted(letter)}|{quoted(letter)} *{CHUNK_BREAK}"
         chunks = F.filter(
-            F.transform(F.split(matching_text, CHUNK_BREAK), F.trim),
+            F.transform(F.split(matching_text, CHUNK_BREAK), lambda c: F.trim(c)),
             lambda c: F.length(c) >= MIN_CHUNK_CHARS,
         )
         return matching_text.rlike(strict) | (

@@ -168,7 +168,7 @@ def rescore(
 ) -> DataFrame:
     """Score again from full page texts where they add enough; the similarity stays as it was."""
     profile = one_profile(profiles)
-    texts = score.full_texts(postings, page_text)
+    texts = score.full_texts(postings, page_text, only=results)
     fit = score.role_fit(
         F.lit(profile["role"]),
         T.match_text(F.col("job_title")),

@@ -57,6 +57,8 @@ def posting(one, extractor):
         ("uses r.", ["r"]),
         ("we know r. And more", ["r"]),
         ("x. r.", []),
+        ("hello there. xx r. more text", []),
+        ("hello there. xxx r. more text", ["r"]),
         ("good with r. then x", ["r"]),
         ("R&D", ["r"]),
         ("java/script", []),

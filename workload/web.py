@@ -119,11 +119,26 @@ def x9(spark, sf):
     return extraction_report(extract_pages(table(spark, sf, "pages")))
 
 
-@query("x4_vendor_text")
+SQL_BOX = f"""opening AS (SELECT page_id, min(i) AS s FROM kept WHERE regexp_matches(t, '(?i)\\sclass\\s*=\\s*"ad"') GROUP BY page_id),
+  box AS (SELECT o.page_id, o.s, min(c.i) AS e FROM opening o JOIN kept k ON k.page_id = o.page_id AND k.i = o.s
+    LEFT JOIN tags c ON c.page_id = o.page_id AND c.i > o.s AND c.name = k.name AND c.kind = -1 GROUP BY o.page_id, o.s),
+  b4 AS (SELECT b.page_id, string_agg({_strip('k.t')}, chr(10) ORDER BY k.i) AS body FROM box b JOIN kept k ON k.page_id = b.page_id
+    WHERE k.i > b.s AND k.i < b.e AND k.name = '' AND k.t <> '<!>' AND {_strip('k.t')} <> '' GROUP BY b.page_id)"""
+
+
+@query(
+    "x4_vendor_text",
+    f"""{SQL_MAIN}, {SQL_BOX}, v AS (SELECT p.*, CASE WHEN length(b4.body) > 50 THEN b4.body END AS t4 FROM picked p LEFT JOIN b4 USING (page_id)),
+      w AS (SELECT *, CASE WHEN length(coalesce(t4, t6, '')) < 100 AND length(coalesce(t7, '')) > 300 THEN 'body' WHEN t4 IS NOT NULL THEN 'vendor'
+        WHEN coalesce(t6, '') <> '' THEN 'blocks' ELSE 'none' END AS step4 FROM v),
+      x AS (SELECT page_id, url, step4 AS step, substring({sql_norm("CASE step4 WHEN 'body' THEN substring(t7, 201, 7800) WHEN 'vendor' THEN t4 WHEN 'blocks' THEN t6 ELSE '' END")}, 1, 8000) AS text FROM w)
+      SELECT page_id, url, step, text, length(text) AS n_chars FROM x""",
+)
 def x4(spark, sf):
     """Vendor containers; the class of the data's one marked box stands in for a vendor's."""
     rules = replace(_RULES, container="^none$", vendor=("absent", "^ad$"))
-    return extract_pages(table(spark, sf, "pages"), rules=rules)
+    found = extract_pages(table(spark, sf, "pages"), rules=rules)
+    return found.withColumn("n_chars", F.col("n_chars").cast("long"))
 
 
 @query("x5_heading_text")
