@@ -114,7 +114,11 @@ def title_case(col: Column) -> Column:
 
 
 def _capitalize(col: Column) -> Column:
-    return F.concat(F.upper(F.substring(col, 1, 1)), F.substring(col, 2, 1_000_000_000))
+    """Title-case the first letter; a letter whose capital form is two letters keeps the second low."""
+    first = F.upper(F.substring(col, 1, 1))
+    return F.concat(
+        F.substring(first, 1, 1), F.lower(F.substring(first, 2, 2)), F.substring(col, 2, 1_000_000_000)
+    )
 
 
 def display_fallback(col: Column) -> Column:

@@ -85,7 +85,7 @@ def test_link_authority(one, link, want):
 
 @pytest.mark.parametrize(
     ("term", "want"),
-    [(" SQL ", "Structured"), ("a/b testing", "A/B Testing"), ("excel", "Excel"), ("c++", "c++"), (None, "")],
+    [(" SQL ", "Structured"), ("a/b testing", "A/B Testing"), ("excel", "Excel"), ("c++", "c++"), ("ßa ßb", "Ssa Ssb"), (None, "")],
 )
 def test_display_name(one, term, want):
     from roleweave.vocabulary import map_literal

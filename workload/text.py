@@ -152,12 +152,12 @@ def t12(spark, sf):
 
 _SQL_TITLE = (
     "array_to_string(list_transform(regexp_extract_all({0}, '\\p{{L}}+|[^\\p{{L}}]+'), "
-    "lambda x: upper(x[1]) || x[2:]), '')"
+    "lambda x: CASE x[1] WHEN 'ß' THEN 'Ss' ELSE upper(x[1]) END || x[2:]), '')"
 )
 _SQL_DISPLAY = (
     "CASE WHEN d.display_name IS NOT NULL THEN d.display_name WHEN contains({0}, ' ') THEN "
     + _SQL_TITLE
-    + " WHEN regexp_matches({0}, '^\\p{{L}}+$') THEN upper({0}[1]) || {0}[2:] ELSE {0} END"
+    + " WHEN regexp_matches({0}, '^\\p{{L}}+$') THEN CASE {0}[1] WHEN 'ß' THEN 'Ss' ELSE upper({0}[1]) END || {0}[2:] ELSE {0} END"
 )
 
 
