@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roleweave.llm import decontaminate, minhash
+from roleweave.llm import decontaminate, minhash, sharding
 from roleweave.llm.storage import share_package
 
 
@@ -23,9 +23,15 @@ def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op8_balanced_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 40 shards."""
+    return sharding.shard(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_balanced_sharding": op8_balanced_sharding,
 }
 ORACLES: dict[str, str] = {
     "op6_benchmark_decontamination": decontaminate.ORACLE,
