@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roleweave.llm import decontaminate, minhash, sharding
+from roleweave.llm import decontaminate, licenses, minhash, sharding
 from roleweave.llm.storage import share_package
 
 
@@ -28,11 +28,18 @@ def op8_balanced_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(_table(spark, folder, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License notices in all documents."""
+    return licenses.license_notices(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_balanced_sharding": op8_balanced_sharding,
+    "op9_license_scan": op9_license_scan,
 }
 ORACLES: dict[str, str] = {
     "op6_benchmark_decontamination": decontaminate.ORACLE,
+    "op9_license_scan": licenses.oracle(),
 }
