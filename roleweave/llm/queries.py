@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roleweave.llm import decontaminate, licenses, minhash, sharding
+from roleweave.llm import decontaminate, licenses, lm, minhash, sharding
 from roleweave.llm.storage import share_package
 
 
@@ -13,6 +13,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Language-model scores of all documents."""
+    return lm.language_scores(_table(spark, folder, "documents"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark windows in all documents."""
     return decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -34,6 +39,7 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_balanced_sharding": op8_balanced_sharding,
