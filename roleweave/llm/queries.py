@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roleweave.llm import decontaminate, licenses, lm, minhash, sharding
+from roleweave.llm import crf, decontaminate, licenses, lm, minhash, sharding
 from roleweave.llm.storage import share_package
 
 
@@ -18,6 +18,11 @@ def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm.language_scores(_table(spark, folder, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of all documents."""
+    return crf.document_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark windows in all documents."""
     return decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -40,6 +45,7 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op3_quality_classifier": op3_quality_classifier,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_balanced_sharding": op8_balanced_sharding,
