@@ -169,6 +169,29 @@ def confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFram
     return both.select("a", "b", "xa", "xb").mapInArrow(rows, "a long, b long").distinct()
 
 
+def private_counts(sets: DataFrame, pool: DataFrame) -> DataFrame:
+    """For each node of ``pool`` that has any: how many of its shingles no other node of it has.
+
+    Two nodes share no private shingle, which bounds how similar they can be: copies with edits of
+    their own drop out here, however many there are of them.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = vectors.text_buffer(batch.column("shingles"))
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets) // 8)
+            for at in range(0, len(owner), 1 << 18):
+                part = slice(at, at + (1 << 18))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node").take(pa.array(owner[part])), pa.array(np.frombuffer(data, np.int64)[part])],
+                    ["node", "shingle"],
+                )
+
+    each = sets.join(pool, "node", "left_semi").mapInArrow(rows, "node long, shingle long")
+    once = each.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last")
+    return once.groupBy("node").agg(F.count(F.lit(1)).alias("private"))
+
+
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Regroup sorted batches so that no group of equal keys is cut."""
     held: pa.Table | None = None
@@ -204,23 +227,28 @@ def _pairs_in(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def cross_pairs(members: DataFrame, settings: Settings) -> DataFrame:
     """Pairs within the radius that share an index key but no component yet.
 
-    ``members`` holds key, node, leader, label, sig and the key's row count.  A key with many rows is
+    ``members`` holds key, node, leader, label, sig, the key's row count n, the node's set size and
+    how many of its shingles are private.  A key with many rows is
     cut into blocks of about ``block`` rows and every two blocks meet in a task of their own, so no
     task holds a whole key.  A pair is given out under the first index that both agree in, and not
     at all if one of the two leads the key, as that pair has been confirmed or refused before.
     """
     masks, length, radius = settings.masks(), settings.length, settings.radius
+    over, under = settings.similar
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, ["key", "low", "high"]):
             key, low, high = (table.column(c).to_numpy() for c in ("key", "low", "high"))
             node, label, leader, own = (table.column(c).to_numpy() for c in ("node", "label", "leader", "own"))
+            size, private = table.column("n_shingles").to_numpy(), table.column("private").to_numpy()
             sig = _matrix(table.column("sig").combine_chunks(), length)
             edge = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
             sizes = np.diff(np.concatenate([[0], edge, [len(key)]]))
             i, j = _pairs_in(sizes)
             want = (label[i] != label[j]) & ((own[i] != own[j]) | (low[i] == high[i]))
             want &= (node[i] != leader[i]) & (node[j] != leader[j])
+            common = np.minimum(size[i] - private[i], size[j] - private[j])
+            want &= under * common >= over * np.maximum(size[i] + private[j], size[j] + private[i])
             i, j = i[want], j[want]
             for at in range(0, len(i), 50_000):
                 x, y = i[at : at + 50_000], j[at : at + 50_000]
@@ -243,7 +271,7 @@ def cross_pairs(members: DataFrame, settings: Settings) -> DataFrame:
         members.withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select(
-            "key", "node", "label", "leader", "own", "sig",
+            "key", "node", "label", "leader", "own", "sig", "n_shingles", "private",
             F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
         )
     )
@@ -251,13 +279,19 @@ def cross_pairs(members: DataFrame, settings: Settings) -> DataFrame:
     return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(rows, "a long, b long").distinct()
 
 
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """Keys whose nodes are in several components, with their row counts."""
+    ends = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n"))
+    return ends.filter("x < y").select("key", "n")
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Classes of near-duplicate documents: doc_id, n_shingles, component_id, kept.
 
     Documents whose distinct shingle sets overlap by ``similar`` or more are linked; component_id is
     the smallest doc_id reachable and ``kept`` marks it.  Equal sets are merged first, so copies cost
     one row each.  Each index key then links to its smallest node; keys that still hold several
-    components are searched exactly, in blocks.
+    components are searched exactly, in blocks, among the nodes that may still have a partner.
 
     Null, empty and blank texts are linked with nothing.  A null doc_id gives a null component and
     is kept, linked with nothing.  Rows that share a doc_id are one document with several texts, and
@@ -268,7 +302,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     some = base.filter("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy(*digest).agg(F.min("doc_id").alias("node"))
     mapped = stage(salted_join(some, classes, digest, F.col("doc_id")), "classes")
-    nodes = mapped.filter("doc_id = node").select("node", "sig")
+    nodes = mapped.filter("doc_id = node").select("node", "sig", "n_shingles")
 
     keys = index_keys(nodes, settings)
     buckets = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count("node").alias("n"))
@@ -280,10 +314,16 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     links = stage(confirmed(within_radius(stars, nodes, settings), sets, settings), "links")
     found = components(links)
 
-    labelled = shared.join(found.withColumnRenamed("component", "label"), "node", "left")
+    labelled = shared.drop("n").join(found.withColumnRenamed("component", "label"), "node", "left")
     labelled = stage(labelled.withColumn("label", F.coalesce("label", "node")), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
-    members = salted_join(labelled, mixed, ["key"], F.col("node")).join(nodes, "node")
+    suspects = stage(salted_join(labelled, _mixed(labelled), ["key"], F.col("node")), "suspects")
+    pool = stage(suspects.select("node").distinct(), "pool")
+    over, under = settings.similar
+    alive = nodes.join(pool, "node", "left_semi").join(private_counts(sets, pool), "node", "left")
+    alive = alive.withColumn("private", F.coalesce("private", F.lit(0)))
+    alive = alive.filter(under * (F.col("n_shingles") - F.col("private")) >= over * F.col("n_shingles"))
+    left = stage(suspects.drop("n").join(alive, "node"), "left")
+    members = salted_join(left, _mixed(left), ["key"], F.col("node"))
     more = stage(cross_pairs(members, settings), "cross")
     links = links.union(confirmed(more, sets, settings))
     found = components(links)

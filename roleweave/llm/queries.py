@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roleweave.llm import crf, decontaminate, licenses, lm, minhash, sharding
+from roleweave.llm import crf, decontaminate, licenses, line_dedup, lm, minhash, sharding, warc
 from roleweave.llm.storage import share_package
 
 
@@ -18,11 +18,21 @@ def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm.language_scores(_table(spark, folder, "documents"))
 
 
+def op2_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages through ZIP-packaged archives and back."""
+    return warc.round_trip(_table(spark, folder, "pages"))
+
+
 def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of all documents."""
     return crf.document_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the lines that many sources share."""
+    return line_dedup.digest(_table(spark, folder, "documents"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark windows in all documents."""
     return decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -45,13 +55,17 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_warc_round_trip": op2_warc_round_trip,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_line_dedup": op4_line_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_balanced_sharding": op8_balanced_sharding,
     "op9_license_scan": op9_license_scan,
 }
 ORACLES: dict[str, str] = {
+    "op2_warc_round_trip": warc.ORACLE,
+    "op4_line_dedup": line_dedup.ORACLE,
     "op6_benchmark_decontamination": decontaminate.ORACLE,
     "op9_license_scan": licenses.oracle(),
 }
