@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roleweave.llm import crf, decontaminate, licenses, line_dedup, lm, minhash, sharding, warc
+from roleweave.llm import crf, decontaminate, licenses, line_dedup, lm, minhash, mixing, sharding, warc
 from roleweave.llm.storage import share_package
 
 
@@ -33,6 +33,11 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.digest(_table(spark, folder, "documents"))
 
 
+def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Draws from all documents at tempered source weights."""
+    return mixing.drawn_documents(_table(spark, folder, "documents"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark windows in all documents."""
     return decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -58,6 +63,7 @@ QUERIES = {
     "op2_warc_round_trip": op2_warc_round_trip,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_line_dedup": op4_line_dedup,
+    "op5_source_mixing": op5_source_mixing,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_balanced_sharding": op8_balanced_sharding,
