@@ -99,7 +99,7 @@ def window_places(docs: DataFrame, passages: DataFrame, width: int = WINDOW) ->
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_id (equal for equal texts).
 
     A word is hit if it lies inside an occurrence of a window of any item; a document is contaminated
     if at least one word in twenty is hit.  Null, empty and wordless texts have no words and are
@@ -137,10 +137,21 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Dat
     return joined.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", names).cast("binary"), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"),
+        ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"), "text_id",
     )
 
 
+def remove_contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    bad = contamination(docs, items, width).filter("contaminated").select(
+        F.col("doc_id").alias("_doc"), F.col("text_id").alias("_text")
+    ).distinct()
+    bad = stage(bad, "contaminated")
+    text_id = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    same = docs["doc_id"].cast("long").eqNullSafe(bad["_doc"]) & (text_id == bad["_text"])
+    return docs.join(bad, same, "left_anti")
+
+
 #: The same by equality of whole windows at every position.
 ORACLE = r"""
 WITH d AS (

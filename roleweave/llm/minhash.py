@@ -343,3 +343,18 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.withColumn("component_id", component)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def remove_near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """One document of each class, the smallest doc_id, with all columns of ``docs``.
+
+    Of rows with equal doc_id and text one stays.  Rows with a null doc_id all stay.
+    """
+    losers = near_duplicates(docs, settings).filter("not kept").select(F.col("doc_id").alias("_doc")).distinct()
+    left = docs.join(stage(losers, "losers"), F.col("doc_id").cast("long") == F.col("_doc"), "left_anti")
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 and doc_id is not null").select("doc_id")
+    again = stage(again, "repeated")
+    if again.isEmpty():
+        return left
+    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, "doc_id", "left_anti").unionByName(once)

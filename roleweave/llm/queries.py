@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roleweave.llm import crf, decontaminate, licenses, line_dedup, lm, minhash, mixing, sharding, warc
+from roleweave.llm import ann, crf, decontaminate, licenses, line_dedup, lm, minhash, mixing, sharding, warc
 from roleweave.llm.storage import share_package
 
 
@@ -40,7 +40,8 @@ def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark windows in all documents."""
-    return decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    found = decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.drop("text_id")
 
 
 def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,6 +59,11 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_notices(_table(spark, folder, "documents"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The nearest vectors of every twentieth embedding among all."""
+    return ann.search_table(_table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_warc_round_trip": op2_warc_round_trip,
@@ -68,6 +74,7 @@ QUERIES = {
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_balanced_sharding": op8_balanced_sharding,
     "op9_license_scan": op9_license_scan,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 ORACLES: dict[str, str] = {
     "op2_warc_round_trip": warc.ORACLE,
