@@ -311,7 +311,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, lex: Lexicon, weights: Weigh
             rare_class = frequent & (number >= v)
             value[rare_class] += inside[number[rare_class]] + share[kind[rare_class] - v]
             starts = np.cumsum(sizes) - sizes
-            known = np.add.reduceat(frequent.astype(np.int64), starts)
+            known = np.add.reduceat((frequent & (lex.counts[number] > 0)).astype(np.int64), starts)
             plain = np.add.reduceat(np.where(frequent, base[number], 0.0), starts)
             total = np.add.reduceat(value, starts)
             none = pa.nulls(batch.num_rows, pa.binary())

@@ -67,9 +67,10 @@ def directory(file: BinaryIO, size: int) -> list[Member]:
     """All members of a ZIP file, by its central directory; ZIP64 sizes and offsets included."""
     tail_at = max(0, size - END_SIZE - FULL16)
     tail = _range(file, tail_at, size - tail_at)
-    at = tail.rfind(END_RECORD)
-    while at >= 0 and at + END_SIZE + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
-        at = tail.rfind(END_RECORD, 0, at)
+    at = len(tail) - END_SIZE + 4  # a comment may follow the record, and look like one
+    while (at := tail.rfind(END_RECORD, 0, at)) >= 0:
+        if at + END_SIZE + struct.unpack_from("<H", tail, at + 20)[0] == len(tail):
+            break
     if at < 0:
         raise ValueError("no end of central directory")
     count, length, start = struct.unpack_from("<HII", tail, at + 10)
