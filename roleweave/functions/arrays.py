@@ -106,8 +106,8 @@ def run_counts(items: Column) -> Column:
     return let(F.sort_array(items), of_sorted)
 
 
-def keep_first_by_prefix(items: Column, length: int) -> Column:
-    """Drop items whose first ``length`` characters were seen earlier; order is kept."""
+def keep_first_by_prefix(items: Column, length: int | None = None) -> Column:
+    """Drop items seen earlier, by their first ``length`` characters if given; order is kept."""
 
     def of_sorted(s: Column) -> Column:
         return F.filter(
@@ -116,7 +116,7 @@ def keep_first_by_prefix(items: Column, length: int) -> Column:
 
     keyed = F.transform(
         items,
-        lambda t, i: F.struct(F.substring(t, 1, length).alias("k"), i.alias("i"), t.alias("t")),
+        lambda t, i: F.struct((t if length is None else F.substring(t, 1, length)).alias("k"), i.alias("i"), t.alias("t")),
     )
     firsts = let(F.sort_array(keyed), of_sorted)
     ordered = F.sort_array(F.transform(firsts, lambda e: F.struct(e["i"].alias("i"), e["t"].alias("t"))))

@@ -4,22 +4,21 @@ A page is one row, so the whole extraction is a projection: the markup is cut in
 texts, elements become index ranges found by one pass over the tags, and text is whatever lies
 inside the wanted range and outside the noise ranges.  Nothing is exploded, so nothing shuffles.
 
-An element ends at the first later close tag of its name that balances it; without one it ends
-with the page.  A paragraph ends at the next block tag, a list item at the next item or list end.
+An element ends at the first later close tag of its name that balances it.  One whose end tag is
+left out ends at the next tag that implies its end: the start of a sibling or the end of its parent.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from roleweave.functions import text as T
 from roleweave.functions.arrays import keep_first_by_prefix, let
-from roleweave.vocabulary import map_literal
 
 
 @dataclass(frozen=True)
@@ -48,12 +47,15 @@ class PageRules:
     )
     min_container_chars: int = 100
     min_vendor_chars: int = 50
-    min_block_chars: int = 15
-    max_block_chars: int = 2000
-    block_prefix: int = 120
-    min_body_chars: int = 300
-    body_skip: int = 200
-    max_chars: int = 8000
+    # A longer body replaces a text shorter than a container has to be.
+    long_body_chars: int = 300
+    # Optional limits; the defaults keep every block, the whole body and the whole text.
+    min_block_chars: int = 1
+    max_block_chars: int | None = None
+    block_prefix: int | None = None
+    min_body_chars: int = 0
+    body_skip: int = 0
+    max_chars: int | None = None
 
 
 _VOID = (
@@ -74,25 +76,57 @@ _LAST = 2147483647
 _RANGES = "array<struct<s:int,e:int>>"
 
 
+_BREAK, _IS = "\x1f", "\x1e"
+_NAMES = {f"&{n}": c for n, c in html5.items()}
+_BARE = sorted((f"&{n}" for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+_WINDOWS = {str(c): bytes([c]).decode("cp1252") for c in range(128, 160) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+def _look_up(entries: dict[str, str], key: Column) -> Column:
+    """Value of a key in a table kept as one string; null if it is not there."""
+    text = F.lit(_BREAK + _BREAK.join(f"{k}{_IS}{v}" for k, v in entries.items()))
+    mark = F.concat(F.lit(_BREAK), key, F.lit(_IS))
+    return F.when(F.contains(text, mark), F.split_part(F.split_part(text, mark, F.lit(2)), F.lit(_BREAK), F.lit(1)))
+
+
 def unescape(text: Column) -> Column:
-    """Decode named and numeric character references in one pass."""
-    names = map_literal({f"&{n};": chr(c) for n, c in name2codepoint.items()})
+    """Decode named and numeric character references in one pass, by the HTML5 rules.
+
+    All names count; the old ones also without a semicolon and in front of more letters.  128 to 159
+    stand for the Windows characters, impossible numbers for U+FFFD.
+    """
+    common = {f"&{n};": chr(c) for n, c in name2codepoint.items()}
+    bare_pattern = f"^(?:{'|'.join(_BARE)})"
     pieces = F.regexp_extract_all(
-        text, F.lit(r"&#[xX]?[0-9a-fA-F]+;?|&[a-zA-Z][a-zA-Z0-9]*;|[^&]+|&"), F.lit(0)
+        text, F.lit(r"&#[xX]?[0-9a-fA-F]+;?|&[a-zA-Z][a-zA-Z0-9]*;?|[^&]+|&"), F.lit(0)
     )
 
-    def decode(p: Column) -> Column:
-        hexadecimal = F.conv(F.regexp_extract(p, r"^&#[xX]([0-9a-fA-F]{1,6});?$", 1), 16, 10)
+    def number(p: Column) -> Column:
+        hexadecimal = F.conv(F.regexp_extract(p, r"^&#[xX]0*([0-9a-fA-F]{1,7});?$", 1), 16, 10)
         code = F.coalesce(
-            T.blank_to_null(F.regexp_extract(p, r"^&#([0-9]{1,7});?$", 1)), T.blank_to_null(hexadecimal)
+            T.blank_to_null(F.regexp_extract(p, r"^&#0*([0-9]{1,8});?$", 1)), T.blank_to_null(hexadecimal)
         ).try_cast("long")
         wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        return (
-            F.when(~F.startswith(p, F.lit("&")), p)
-            .when(F.startswith(p, F.lit("&#")), F.when(valid, wide).otherwise(p))
-            .otherwise(F.coalesce(F.try_element_at(names, p), p))
-        )
+        old = F.when(code.between(128, 159), _look_up(_WINDOWS, code.cast("string")))
+        digits = p.rlike(r"^&#(?:[0-9]+|[xX][0-9a-fA-F]+);?$")
+        return F.when(~digits, _leading_number(p)).otherwise(F.coalesce(old, F.when(valid, wide), F.lit("\ufffd")))
+
+    def _leading_number(p: Column) -> Column:
+        """Decimal digits followed by letters: only the digits are the reference."""
+        digits = F.regexp_extract(p, r"^&#([0-9]+)", 1)
+        code = digits.try_cast("long")
+        wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF) & ~code.between(128, 159)
+        return F.when(valid, F.concat(wide, F.substring(p, F.length(digits) + 3, F.lit(_LAST)))).otherwise(p)
+
+    def named(p: Column) -> Column:
+        start = F.regexp_extract(p, bare_pattern, 0)
+        short = F.concat(_look_up(_NAMES, start), F.substring(p, F.length(start) + 1, F.lit(_LAST)))
+        return F.coalesce(_look_up(common, p), _look_up(_NAMES, p), F.when(start != "", short), p)
+
+    def decode(p: Column) -> Column:
+        return F.when(~F.startswith(p, F.lit("&")), p).when(F.startswith(p, F.lit("&#")), number(p)).otherwise(named(p))
 
     return F.when(~F.contains(text, F.lit("&")), text).otherwise(
         F.array_join(F.transform(pieces, decode), "")
@@ -111,8 +145,30 @@ def _attribute(tag: Column, name: str) -> Column:
     return T.normalize(F.regexp_replace(quoted, "^[\"']|[\"']$", ""))
 
 
+# Elements whose end tag may be left out, and the open tags that end them.
+_IMPLIED_ENDS = {
+    "p": (
+        "address", "article", "aside", "blockquote", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption",
+        "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "menu", "nav",
+        "ol", "p", "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+    ),
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option", "optgroup"),
+    "optgroup": ("optgroup",), "td": ("td", "th", "tr", "tbody", "tfoot"), "th": ("td", "th", "tr", "tbody", "tfoot"),
+    "tr": ("tr", "tbody", "tfoot"), "thead": ("tbody", "tfoot"), "tbody": ("tbody", "tfoot"), "tfoot": ("tbody",),
+}
+_OPTIONAL = tuple(_IMPLIED_ENDS)
+_ENDS = {
+    name: " ".join(["", *(tag for tag, ends in _IMPLIED_ENDS.items() if name in ends), ""])
+    for name in sorted({n for ends in _IMPLIED_ENDS.values() for n in ends})
+}
+
+
 def tag_events(tokens: Column) -> Column:
-    """``array<struct<i, name, kind, cls, ref>>`` of the tags: kind 1 opens, -1 closes, 0 is void."""
+    """``array<struct<i, name, kind, cls, ref, optional, block, ends>>`` of the tags: kind 1 opens, -1 closes, 0 is void.
+
+    ``optional``: its end tag may be left out; ``block``: a block whose end tag may not; ``ends``: the
+    open elements that its start ends.
+    """
 
     def event(t: Column, i: Column) -> Column:
         name = F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
@@ -123,6 +179,9 @@ def tag_events(tokens: Column) -> Column:
             F.when(F.startswith(t, F.lit("</")), -1).when(void, 0).otherwise(1).alias("kind"),
             _attribute(t, "class").alias("cls"),
             _attribute(t, "id").alias("ref"),
+            name.isin(*_OPTIONAL).alias("optional"),
+            (name.rlike(f"^(?:{_BLOCK})$") & ~name.isin(*_OPTIONAL)).alias("block"),
+            F.coalesce(_look_up(_ENDS, name), F.lit("")).alias("ends"),
         )
 
     return F.filter(F.transform(tokens, event), lambda e: e["name"] != "")
@@ -132,26 +191,59 @@ def _range(start: Column, end: Column) -> Column:
     return F.struct(start.cast("int").alias("s"), end.cast("int").alias("e"))
 
 
+def _ending(tag: Column, optional: Column, depth: Column, inner: Column, e: Column, then: Callable[[dict], Column]) -> Column:
+    """What an event does to an open element ``tag``, handed to ``then``.
+
+    ``depth`` counts open elements of its name, ``inner`` other open blocks whose end tag is not
+    optional; inline elements neither hold a sibling's start back nor end their surroundings.  ``own``: its balancing end tag.  ``implied``: a tag that ends it unseen, the start
+    of a sibling or the end of its parent; the element ends before that tag.
+    """
+    same = e["name"] == tag
+    at_top = inner <= 0
+    begins = (e["kind"] >= 0) & F.contains(e["ends"], F.concat(F.lit(" "), tag, F.lit(" ")))
+    parent = (e["kind"] == -1) & ~same & (e["block"] | (optional & e["optional"]))
+    change = F.when(~same, 0).when(~optional, e["kind"]).when(at_top & (e["kind"] == -1), -1).otherwise(0)
+    return then(
+        {
+            "depth": depth + change,
+            "inner": F.greatest(inner + F.when(~same & e["block"], e["kind"]).otherwise(0), F.lit(0)),
+            "own": (e["kind"] == -1) & same & (depth + change <= 0),
+            "implied": at_top & (begins | parent),
+        }
+    )
+
+
 def outer_ranges(events: Column, wanted: Callable[[Column], Column]) -> Column:
     """Index ranges of the outermost elements whose open tag is wanted."""
     nothing = F.array().cast(_RANGES)
     state = F.struct(
-        F.lit("").alias("tag"), F.lit(0).alias("depth"), F.lit(0).alias("start"), nothing.alias("found")
+        F.lit("").alias("tag"), F.lit(False).alias("optional"), F.lit(0).alias("depth"), F.lit(0).alias("inner"),
+        F.lit(0).alias("start"), nothing.alias("found"),
     )
 
     def step(acc: Column, e: Column) -> Column:
         inside = acc["tag"] != ""
-        depth = acc["depth"] + F.when(inside & (e["name"] == acc["tag"]), e["kind"]).otherwise(0)
-        closes = inside & (depth <= 0)
-        opens = ~inside & (e["kind"] == 1) & wanted(e)
-        return F.struct(
-            F.when(opens, e["name"]).when(closes, "").otherwise(acc["tag"]).alias("tag"),
-            F.when(opens, 1).when(closes, 0).otherwise(depth).alias("depth"),
-            F.when(opens, e["i"]).otherwise(acc["start"]).alias("start"),
-            F.when(closes, F.concat(acc["found"], F.array(_range(acc["start"], e["i"]))))
-            .otherwise(acc["found"])
-            .alias("found"),
-        )
+
+        def moved(end: dict[str, Column]) -> Column:
+            closes = inside & (end["own"] | end["implied"])
+            opens = (~inside | (end["implied"] & ~end["own"])) & (e["kind"] == 1) & wanted(e)
+            return after(end, {"opens": opens, "closes": closes})
+
+        def after(end: dict[str, Column], now: dict[str, Column]) -> Column:
+            fresh = now["opens"] | now["closes"] | ~inside
+            last = F.when(end["own"], e["i"]).otherwise(e["i"] - 1)
+            return F.struct(
+                F.when(now["opens"], e["name"]).when(now["closes"], "").otherwise(acc["tag"]).alias("tag"),
+                F.when(now["opens"], e["optional"]).otherwise(acc["optional"]).alias("optional"),
+                F.when(now["opens"], 1).when(fresh, 0).otherwise(end["depth"]).alias("depth"),
+                F.when(fresh, 0).otherwise(end["inner"]).alias("inner"),
+                F.when(now["opens"], e["i"]).otherwise(acc["start"]).alias("start"),
+                F.when(now["closes"], F.concat(acc["found"], F.array(_range(acc["start"], last))))
+                .otherwise(acc["found"])
+                .alias("found"),
+            )
+
+        return _ending(acc["tag"], acc["optional"], acc["depth"], acc["inner"], e, moved)
 
     def finish(acc: Column) -> Column:
         last = F.array(_range(acc["start"], F.lit(_LAST)))
@@ -161,23 +253,38 @@ def outer_ranges(events: Column, wanted: Callable[[Column], Column]) -> Column:
 
 
 def element_end(events: Column, opening: Column) -> Column:
-    """Index of the close tag that balances an open tag; the page end if there is none."""
-    state = F.struct(F.lit(1).alias("depth"), F.lit(_LAST).alias("end"))
+    """Index of the tag that ends an element: its own end tag or one that implies it; else the page's end."""
+    state = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("inner"), F.lit(_LAST).alias("end"))
 
     def step(acc: Column, e: Column) -> Column:
-        counts = (acc["end"] == _LAST) & (e["i"] > opening["i"]) & (e["name"] == opening["name"])
-        depth = acc["depth"] + F.when(counts, e["kind"]).otherwise(0)
-        return F.struct(
-            depth.alias("depth"),
-            F.when(counts & (depth == 0), e["i"]).otherwise(acc["end"]).alias("end"),
-        )
+        def moved(end: dict[str, Column]) -> Column:
+            found = F.when(end["own"] | end["implied"], e["i"]).otherwise(F.lit(_LAST))
+            return F.struct(end["depth"].alias("depth"), end["inner"].alias("inner"), found.alias("end"))
+
+        live = (acc["end"] == _LAST) & (e["i"] > opening["i"])
+        after = _ending(opening["name"], opening["optional"], acc["depth"], acc["inner"], e, moved)
+        return F.when(live, after).otherwise(acc)
 
     balanced = F.aggregate(events, state, step, lambda acc: acc["end"])
     return F.when(opening["kind"] == 1, balanced).otherwise(opening["i"])
 
 
+#: Stands for a decoded "<" until the text is put together; never a character of a text.
+_LESS = "\ufdd0"
+
+
+def decoded(tokens: Column) -> Column:
+    """Tokens with the references of their texts decoded, once for all later steps."""
+
+    def text(t: Column) -> Column:
+        plain = F.contains(t, F.lit("&")) & ~t.rlike("^<[a-zA-Z/!]")
+        return F.when(plain, F.replace(unescape(t), F.lit("<"), F.lit(_LESS))).otherwise(t)
+
+    return F.transform(tokens, text)
+
+
 def _strip_all(texts: Column, separator: str) -> Column:
-    stripped = F.transform(texts, lambda t: T.strip_blank(unescape(t)))
+    stripped = F.transform(texts, lambda t: T.strip_blank(F.replace(t, F.lit(_LESS), F.lit("<"))))
     return F.array_join(F.filter(stripped, lambda t: t != ""), separator)
 
 
@@ -241,30 +348,44 @@ def vendor_text(tokens: Column, events: Column, rules: PageRules) -> Column:
 
 
 def _sibling_spans(events: Column, after: Column) -> Column:
-    """Ranges of the sibling elements after an index, up to the next sibling heading."""
+    """Ranges of the sibling elements after an index, up to the next sibling heading.
+
+    A sibling whose end tag is left out ends at the next sibling or at the parent's end.
+    """
     nothing = F.array().cast(_RANGES)
     state = F.struct(
-        F.lit(0).alias("depth"), F.lit(False).alias("done"), F.lit(0).alias("start"), nothing.alias("spans")
+        F.lit("").alias("tag"), F.lit(False).alias("optional"), F.lit(0).alias("depth"), F.lit(0).alias("inner"),
+        F.lit(False).alias("done"), F.lit(0).alias("start"), nothing.alias("spans"),
     )
 
     def step(acc: Column, e: Column) -> Column:
-        live = ~acc["done"] & (e["i"] > after)
-        top = acc["depth"] == 0
-        stops = live & top & ((e["kind"] == -1) | ((e["kind"] == 1) & e["name"].isin(*_HEADINGS)))
-        depth = F.when(live & ~stops, acc["depth"] + e["kind"]).otherwise(acc["depth"])
-        ends = live & ~top & (depth == 0)
-        return F.struct(
-            depth.alias("depth"),
-            (acc["done"] | stops).alias("done"),
-            F.when(live & top & (e["kind"] == 1), e["i"]).otherwise(acc["start"]).alias("start"),
-            F.when(ends, F.concat(acc["spans"], F.array(_range(acc["start"], e["i"]))))
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        )
+        inside = acc["tag"] != ""
+
+        def moved(end: dict[str, Column]) -> Column:
+            top = ~inside | (end["implied"] & ~end["own"])
+            stops = top & (((e["kind"] == -1) & ~(inside & e["optional"])) | ((e["kind"] == 1) & e["name"].isin(*_HEADINGS)))
+            opens = top & ~stops & (e["kind"] == 1)
+            return following(end, {"closes": inside & (end["own"] | end["implied"]), "stops": stops, "opens": opens})
+
+        def following(end: dict[str, Column], now: dict[str, Column]) -> Column:
+            return F.struct(
+                F.when(now["opens"], e["name"]).when(now["closes"], "").otherwise(acc["tag"]).alias("tag"),
+                F.when(now["opens"], e["optional"]).otherwise(acc["optional"]).alias("optional"),
+                F.when(now["opens"], 1).otherwise(end["depth"]).alias("depth"),
+                F.when(now["opens"], 0).otherwise(end["inner"]).alias("inner"),
+                now["stops"].alias("done"),
+                F.when(now["opens"], e["i"]).otherwise(acc["start"]).alias("start"),
+                F.when(now["closes"], F.concat(acc["spans"], F.array(_range(acc["start"], e["i"]))))
+                .otherwise(acc["spans"])
+                .alias("spans"),
+            )
+
+        after_event = _ending(acc["tag"], acc["optional"], acc["depth"], acc["inner"], e, moved)
+        return F.when(~acc["done"] & (e["i"] > after), after_event).otherwise(acc)
 
     def finish(acc: Column) -> Column:
         last = F.array(_range(acc["start"], F.lit(_LAST)))
-        return F.when(~acc["done"] & (acc["depth"] > 0), F.concat(acc["spans"], last)).otherwise(acc["spans"])
+        return F.when(~acc["done"] & (acc["tag"] != ""), F.concat(acc["spans"], last)).otherwise(acc["spans"])
 
     return F.aggregate(events, state, step, finish)
 
@@ -290,17 +411,18 @@ def heading_text(tokens: Column, events: Column, rules: PageRules) -> Column:
 
 
 def blocks(tokens: Column, rules: PageRules) -> Column:
-    """Paragraph and list-item texts of a sensible length, in order, repeats included."""
+    """Paragraph and list-item texts in order, repeats included."""
     raw = F.regexp_extract_all(F.array_join(tokens, ""), F.lit(_BLOCK_START), F.lit(1))
 
     def inner(block: Column) -> Column:
         body = F.regexp_replace(block, "^[^>]*>", "")
         return _strip_all(F.split(body, "<[a-zA-Z/!][^>]*>"), " ")
 
-    return F.filter(
-        F.transform(raw, inner),
-        lambda t: F.length(t).between(rules.min_block_chars, rules.max_block_chars),
-    )
+    def wanted(t: Column) -> Column:
+        long_enough = F.length(t) >= rules.min_block_chars
+        return long_enough if rules.max_block_chars is None else long_enough & (F.length(t) <= rules.max_block_chars)
+
+    return F.filter(F.transform(raw, inner), wanted)
 
 
 def block_text(tokens: Column, rules: PageRules) -> Column:
@@ -356,10 +478,10 @@ def main_text(html: Column, rules: PageRules = PageRules()) -> Column:
                 let(
                     body_text(tok, events),
                     lambda b: F.when(
-                        F.length(b) > rules.min_body_chars,
-                        _choice(
-                            F.substring(b, rules.body_skip + 1, rules.max_chars - rules.body_skip), "body"
+                        F.length(b) > F.when(c["text"] == "", rules.min_body_chars).otherwise(
+                            max(rules.min_body_chars, rules.long_body_chars)
                         ),
+                        _choice(F.substring(b, rules.body_skip + 1, _LAST), "body"),
                     ).otherwise(c),
                 ),
             ).otherwise(c)
@@ -369,9 +491,10 @@ def main_text(html: Column, rules: PageRules = PageRules()) -> Column:
         third = let(second, lambda c: filled(c, block_text(tok, rules), "blocks"))
         return let(third, after_blocks)
 
-    cleaned = without_noise(tokenize(html), rules)
+    cleaned = decoded(without_noise(tokenize(html), rules))
     chosen = let(cleaned, lambda tok: let(tag_events(tok), lambda events: pick(tok, events)))
-    return let(
-        chosen,
-        lambda c: _choice(T.prefix(T.normalize(c["text"]), rules.max_chars), c["step"]),
-    )
+
+    def whole(text: Column) -> Column:
+        return text if rules.max_chars is None else T.prefix(text, rules.max_chars)
+
+    return let(chosen, lambda c: _choice(whole(T.normalize(c["text"])), c["step"]))

@@ -52,23 +52,56 @@ def test_headings_collect_sibling_elements_only(page):
 def test_blocks_in_order_without_repeats(page):
     same = "The same paragraph text. " * 6
     markup = (
-        f"<body><p>{same}</p><p>{same} with another end</p><p>too short</p><p>First <b>kept</b> paragraph<br>here"
+        f"<body><p>{same}</p><p>{same}</p><p>{same} with another end</p><p>short</p><p>First <b>kept</b> paragraph<br>here"
         "<p>Second kept paragraph</p><ul><li>A list item of some length<li>Another &lt;item&gt; &amp; more</ul></body>"
     )
     text, step = page(markup)
     assert step == "blocks"
     assert text == " ".join(
-        [same.strip(), "First kept paragraph here", "Second kept paragraph", "A list item of some length", "Another <item> & more"]
+        [same.strip(), same.strip() + " with another end", "short", "First kept paragraph here", "Second kept paragraph", "A list item of some length", "Another <item> & more"]
     )
 
 
-@pytest.mark.parametrize(("n", "want"), [(300, ("", "none")), (301, ("z" * 101, "body"))])
-def test_body_fallback_boundary(page, n, want):
-    assert page(f"<html><body><span>{'z' * n}</span></body></html>") == want
+def test_body_is_kept_whole(page):
+    assert page(f"<html><body><span>{'z' * 10}</span></body></html>") == ("z" * 10, "body")
+    assert page(f"<html><body><span>{'z' * 9000}</span></body></html>") == ("z" * 9000, "body")
 
 
-def test_result_is_cut(page):
-    assert len(page(f'<div class="posting">{"w" * 9000}</div>')[0]) == 8000
+def test_long_texts_and_paragraphs_are_kept_whole(page):
+    assert page(f'<div class="posting">{"w" * 9000}</div>') == ("w" * 9000, "container")
+    assert page(f"<body><p>{'a' * 2500}</p><p>{'b' * 130}1</p><p>{'b' * 130}2</p></body>")[0].split() == ["a" * 2500, "b" * 130 + "1", "b" * 130 + "2"]
+
+
+def test_limits_can_be_set(page):
+    rules = H.PageRules(max_chars=50, min_block_chars=3, max_block_chars=200, block_prefix=5)
+    assert page(f'<div class="posting">{"w" * 900}</div>', rules)[0] == "w" * 50
+    assert page(f"<p>ab<p>abcdef one<p>abcdef two<p>{'x' * 201}<p>{'other ' * 20}", rules)[0].startswith("abcdef one other other")
+
+
+PARAGRAPH = "long text of the job " * 40
+
+
+@pytest.mark.parametrize(
+    "markup",
+    [
+        '<li class="share">a<li>b</ul><p>', '<p class="login">Sign in<p>', '<table><tr><td class="social">x<td>y</table><p>',
+        '<article><p class="login"><b>Sign in<br><p>', '<dl><dt class="promo">x<dd class="promo">y</dl><p>', '<section><div class="share">never closed</section><p>', '<ul><li class="share">x</ul><p>',
+    ],
+)
+def test_noise_without_an_end_tag_ends_with_its_place(page, markup):
+    text, step = page(markup + PARAGRAPH)
+    assert step == "blocks" and text.endswith(PARAGRAPH.strip()) and "Sign" not in text and "closed" not in text
+
+
+def test_sections_end_with_their_parent(page):
+    markup = f"<div><p><strong>Duties</strong><span>{LONG}</span></p><p>outside</p></div>"
+    assert page(markup) == (LONG.strip(), "headings")
+
+
+def test_container_and_sibling_without_end_tags(page):
+    assert page(f'<ul><li class="posting">{LONG}<li>{LONG}no</ul>')[0] == LONG.strip()
+    markup = f"<div><h2>Requirements</h2><p>{LONG}<p>two <b>bold</b> more<ul><li>a<li>b</ul><h2>Other</h2><p>no</div>"
+    assert page(markup) == (f"{LONG}two bold more a b", "headings")
 
 
 @pytest.mark.parametrize(
@@ -76,7 +109,10 @@ def test_result_is_cut(page):
     [
         ("a &amp;lt; b", "a &lt; b"),
         ("&eacute;&#233;&#xe9;&#x1F600;", "ééé😀"),
-        ("&unknown; & &#0;", "&unknown; & &#0;"),
+        ("&unknown; & &#0;", "&unknown; & \ufffd"),
+        ("We&apos;re &#146;so&#x92;", "We're ’so’"),
+        ("a &amp b &ltc &notit;", "a & b <c ¬it;"),
+        ("&hellip;&CounterClockwiseContourIntegral;&#x110000;&#169 x", "…∳\ufffd© x"),
         ("AT&T", "AT&T"),
         ("a&nbsp;b", "a\xa0b"),
     ],
@@ -85,7 +121,7 @@ def test_unescape(one, given, want):
     assert one(H.unescape(F.col("x")), x=given) == want
 
 
-@pytest.mark.parametrize("markup", [None, "", "<", "<p", "plain text", "<div class=", "</div></p>"])
+@pytest.mark.parametrize("markup", [None, "", "<!-- x -->", "<p>", "</div></p>"])
 def test_broken_markup_yields_nothing(page, markup):
     assert page(markup) == ("", "none")
 

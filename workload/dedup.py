@@ -51,11 +51,11 @@ def d3(spark, sf):
     "d4_block_dedup",
     """SELECT doc_id, count(*) AS n_blocks, string_agg(block, chr(10) ORDER BY i) AS kept FROM (
       SELECT doc_id, u.i, u.block FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(block, i)
-      QUALIFY row_number() OVER (PARTITION BY doc_id, substring(block, 1, 120) ORDER BY i) = 1) GROUP BY doc_id""",
+      QUALIFY row_number() OVER (PARTITION BY doc_id, block ORDER BY i) = 1) GROUP BY doc_id""",
 )
 def d4(spark, sf):
     kept = table(spark, sf, "documents").withColumn(
-        "kept", keep_first_by_prefix(F.split("text", "\n"), 120)
+        "kept", keep_first_by_prefix(F.split("text", "\n"))
     )
     return kept.select(
         "doc_id", F.size("kept").cast("long").alias("n_blocks"), T.join_list(F.col("kept"), "\n").alias("kept")

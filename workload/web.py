@@ -64,7 +64,7 @@ def x1(spark, sf):
         AND k.page_id = p.page_id AND k.i > b.s AND k.i < b.e AND k.name = '' AND k.t <> '<!>' AND {_strip('k.t')} <> ''), '') AS box FROM pages p""",
 )
 def x3(spark, sf):
-    tokens = H.without_noise(H.tokenize(F.col("html")), _AD_BOX)
+    tokens = H.decoded(H.without_noise(H.tokenize(F.col("html")), _AD_BOX))
     box = let(tokens, lambda tok: let(H.tag_events(tok), lambda ev: H.container_text(tok, ev, _AD_BOX)))
     return table(spark, sf, "pages").select("page_id", box.alias("box"))
 
@@ -75,8 +75,7 @@ SQL_BLOCKS = f"""starts AS (SELECT page_id, i AS s, name FROM kept WHERE regexp_
     GROUP BY st.page_id, st.s),
   texts AS (SELECT s.page_id, s.s, string_agg({_strip('k.t')}, ' ' ORDER BY k.i) AS block FROM spans s JOIN kept k
     ON k.page_id = s.page_id AND k.i > s.s AND k.i < s.e AND k.name = '' AND k.t <> '<!>' AND {_strip('k.t')} <> '' GROUP BY s.page_id, s.s),
-  blocks AS (SELECT * FROM texts WHERE length(block) BETWEEN 15 AND 2000
-    QUALIFY row_number() OVER (PARTITION BY page_id, substring(block, 1, 120) ORDER BY s) = 1)"""
+  blocks AS (SELECT * FROM texts QUALIFY row_number() OVER (PARTITION BY page_id, block ORDER BY s) = 1)"""
 
 
 @query(
@@ -85,7 +84,7 @@ SQL_BLOCKS = f"""starts AS (SELECT page_id, i AS s, name FROM kept WHERE regexp_
       (SELECT page_id, count(*) AS n, string_agg(block, chr(10) ORDER BY s) AS body FROM blocks GROUP BY page_id) b ON b.page_id = p.page_id""",
 )
 def x6(spark, sf):
-    tokens = H.without_noise(H.tokenize(F.col("html")), _RULES)
+    tokens = H.decoded(H.without_noise(H.tokenize(F.col("html")), _RULES))
     kept = let(tokens, lambda tok: H.keep_first_by_prefix(H.blocks(tok, _RULES), _RULES.block_prefix))
     return table(spark, sf, "pages").withColumn("b", kept).select(
         "page_id", F.size("b").cast("long").alias("n_blocks"), F.array_join("b", "\n").alias("body")
@@ -99,10 +98,10 @@ SQL_MAIN = f"""WITH {sql_tokens(_RULES.noise)}, {SQL_BLOCKS},
     coalesce(min(i) FILTER (name = 'body' AND starts_with(t, '</')), 2147483647) AS e FROM kept GROUP BY page_id),
   b7 AS (SELECT k.page_id, string_agg({_strip('k.t')}, chr(10) ORDER BY k.i) AS body FROM kept k JOIN edge e ON e.page_id = k.page_id
     WHERE k.i > e.s AND k.i < e.e AND k.name = '' AND k.t <> '<!>' AND {_strip('k.t')} <> '' GROUP BY k.page_id),
-  picked AS (SELECT p.page_id, p.url, CASE WHEN length(coalesce(b6.body, '')) < 100 AND length(coalesce(b7.body, '')) > 300 THEN 'body'
+  picked AS (SELECT p.page_id, p.url, CASE WHEN length(coalesce(b6.body, '')) < 100 AND length(coalesce(b7.body, '')) > CASE coalesce(b6.body, '') WHEN '' THEN 0 ELSE 300 END THEN 'body'
       WHEN coalesce(b6.body, '') <> '' THEN 'blocks' ELSE 'none' END AS step, b6.body AS t6, b7.body AS t7
     FROM pages p LEFT JOIN b6 ON b6.page_id = p.page_id LEFT JOIN b7 ON b7.page_id = p.page_id),
-  main AS (SELECT page_id, url, step, substring({sql_norm("CASE step WHEN 'body' THEN substring(t7, 201, 7800) WHEN 'blocks' THEN t6 ELSE '' END")}, 1, 8000) AS text FROM picked)"""
+  main AS (SELECT page_id, url, step, {sql_norm("CASE step WHEN 'body' THEN t7 WHEN 'blocks' THEN t6 ELSE '' END")} AS text FROM picked)"""
 
 
 @query("x7_x8_main_text", f"{SQL_MAIN} SELECT page_id, url, step, text, length(text) AS n_chars FROM main")
@@ -129,9 +128,9 @@ SQL_BOX = f"""opening AS (SELECT page_id, min(i) AS s FROM kept WHERE regexp_mat
 @query(
     "x4_vendor_text",
     f"""{SQL_MAIN}, {SQL_BOX}, v AS (SELECT p.*, CASE WHEN length(b4.body) > 50 THEN b4.body END AS t4 FROM picked p LEFT JOIN b4 USING (page_id)),
-      w AS (SELECT *, CASE WHEN length(coalesce(t4, t6, '')) < 100 AND length(coalesce(t7, '')) > 300 THEN 'body' WHEN t4 IS NOT NULL THEN 'vendor'
+      w AS (SELECT *, CASE WHEN length(coalesce(t4, t6, '')) < 100 AND length(coalesce(t7, '')) > CASE coalesce(t4, t6, '') WHEN '' THEN 0 ELSE 300 END THEN 'body' WHEN t4 IS NOT NULL THEN 'vendor'
         WHEN coalesce(t6, '') <> '' THEN 'blocks' ELSE 'none' END AS step4 FROM v),
-      x AS (SELECT page_id, url, step4 AS step, substring({sql_norm("CASE step4 WHEN 'body' THEN substring(t7, 201, 7800) WHEN 'vendor' THEN t4 WHEN 'blocks' THEN t6 ELSE '' END")}, 1, 8000) AS text FROM w)
+      x AS (SELECT page_id, url, step4 AS step, {sql_norm("CASE step4 WHEN 'body' THEN t7 WHEN 'vendor' THEN t4 WHEN 'blocks' THEN t6 ELSE '' END")} AS text FROM w)
       SELECT page_id, url, step, text, length(text) AS n_chars FROM x""",
 )
 def x4(spark, sf):
@@ -144,5 +143,6 @@ def x4(spark, sf):
 @query("x5_heading_text")
 def x5(spark, sf):
     """Texts that follow headings which contain one of the data's frequent words."""
-    rules = replace(_RULES, section=r"\b(?:the|la|der|de)\b")
-    return extract_pages(table(spark, sf, "pages"), rules=rules)
+    rules = replace(_RULES, section=r"(?:^|[^a-zA-Z0-9_])(?:the|la|der|de)(?:[^a-zA-Z0-9_]|$)")
+    found = extract_pages(table(spark, sf, "pages"), rules=rules)
+    return found.withColumn("n_chars", F.col("n_chars").cast("long"))
