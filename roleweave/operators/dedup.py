@@ -25,7 +25,7 @@ def keep_first(df: DataFrame, keys: list, order: str = "arrival_seq") -> DataFra
     return df.join(winners, order, "left_semi")
 
 
-def posting_keys(postings: DataFrame, collapse_empty_links: bool = True) -> DataFrame:
+def posting_keys(postings: DataFrame, collapse_empty_links: bool = False) -> DataFrame:
     """Arrival number, link key and (title, company, location) key of each posting."""
     link = F.lower(T.strip_blank(T.text_or_empty(F.col("job_link"))))
     if not collapse_empty_links:
@@ -49,11 +49,11 @@ def first_by_triple(keys: DataFrame) -> DataFrame:
     return keys.groupBy("triple_key").agg(F.min("arrival_seq").alias("arrival_seq"))
 
 
-def deduplicate_postings(postings: DataFrame, collapse_empty_links: bool = True) -> DataFrame:
+def deduplicate_postings(postings: DataFrame, collapse_empty_links: bool = False) -> DataFrame:
     """Keep-first by link, then keep-first by (title, company, location) among the survivors.
 
-    All empty links share one key, so one posting without a link survives the first pass;
-    ``collapse_empty_links=False`` keeps each of them.
+    A posting without a link is compared by its triple only; with ``collapse_empty_links`` all
+    empty links share one key instead, and one such posting survives the first pass.
     """
     winners = first_by_triple(first_by_link(posting_keys(postings, collapse_empty_links)))
     return postings.join(winners.select("arrival_seq"), "arrival_seq", "left_semi")

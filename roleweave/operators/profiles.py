@@ -19,7 +19,6 @@ SECTION_PATTERNS = {
 }
 # Weights used when all given weights are zero (profile, skill, role).
 DEFAULT_WEIGHTS = (0.20, 0.50, 0.30)
-FOCUS_SKILLS, FOCUS_SUMMARY_CHARS, FOCUS_EXPERIENCE_CHARS = 40, 500, 1200
 
 
 def resume_sections(text: Column, patterns=SECTION_PATTERNS) -> dict[str, Column]:
@@ -40,14 +39,22 @@ def profile_skills(typed: Column, resume: Column, extractor: SkillExtractor, voc
     return canonicalize(union, vocab)
 
 
-def focus_text(role: Column, skills: Column, summary: Column, experience: Column) -> Column:
+def focus_text(
+    role: Column, skills: Column, summary: Column, experience: Column,
+    max_skills: int | None = None, summary_chars: int | None = None, experience_chars: int | None = None,
+) -> Column:
+    """Role, skills and resume sections as one text, whole unless a limit is given."""
+
+    def part(text: Column, limit: int | None) -> Column:
+        return text if limit is None else T.prefix(text, limit)
+
     return T.normalize(
         T.join_fields(
             " ",
             role,
-            F.array_join(F.slice(skills, 1, FOCUS_SKILLS), " "),
-            T.prefix(summary, FOCUS_SUMMARY_CHARS),
-            T.prefix(experience, FOCUS_EXPERIENCE_CHARS),
+            F.array_join(skills if max_skills is None else F.slice(skills, 1, max_skills), " "),
+            part(summary, summary_chars),
+            part(experience, experience_chars),
         )
     )
 

@@ -22,13 +22,13 @@ from roleweave.vocabulary import Vocabulary, array_literal, map_literal, one_of
 REQUIREMENT_CUES = (
     r"(?:experience with|proficiency in|proficient in|knowledge of|expertise in|skilled in|"
     r"hands[- ]on experience with|experience using|working knowledge of|familiarity with|"
-    r"familiar with)\s+([a-zA-Z0-9+#/\-\s,]{3,300})",
+    r"familiar with)\s+([a-zA-Z0-9+#/\-\s,]{3,})",
     r"(?:required skills?|preferred skills?|technical skills?|core skills?|key skills?)"
-    r"[:\s]+([a-zA-Z0-9+#/\-\s,]{3,350})",
-    r"(?:must have|should have|nice to have)\s+([a-zA-Z0-9+#/\-\s,]{3,250})",
-    r"(?:tools?|technologies?|stack|platforms?)[:\s]+([a-zA-Z0-9+#/\-\s,]{3,250})",
+    r"[:\s]+([a-zA-Z0-9+#/\-\s,]{3,})",
+    r"(?:must have|should have|nice to have)\s+([a-zA-Z0-9+#/\-\s,]{3,})",
+    r"(?:tools?|technologies?|stack|platforms?)[:\s]+([a-zA-Z0-9+#/\-\s,]{3,})",
     r"(?:using|use of|build using|reports using|develop and maintain|maintain)"
-    r"\s+([a-zA-Z0-9+#/\-\s,]{3,250})",
+    r"\s+([a-zA-Z0-9+#/\-\s,]{3,})",
 )
 # Words that mark a citizenship or clearance demand, never a skill.
 NON_SKILL_WORDS = rf"{T.LEFT_EDGE}(?:citizen|citizenship|clearance){T.RIGHT_EDGE}"
@@ -36,7 +36,7 @@ NON_SKILL_WORDS = rf"{T.LEFT_EDGE}(?:citizen|citizenship|clearance){T.RIGHT_EDGE
 LETTER_LEFT = r"(?:^|[,;:\s/(\[])"
 LETTER_RIGHT = r"(?:$|[,;:\s/)\]])"
 CHUNK_BREAK = "[.;•●○–—]"
-MIN_CHUNK_CHARS = 5
+MIN_CHUNK_CHARS = 1
 
 _TOKENS = rf"{T.WORD}+|{T.NON_WORD}+"
 _WORD_EDGED = re.compile(r"\w(.*\w)?", re.DOTALL)
@@ -341,13 +341,15 @@ class SkillExtractor:
 
 
 def scan_terms_by_join(
-    texts: DataFrame, id_col: str, text_col: str, surfaces: DataFrame, longest: int
+    texts: DataFrame, id_col: str, text_col: str, surfaces: DataFrame
 ) -> DataFrame:
     """The dictionary scan as a join, for dictionaries too large to inline: (id, skill) rows.
 
     A gram carries only the tokens around it, never the text.  Spark broadcasts the dictionary
     while its estimated size allows and shuffles otherwise; repeats are dropped per row before.
     """
+    words = F.size(F.regexp_extract_all("surface", F.lit(rf"{T.WORD}+"), F.lit(0)))
+    longest = surfaces.agg(F.coalesce(F.max(words), F.lit(1))).first()[0]
     literal = F.regexp_replace("surface", r"([^\p{L}\p{N}_\s])", r"\\$1")
     rows = surfaces.select(
         F.regexp_replace("surface", rf"^{T.NON_WORD}+|{T.NON_WORD}+$", "").alias("core"),

@@ -10,7 +10,8 @@ page int,
 results array<struct<
   title: string, description: string, redirect_url: string,
   company: string, location: string, category: string,
-  contract_type: string, contract_time: string, salary_min: double, salary_max: double>>
+  contract_type: string, contract_time: string, salary_min: double, salary_max: double>>,
+corrupt string
 """
 
 POSTING_CSV = (

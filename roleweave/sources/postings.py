@@ -9,10 +9,8 @@ from roleweave.functions import text as T
 from roleweave.operators.skills import SkillExtractor
 from roleweave.schema import API_PAGE, POSTING_CSV, nan_to_null
 
-# Pages per search and postings per page of the landed feed.
-MAX_PAGES = 12
+# Fixed value: postings per page of the landed feed.
 PAGE_ROWS = 50
-_PAGE_STRIDE = 1_000_000
 
 
 def read_api_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -21,26 +19,36 @@ def read_api_pages(spark: SparkSession, path: str) -> DataFrame:
     Company, location and category are read as raw text, so a value that is not an object is
     seen as such instead of failing the file.
     """
-    pages = spark.read.schema(API_PAGE).option("multiLine", True).json(path)
-    number = F.regexp_extract(F.input_file_name(), r"(\d+)\.json$", 1).try_cast("int")
-    return pages.withColumn("page", F.coalesce("page", number))
+    options = {"multiLine": True, "columnNameOfCorruptRecord": "corrupt"}
+    pages = spark.read.schema(API_PAGE).options(**options).json(path)
+    name = F.input_file_name()
+    number = F.regexp_extract(name, r"(\d+)\.json$", 1).try_cast("int")
+    landed = pages.withColumn("page", F.coalesce("page", number))
+    return landed.withColumn("search", F.regexp_extract(name, r"([^/]*)/[^/]*$", 1))
 
 
-def usable_pages(pages: DataFrame, search: str | None = None, max_pages: int = MAX_PAGES) -> DataFrame:
-    """Pages a search would read: up to the limit and before the first empty page.
+def parse_pages(json: Column) -> Column:
+    """A landed page given as text; one that cannot be parsed keeps its text in ``corrupt``."""
+    return F.from_json(json, API_PAGE, {"columnNameOfCorruptRecord": "corrupt"})
 
-    A page that failed to land is absent and does not end the search.  ``search`` names the
-    column that tells searches apart.
+
+def usable_pages(pages: DataFrame, search: str | None = None, max_pages: int | None = None) -> DataFrame:
+    """Pages a search would read: before the first empty page, and up to a limit if one is given.
+
+    A page that failed is absent or corrupt; it is left out and does not end the search.  ``search``
+    names the column that tells searches apart.
     """
-    capped = pages.where(F.col("page") <= max_pages)
+    capped = pages.where(F.col("corrupt").isNull()) if "corrupt" in pages.columns else pages
+    if max_pages is not None:
+        capped = capped.where(F.col("page") <= max_pages)
     empty = capped.where(F.coalesce(F.size("results"), F.lit(0)) == 0)
     if search is None:
         stop = empty.agg(F.min("page")).scalar()
-        return capped.where(F.col("page") < F.coalesce(stop, F.lit(max_pages + 1)))
+        return capped.where(F.coalesce(F.col("page") < stop, F.lit(True)))
     stops = empty.groupBy(search).agg(F.min("page").alias("_stop"))
     return (
         capped.join(stops, search, "left")
-        .where(F.col("page") < F.coalesce("_stop", F.lit(max_pages + 1)))
+        .where(F.coalesce(F.col("page") < F.col("_stop"), F.lit(True)))
         .drop("_stop")
     )
 
@@ -52,11 +60,17 @@ def _nested(raw: Column, field: str) -> Column:
 
 
 def flatten_pages(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per posting, every text normalized; arrival follows page, then place in page."""
+    """One row per posting, every text normalized.
+
+    ``arrival_seq`` orders by the ``keep`` columns (the search or file), page and place in the page;
+    it is unique if they tell all pages apart, and serves as ``posting_id`` too.
+    """
     rows = pages.select(*keep, "page", F.posexplode("results").alias("pos", "r"))
+    arrival = F.concat_ws("/", *[F.lpad(F.col(c).cast("string"), 12, "0") for c in (*keep, "page", "pos")])
     return rows.select(
         *keep,
-        (F.col("page").cast("long") * _PAGE_STRIDE + F.col("pos")).alias("arrival_seq"),
+        arrival.alias("arrival_seq"),
+        arrival.alias("posting_id"),
         T.normalize(F.col("r.title")).alias("job_title"),
         T.normalize(_nested(F.col("r.company"), "display_name")).alias("company"),
         T.normalize(_nested(F.col("r.location"), "display_name")).alias("job_location"),

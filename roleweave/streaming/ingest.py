@@ -32,14 +32,14 @@ def _write(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def dedup_sink(target: str) -> Callable[[DataFrame, int], None]:
+def dedup_sink(target: str, collapse_empty_links: bool = False) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function that appends the new postings of a batch below ``target``."""
     links, triples, rows = f"{target}/links", f"{target}/triples", f"{target}/postings"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         ensure_checkpoint_dir(spark)
-        first = first_by_link(posting_keys(batch))
+        first = first_by_link(posting_keys(batch, collapse_empty_links))
         seen = _earlier(spark, links, batch_id)
         if seen is not None:
             first = first.join(seen.select("link_key"), "link_key", "left_anti")
@@ -58,10 +58,10 @@ def dedup_sink(target: str) -> Callable[[DataFrame, int], None]:
 
 
 def ingest(
-    postings: DataFrame, target: str, checkpoint: str, available_now: bool = True
+    postings: DataFrame, target: str, checkpoint: str, available_now: bool = True, collapse_empty_links: bool = False
 ) -> StreamingQuery:
     """Run a posting stream into the deduplicated table below ``target``."""
-    writer = postings.writeStream.foreachBatch(dedup_sink(target)).option("checkpointLocation", checkpoint)
+    writer = postings.writeStream.foreachBatch(dedup_sink(target, collapse_empty_links)).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
 

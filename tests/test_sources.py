@@ -132,3 +132,21 @@ def test_bounded_state_variant(spark, tmp_path):
     )
     query.awaitTermination()
     assert sorted(r["job_link"] for r in spark.table("recent").collect()) == ["u", "v"]
+
+
+def test_a_cut_off_page_is_skipped_and_an_empty_one_ends(spark, tmp_path):
+    folder = tmp_path / "search-a"
+    folder.mkdir()
+    good = '{"results": [{"title": "t%d", "redirect_url": "u%d"}]}'
+    for page, text in {1: good % (1, 1), 2: '{"results": [{"title": "cut', 3: good % (3, 3), 4: '{"other": 1}', 5: good % (5, 5)}.items():
+        (folder / f"{page}.json").write_text(text)
+    usable = P.usable_pages(P.read_api_pages(spark, str(tmp_path / "*")), "search")
+    rows = P.flatten_pages(usable, keep=("search",)).orderBy("arrival_seq").collect()
+    assert [(r["search"], r["source_page"], r["job_title"]) for r in rows] == [("search-a", 1, "t1"), ("search-a", 3, "t3")]
+    assert len({r["posting_id"] for r in rows}) == 2
+
+
+def test_pages_have_no_limit_by_default(spark):
+    pages = spark.range(1, 31).selectExpr("cast(id as int) AS page", "array(named_struct('title', 't')) AS results")
+    assert P.usable_pages(pages).count() == 30
+    assert P.usable_pages(pages, max_pages=12).count() == 12

@@ -9,7 +9,7 @@ from roleweave.functions.arrays import keep_first_by_prefix
 from roleweave.operators import dedup as D
 from workload.common import P_CTE, postings, query, sql_key, table
 
-SQL_DEDUP = f"""keyed AS (SELECT *, lower(coalesce(job_link, '')) AS link_key, {sql_key('job_title')} AS k1,
+SQL_DEDUP = f"""keyed AS (SELECT *, coalesce(nullif(lower(coalesce(job_link, '')), ''), concat('no link ', arrival_seq)) AS link_key, {sql_key('job_title')} AS k1,
     {sql_key('company')} AS k2, {sql_key('job_location')} AS k3 FROM postings),
   pass_a AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY link_key ORDER BY arrival_seq) = 1),
   unique_postings AS (SELECT * FROM pass_a QUALIFY row_number() OVER (PARTITION BY k1, k2, k3 ORDER BY arrival_seq) = 1)"""
@@ -27,7 +27,7 @@ def d1(spark, sf):
     {SQL_DEDUP} SELECT posting_id FROM unique_postings""",
 )
 def d1_hot(spark, sf):
-    """More than half of the postings have no link, so they share one key."""
+    """More than half of the postings have no link; each is compared by its triple alone."""
     p = postings(spark, sf)
     return D.deduplicate_postings(
         p.withColumn("job_link", F.when(F.col("job_location") == "en", "").otherwise(F.col("job_link")))

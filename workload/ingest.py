@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from roleweave.functions import text as T
 from roleweave.plans import matching as N
-from roleweave.schema import API_PAGE
+from roleweave.operators import dedup as D
 from roleweave.session import ensure_checkpoint_dir
 from roleweave.sources import postings as P
 from roleweave.streaming import ingest as I
@@ -16,11 +16,11 @@ from workload.common import P_CTE, postings, query, sql_norm, table, vocabulary
 from workload.dedup import SQL_DEDUP
 from workload.scoring import QUERY_TEXT, sql_terms, sql_unit, sql_vocabulary
 
-_PER_SEARCH, _PER_PAGE, _MAX_PAGES = 200, 10, 20
+_PER_SEARCH, _PER_PAGE = 200, 10
 
 
-def landed(spark, sf):
-    """One JSON text per (search, page): ten documents a page, some pages failed, some empty."""
+def landed(spark, sf, whole=False):
+    """One JSON text per (search, page): ten documents a page; unless ``whole``, some pages failed, some empty."""
     d = table(spark, sf, "documents")
     named = F.to_json(F.struct(F.col("source").alias("display_name")))
     place = F.to_json(F.struct(F.col("lang").alias("display_name")))
@@ -43,20 +43,33 @@ def landed(spark, sf):
     ).agg(F.sort_array(F.collect_list(posting)).alias("results"))
     failed = (F.col("page") + F.col("search")) % 7 == 3
     empty = F.col("page") == 13 + F.col("search") % 6
+    if whole:
+        failed, empty = F.lit(False), F.lit(False)
+    absent = failed & (F.col("page") % 2 == 0)
     results = F.when(empty, F.slice("results", 1, 0)).otherwise(F.col("results"))
-    return grouped.where(~failed).select("search", F.to_json(F.struct("page", results.alias("results"))).alias("json"))
+    return grouped.where(~absent).select(
+        "search", "page", failed.alias("failed"), F.to_json(F.struct("page", results.alias("results"))).alias("json")
+    )
 
 
 def parsed(spark, sf):
-    pages = landed(spark, sf).select("search", F.from_json("json", API_PAGE).alias("p")).select("search", "p.*")
-    return P.usable_pages(pages, "search", _MAX_PAGES)
+    """All landed pages; of the failed ones some are absent and some cut off."""
+    text = F.when(F.col("failed"), F.expr("substring(json, 1, length(json) - 5)")).otherwise(F.col("json"))
+    return landed(spark, sf).select("search", P.parse_pages(text).alias("p"), "page").select(
+        "search", "page", "p.results", "p.corrupt"
+    )
+
+
+def usable(spark, sf):
+    return P.usable_pages(parsed(spark, sf), "search")
 
 
 _SQL_PAGES = f"""placed AS (SELECT *, doc_id // {_PER_SEARCH} AS search, (doc_id % {_PER_SEARCH}) // {_PER_PAGE} + 1 AS page,
     doc_id % {_PER_PAGE} AS pos FROM documents),
-  landed AS (SELECT *, page = 13 + search % 6 AS empty FROM placed WHERE (page + search) % 7 <> 3 AND page <= {_MAX_PAGES}),
+  landed AS (SELECT *, page = 13 + search % 6 AS empty FROM placed WHERE (page + search) % 7 <> 3),
   stops AS (SELECT search, min(page) AS stop FROM landed WHERE empty GROUP BY search),
-  usable AS (SELECT l.* FROM landed l LEFT JOIN stops s ON s.search = l.search WHERE page < coalesce(stop, {_MAX_PAGES} + 1))"""
+  usable AS (SELECT l.* FROM landed l LEFT JOIN stops s ON s.search = l.search WHERE page < coalesce(stop, 1000000)),
+  flat AS (SELECT *, concat(lpad(search::VARCHAR, 12, '0'), '/', lpad(page::VARCHAR, 12, '0'), '/', lpad(pos::VARCHAR, 12, '0')) AS arrival FROM placed)"""
 
 
 @query(
@@ -64,34 +77,52 @@ _SQL_PAGES = f"""placed AS (SELECT *, doc_id // {_PER_SEARCH} AS search, (doc_id
     f"WITH {_SQL_PAGES} SELECT search, page, count(*) AS n FROM usable GROUP BY search, page",
 )
 def s4(spark, sf):
-    return parsed(spark, sf).select("search", "page", F.size("results").cast("long").alias("n"))
+    return usable(spark, sf).select("search", "page", F.size("results").cast("long").alias("n"))
+
+
+def _whole(spark, sf):
+    """Every document as a posting of a page that landed well."""
+    return landed(spark, sf, whole=True).select("search", P.parse_pages(F.col("json")).alias("p")).select("search", "p.*")
 
 
 @query(
     "s2_flatten_pages",
-    f"""WITH {_SQL_PAGES} SELECT search, page * 1000000 + pos AS arrival_seq, {sql_norm('text')} AS job_title,
+    f"""WITH {_SQL_PAGES} SELECT search, arrival AS arrival_seq, arrival AS posting_id, {sql_norm('text')} AS job_title,
       CASE WHEN lang IN ('en', 'fr') THEN source ELSE '' END AS company, lang AS job_location, {sql_norm('text')} AS job_description,
       md5(text) AS job_link, '' AS category, CASE lang WHEN 'fr' THEN 'contract' ELSE '' END AS contract_type, 'full_time' AS contract_time,
       'United States' AS search_country, CASE WHEN doc_id % 5 <> 0 THEN n_chars::DOUBLE END AS salary_min, n_chars::DOUBLE AS salary_max,
-      page AS source_page FROM usable""",
+      page AS source_page FROM flat""",
 )
 def s2(spark, sf):
-    return P.flatten_pages(parsed(spark, sf), keep=("search",))
+    return P.flatten_pages(_whole(spark, sf), keep=("search",))
 
 
 @query(
     "s3_flatten_reduced",
-    f"""WITH {_SQL_PAGES} SELECT text AS job_title, 'c' AS company, lang AS job_location, chr(160) || text || chr(10) AS job_description, md5(text) AS job_link,
-      '' AS job_skills, 'United States' AS search_country, '' AS job_level, '' AS job_type FROM usable""",
+    f"""WITH {_SQL_PAGES} SELECT text AS job_title, source AS company, lang AS job_location, chr(160) || text || chr(10) AS job_description, md5(text) AS job_link,
+      '' AS job_skills, 'United States' AS search_country, '' AS job_level, '' AS job_type FROM flat WHERE lang IN ('en', 'fr')""",
 )
 def s3(spark, sf):
-    named = parsed(spark, sf).withColumn(
-        "results",
-        F.transform("results", lambda r: r.withField("company", F.lit('{"display_name": "c"}'))),
+    """Postings whose company is an object; a missing one fails the rule, which a unit test shows."""
+    named = _whole(spark, sf).withColumn(
+        "results", F.filter("results", lambda r: F.coalesce(r["company"].startswith("{"), F.lit(False)))
     )
     return P.flatten_reduced(named)
 
 
+@query(
+    "ingest_landed_to_unique",
+    f"""WITH {_SQL_PAGES}, postings AS (SELECT arrival AS arrival_seq, arrival AS posting_id, {sql_norm('text')} AS job_title,
+      CASE WHEN lang IN ('en', 'fr') THEN source ELSE '' END AS company, lang AS job_location, md5(text) AS job_link
+      FROM flat JOIN (SELECT search, page FROM usable GROUP BY ALL) USING (search, page)), {SQL_DEDUP}
+      SELECT posting_id, job_link FROM unique_postings""",
+)
+def landed_to_unique(spark, sf):
+    """Landed pages, the page rule, one row per posting, two-pass deduplication."""
+    rows = P.flatten_pages(usable(spark, sf), keep=("search",))
+    return D.deduplicate_postings(rows).select("posting_id", "job_link")
+
+
 @query(
     "u4_accumulate",
     "SELECT item_id AS doc_id, text FROM benchmark UNION ALL SELECT doc_id, text FROM documents",

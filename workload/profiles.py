@@ -91,8 +91,8 @@ def _sql_section(name):
 
 @query(
     "p3_p5_focus_and_query_text",
-    f"""{_P2}, listed AS (SELECT id, array_to_string(list_slice(list(skill ORDER BY skill), 1, 40), ' ') AS skills FROM profile_skill GROUP BY id),
-    focus AS (SELECT profile_id, role, {sql_norm(f"concat(role, ' ', coalesce(skills, ''), ' ', substring({_sql_section('summary_text')}, 1, 500), ' ', substring({_sql_section('experience_text')}, 1, 1200))")} AS focus_text
+    f"""{_P2}, listed AS (SELECT id, array_to_string(list(skill ORDER BY skill), ' ') AS skills FROM profile_skill GROUP BY id),
+    focus AS (SELECT profile_id, role, {sql_norm(f"concat(role, ' ', coalesce(skills, ''), ' ', {_sql_section('summary_text')}, ' ', {_sql_section('experience_text')})")} AS focus_text
       FROM raw_profiles LEFT JOIN listed ON id = profile_id)
     SELECT profile_id, focus_text, coalesce(nullif(focus_text, ''), {sql_norm('role')}) AS query_text FROM focus""",
 )

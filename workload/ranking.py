@@ -54,7 +54,7 @@ SQL_SEARCH = f"""WITH {VOCAB_CTE}, {_KNOWN}, {P_CTE}, {SQL_DEDUP},
     {sql_match("contract_type || ' ' || contract_time || ' ' || job_title || ' ' || job_description")} AS tblob
     FROM kept k JOIN listed ON listed.id = posting_id),
   src AS (SELECT posting_id AS id, concat(job_title, ' | ', job_description, ' | ', job_skills, ' | ', company, ' | ', job_location) AS body FROM blobs),
-  qsrc AS (SELECT 0 AS id, {sql_norm(f"concat(role, ' ', array_to_string(list_slice(us, 1, 40), ' '), ' ', substring({_sql_section('summary_text')}, 1, 500), ' ', substring({_sql_section('experience_text')}, 1, 1200))")} AS body FROM me),
+  qsrc AS (SELECT 0 AS id, {sql_norm(f"concat(role, ' ', array_to_string(us, ' '), ' ', {_sql_section('summary_text')}, ' ', {_sql_section('experience_text')})")} AS body FROM me),
   {sql_terms('src', 'd')}, {sql_terms('qsrc', 'q')}, {sql_vocabulary('src', 'd', CAP)},
   {sql_unit('d_tf', 'dv')}, {sql_unit('q_tf', 'qv')},
   dots AS (SELECT d.id, sum(d.w * q.w) AS s FROM dv d JOIN qv q USING (term) GROUP BY d.id),

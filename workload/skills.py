@@ -53,7 +53,7 @@ def sql_letters(texts: str, out: str) -> str:
     )
     return f"""{out}_pieces AS MATERIALIZED (SELECT id, matching AS piece FROM {texts} UNION ALL
       SELECT id, piece FROM (SELECT id, trim(unnest(regexp_split_to_array(matching, '[.;•●○–—]'))) AS piece FROM {texts})
-      WHERE length(piece) >= 5),
+      WHERE length(piece) >= 1),
     {out} AS ({hits})"""
 
 
@@ -144,7 +144,7 @@ def e3_join(spark, sf):
     surfaces = _surfaces(spark, K.scan_surfaces)
     rows = spark.sql(values([(s, c) for s, cs in surfaces.items() for c in cs], "surface, canonical"))
     docs = table(spark, sf, "documents").select("doc_id", T.match_text(F.col("text")).alias("matching"))
-    return K.scan_terms_by_join(docs, "doc_id", "matching", rows, longest=3)
+    return K.scan_terms_by_join(docs, "doc_id", "matching", rows)
 
 
 @query(
