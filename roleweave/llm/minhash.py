@@ -38,7 +38,7 @@ class Settings:
     chunks: int = 11
     symbols: int = 6
     errors: int = 1
-    block: int = 256
+    block: int = 1024
 
     @property
     def length(self) -> int:
@@ -212,16 +212,20 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield held.combine_chunks()
 
 
-def _pairs_in(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of all pairs inside consecutive groups."""
+def _pairs_in(sizes: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of all pairs inside consecutive groups, some ``most`` pairs (or one group) at a time."""
     starts = np.cumsum(sizes) - sizes
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for size in np.unique(sizes[sizes > 1]):
-        i, j = np.triu_indices(size, 1)
-        at = starts[sizes == size][:, None]
-        left.append((at + i).ravel())
-        right.append((at + j).ravel())
-    return np.concatenate(left), np.concatenate(right)
+    parts = np.cumsum(sizes * (sizes - 1) // 2) // most
+    for part in np.unique(parts):
+        mine = parts == part
+        left, right = [], []
+        for size in np.unique(sizes[mine & (sizes > 1)]):
+            i, j = np.triu_indices(size, 1)
+            at = starts[mine & (sizes == size)][:, None]
+            left.append((at + i).ravel())
+            right.append((at + j).ravel())
+        if left:
+            yield np.concatenate(left), np.concatenate(right)
 
 
 def cross_pairs(members: DataFrame, settings: Settings) -> DataFrame:
@@ -244,26 +248,26 @@ def cross_pairs(members: DataFrame, settings: Settings) -> DataFrame:
             sig = _matrix(table.column("sig").combine_chunks(), length)
             edge = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
             sizes = np.diff(np.concatenate([[0], edge, [len(key)]]))
-            i, j = _pairs_in(sizes)
-            want = (label[i] != label[j]) & ((own[i] != own[j]) | (low[i] == high[i]))
-            want &= (node[i] != leader[i]) & (node[j] != leader[j])
-            common = np.minimum(size[i] - private[i], size[j] - private[j])
-            want &= under * common >= over * np.maximum(size[i] + private[j], size[j] + private[i])
-            i, j = i[want], j[want]
-            for at in range(0, len(i), 50_000):
-                x, y = i[at : at + 50_000], j[at : at + 50_000]
-                differs = sig[x] != sig[y]
-                first = np.full(len(x), -1)
-                for number in range(len(masks) - 1, -1, -1):
-                    first[~differs[:, masks[number]].any(1)] = number
-                near = differs.sum(1) <= radius
-                for number in np.unique(first[near]):
-                    rows_ = near & (first == number)
-                    near[rows_] = _index_key(sig[x[rows_]], masks[number], number).view(np.int64) == key[x[rows_]]
-                a, b = node[x[near]], node[y[near]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]
-                )
+            for i, j in _pairs_in(sizes):
+                want = (label[i] != label[j]) & ((own[i] != own[j]) | (low[i] == high[i]))
+                want &= (node[i] != leader[i]) & (node[j] != leader[j])
+                common = np.minimum(size[i] - private[i], size[j] - private[j])
+                want &= under * common >= over * np.maximum(size[i] + private[j], size[j] + private[i])
+                yield from near_rows(key, node, sig, i[want], j[want])
+
+    def near_rows(key: np.ndarray, node: np.ndarray, sig: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(i), 50_000):
+            x, y = i[at : at + 50_000], j[at : at + 50_000]
+            differs = sig[x] != sig[y]
+            first = np.full(len(x), -1)
+            for number in range(len(masks) - 1, -1, -1):
+                first[~differs[:, masks[number]].any(1)] = number
+            near = differs.sum(1) <= radius
+            for number in np.unique(first[near]):
+                mine = near & (first == number)
+                near[mine] = _index_key(sig[x[mine]], masks[number], number).view(np.int64) == key[x[mine]]
+            a, b = node[x[near]], node[y[near]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     blocks = F.ceil(F.col("n") / settings.block).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
