@@ -15,7 +15,7 @@ from roleweave.functions.arrays import let, run_counts
 from roleweave.operators.joins import unmatched_key
 from roleweave.vocabulary import one_of
 
-# Fixed value: vocabulary size of the ranking model.
+# A usual vocabulary size, for callers that want that cut; the default keeps all terms.
 MAX_FEATURES = 40_000
 HOT_TERMS = 20_000
 
@@ -46,7 +46,7 @@ def explode_terms(docs: DataFrame, id_col: str, counts_col: str = "terms") -> Da
 
 
 def fit_vocabulary(
-    docs: DataFrame, counts_col: str = "terms", max_features: int | None = MAX_FEATURES
+    docs: DataFrame, counts_col: str = "terms", max_features: int | None = None
 ) -> DataFrame:
     """(term, df, idf) of the corpus; the cap keeps the most frequent terms, ties by term.
 
@@ -100,7 +100,7 @@ def query_weights(queries: DataFrame, vocabulary: DataFrame, query_id: str, coun
 
 
 def cosine_to_query(
-    docs: DataFrame, query: DataFrame, doc_id: str, max_features: int | None = MAX_FEATURES
+    docs: DataFrame, query: DataFrame, doc_id: str, max_features: int | None = None
 ) -> DataFrame:
     """Cosine of one query against every document: (doc, similarity), zero if nothing is shared.
 
@@ -121,7 +121,7 @@ def cosine_to_query(
 
 
 def cosine_pairs(
-    docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, max_features: int | None = MAX_FEATURES
+    docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, max_features: int | None = None
 ) -> DataFrame:
     """(query, doc, similarity) for a table of queries; pairs that share no term are left out.
 

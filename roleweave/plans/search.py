@@ -18,7 +18,7 @@ from roleweave.operators import classify, score
 from roleweave.operators.dedup import deduplicate_postings
 from roleweave.operators.rank import sort_keys, with_rank
 from roleweave.operators.skills import SkillExtractor, canonicalize
-from roleweave.operators.tfidf import MAX_FEATURES, cosine_to_query, term_counts
+from roleweave.operators.tfidf import cosine_to_query, term_counts
 from roleweave.session import ensure_checkpoint_dir
 from roleweave.vocabulary import Vocabulary, array_literal, bounded_rows
 
@@ -29,7 +29,7 @@ class SearchOptions:
     home_country_only: bool = True
     facets: dict[str, str] = field(default_factory=dict)
     sort: str = "Best Match"
-    max_features: int = MAX_FEATURES
+    max_features: int | None = None
 
 
 def one_profile(profiles: DataFrame) -> Row:

@@ -189,7 +189,7 @@ def r5(spark, sf):
 
 # --- TF-IDF -----------------------------------------------------------------------------------
 
-CAP = 4000
+CAP = None
 
 
 def sql_terms(source: str, out: str, bigrams: bool = True) -> str:
