@@ -72,7 +72,9 @@ def test_weights_sections_focus(one):
     got = {k: one(c, x=text) for k, c in P.resume_sections(F.col("x")).items()}
     assert got == {"skills_text": "sql, go", "experience_text": "two years", "summary_text": ": keen. technical"}
     focus = P.focus_text(F.lit("dev"), F.array(F.lit("a"), F.lit("b")), F.lit("s" * 600), F.lit(""))
-    assert one(focus) == "dev a b " + "s" * 500
+    assert one(focus) == "dev a b " + "s" * 600
+    cut = P.focus_text(F.lit("dev"), F.array(F.lit("a"), F.lit("b")), F.lit("s" * 600), F.lit("e" * 9), 1, 500, 3)
+    assert one(cut) == "dev a " + "s" * 500 + " eee"
     assert one(P.query_text(F.lit(" "), F.lit(" dev "))) == "dev"
 
 
