@@ -39,7 +39,7 @@ def found(df):
 def test_recall_and_scores(spark):
     rng = np.random.default_rng(5)
     rows = [(i, (v * (1 + i % 3)).tolist()) for i, v in enumerate(rng.normal(size=(3000, 24)))]
-    got, want = found(ann.search_table(table(spark, rows), ann.Settings(block=700, chunk=60))), brute(rows)
+    got, want = found(ann.search_table(table(spark, rows), ann.Settings(block=700, least_block=100, chunk=60))), brute(rows)
     assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
     hits = [len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]
     assert np.mean(hits) >= 0.9
@@ -59,6 +59,6 @@ def test_odd_vectors_and_ties(spark):
 
 def test_fewer_candidates_than_neighbours_and_none(spark):
     rows = [(i, [float(i + 1), 1.0]) for i in range(0, 60, 10)]
-    got, want = found(ann.search_table(table(spark, rows), ann.Settings(block=2))), brute(rows)
+    got, want = found(ann.search_table(table(spark, rows), ann.Settings(block=2, least_block=1))), brute(rows)
     assert {q: [i for i, _ in f] for q, f in got.items()} == {q: [i for i, _ in f] for q, f in want.items()}
     assert ann.search_table(table(spark, rows).filter("false")).collect() == []
