@@ -29,7 +29,7 @@ CONTEXT = 2
 
 @dataclass(frozen=True)
 class Settings:
-    """Model and training sizes; ``head`` tokens of up to ``longest`` bytes are sent to all tasks."""
+    """Model and training sizes; at most ``head`` tokens of up to ``longest`` bytes are sent to all tasks."""
 
     vocabulary: int = 768
     dimensions: int = 16
@@ -100,12 +100,23 @@ class Lexicon:
 def lexicon(counts: DataFrame, settings: Settings) -> Lexicon:
     """Frequent tokens (a bounded list) and totals per class, over all of ``counts``."""
     short = counts.filter(F.octet_length("token") <= settings.longest)
-    top = short.orderBy(F.desc("c"), "token").limit(settings.head).collect()
+    # Tokens by frequency band, at most some 1,000 bands; whole bands are taken while they fit.
+    band = F.floor(F.log2(F.col("c").cast("double")) * 16).cast("int")
+    bands = short.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n")).collect()
+    room, cutoff = settings.head, None
+    for r in sorted(bands, key=lambda r: -r["band"]):
+        room -= r["n"]
+        if room < 0:
+            break
+        cutoff = r["band"]
+    table = short.filter(band >= cutoff).toArrow() if cutoff is not None else short.limit(0).toArrow()
+    top = sorted(zip(table.column("token").to_pylist(), table.column("c").to_pylist()), key=lambda x: (-x[1], x[0]))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    ids = {bytes(r["token"]): i for i, r in enumerate(top)}
-    seen = np.array([r["c"] for r in top], np.int64)
-    if END not in ids:  # an empty training table
-        ids[END], seen = len(ids), np.append(seen, 0)
+    ids = {token: i for i, (token, _) in enumerate(top)}
+    seen = np.array([c for _, c in top], np.int64)
+    if END not in ids:  # no training rows, or too rare for a small head
+        ids[END] = len(ids)
+        seen = np.append(seen, (counts.filter(F.octet_length("token") == 0).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]))
     spared = F.octet_length("token") == 0  # the end is always a class
     if ids[END] >= settings.vocabulary:
         swap = next(t for t, i in ids.items() if i == settings.vocabulary - 1)
