@@ -95,7 +95,8 @@ def remove_boilerplate(docs: DataFrame, settings: Settings = Settings()) -> Data
     text = F.col("text").cast("string")
     lines = split_lines(text)
     joined = salted_join(
-        source.withColumn("_text_id", text_id(text)), gone.withColumnRenamed("text_id", "_text_id"), ["_text_id"], F.col("doc_id"), "left"
+        source.withColumn("_text_id", text_id(text)), gone.withColumnRenamed("text_id", "_text_id"), ["_text_id"], F.col("doc_id"), "left",
+        same_plan=True,
     )
     kept = F.filter(lines, lambda line, i: F.coalesce(~F.array_contains("_gone", i), F.lit(True)))
     removed = F.coalesce(F.size("_gone"), F.lit(0))

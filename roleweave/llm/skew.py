@@ -13,19 +13,21 @@ HOT_SHARE = 1 / 1000
 LEAST_HOT_ROWS = 200
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "inner", same_plan: bool = False) -> DataFrame:
     """Join with the hot keys of ``left`` split over several tasks.
 
     Keys with at least a thousandth of the left rows are counted first; there can be no more than a
     thousand of them, which bounds what is broadcast.  Their left rows are dealt by ``spread`` (a
     hash of other columns) and their right rows are repeated once per part.  ``how`` is inner,
     left or left_semi or left_anti; ``right`` should hold few rows per key.  Rows with a null key match nothing.
+    ``same_plan`` shuffles both sides at every size instead of leaving a small side to be broadcast.
     """
+    plan = (lambda df: df.hint("merge")) if same_plan else (lambda df: df)
     counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     counts = counts.filter(F.col("_rows") >= LEAST_HOT_ROWS)
     found = counts.orderBy(F.desc("_rows")).limit(int(1 / HOT_SHARE)).collect()
     if not found:
-        return left.join(right, keys, how)
+        return left.join(plan(right), keys, how)
     schema = counts.schema
     limit = max(LEAST_HOT_ROWS, found[-1]["_rows"] if len(found) >= 1 / HOT_SHARE else 0)
     hot = left.sparkSession.createDataFrame(found, schema).select(
@@ -37,7 +39,7 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Colu
     copied = right.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))
     )
-    return dealt.drop("_parts").join(copied.drop("_parts"), [*keys, "_salt"], how).drop("_salt")
+    return dealt.drop("_parts").join(plan(copied.drop("_parts")), [*keys, "_salt"], how).drop("_salt")
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], total: int, name: str) -> DataFrame:
