@@ -5,13 +5,18 @@ A rare token's probability is its class's, times its share of that class; each c
 for tokens never seen.  The next class's logit is the product of its vector with the weighted sum
 of the vectors of the two tokens before, plus a bias.  Training never normalises; scoring does, by
 matrix products over all classes for every distinct pair of preceding tokens.
+
+The corpus is dealt into units of about as many tokens, and the number of units follows its tokens
+alone.  A turn trains a unit in every lane from the same weights and averages them; the next turn
+goes on from there.  How the input was partitioned changes which texts share a unit, nothing else.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +30,22 @@ from roleweave.llm.storage import stage
 #: The end of a text as a token; no word is empty.
 END = b""
 CONTEXT = 2
+#: What the squared gradients of a weight start from.
+FIRST_SQUARE = 1e-2
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Model and training sizes; at most ``head`` tokens of up to ``longest`` bytes are sent to all tasks."""
+    """Model and training sizes; at most ``head`` tokens of up to ``longest`` bytes are sent to all tasks.
+
+    ``rounds`` are passes over the corpus; a unit is at most about ``unit`` steps of ``batch`` tokens.
+    """
 
     vocabulary: int = 768
     dimensions: int = 16
     noise: int = 64
     batch: int = 8192
+    unit: int = 64
     rate: float = 0.1
     rounds: int = 1
     head: int = 200_000
@@ -217,7 +228,7 @@ class Trainer:
         self.logs = np.log(settings.noise * self.noise)
         self.cumulative = np.cumsum(self.noise.astype(np.float64))
         self.rng = np.random.default_rng(seed)
-        self.squares = [np.full(x.shape, 1e-2, np.float32) for x in (weights.left, weights.mixed, weights.right, weights.bias)]
+        self.squares = [np.full(x.shape, FIRST_SQUARE, np.float32) for x in (weights.left, weights.mixed, weights.right, weights.bias)]
 
     def step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> None:
         w, n, k = self.w, len(target), self.s.classes
@@ -242,43 +253,118 @@ class Trainer:
             x -= self.s.rate * g / np.sqrt(square)
 
     def learn(self, kind: np.ndarray, sizes: np.ndarray, end: int) -> None:
-        one, two = _contexts(kind, sizes, end)
-        order = self.rng.permutation(len(kind))
-        for at in range(0, len(order), self.s.batch):
-            rows = order[at : at + self.s.batch]
-            self.step(one[rows], two[rows], kind[rows])
+        self.walk(*_contexts(kind, sizes, end), kind)
 
+    def walk(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> None:
+        """Every token once in random order, in batches of the same size but for one token."""
+        order = self.rng.permutation(len(target))
+        for rows in np.array_split(order, ceil(len(order) / self.s.batch)) if len(order) else ():
+            self.step(one[rows], two[rows], target[rows])
 
-def train(docs: DataFrame, lex: Lexicon, settings: Settings) -> Weights:
-    """Every task takes its texts once from the shared weights; the results are averaged by their tokens."""
+
+def schedule(total: int, settings: Settings) -> tuple[int, int]:
+    """Lanes, and turns in a pass, for ``total`` tokens.
+
+    Averaged lanes go no further than one of them, so lanes grow as the cube root of the units and
+    steps one after another as the power 2/3.
+    """
+    units = max(1, ceil(total / (settings.batch * settings.unit)))
+    lanes = int(units ** (1 / 3) + 1e-9)
+    return lanes, ceil(units / lanes)
+
+
+def _unpack(blocks: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The classes one and two places before each token, and its own; each block begins with the two before it."""
+    runs = [np.frombuffer(b, np.uint16).astype(np.int64) for b in blocks]
+    one, two, target = (np.concatenate([r[at : len(r) - 2 + at] for r in runs]) for at in (1, 0, 2))
+    return one, np.where(one == end, end, two), target
+
+
+def _units(docs: DataFrame, lex: Lexicon, settings: Settings) -> DataFrame:
+    """The corpus as ``turn``, ``lane`` and ``blocks`` of classes: one row, a unit, for each turn and lane.
+
+    Blocks of up to a batch are dealt out to the lanes in turn, whatever partitions they come from.
+    """
+    assert settings.classes <= 1 << 16
+    lanes, turns = schedule(lex.total, settings)
+    share = ceil(lex.total / (lanes * turns))
     sent = docs.sparkSession.sparkContext.broadcast(lex)
-    weights = first_weights(lex, settings)
-    source = docs.select(F.col("text").cast("binary").alias("text"))
-    for turn in range(settings.rounds):
-        start = docs.sparkSession.sparkContext.broadcast(weights.flat())
-
-        def rows(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
-            lex = sent.value
-            trainer = Trainer(Weights.of(start.value.copy(), settings), lex, settings, settings.seed + turn)
-            learnt = 0
-            for batch in vectors.slices(batches, "text"):
-                _, kind, sizes, _ = _classes(batch.column("text").to_pylist(), lex.ids, settings)
-                trainer.learn(kind, sizes, lex.ids[END])
-                learnt += len(kind)
-            if learnt:
-                flat = trainer.w.flat().astype(np.float64) * learnt
-                at = pa.array(np.arange(len(flat), dtype=np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [at, pa.array(flat), pa.array(np.full(len(flat), learnt, np.int64))], ["at", "value", "n"]
-                )
 
-        parts = source.mapInArrow(rows, "at int, value double, n long")
-        mean = parts.groupBy("at").agg((F.sum("value") / F.sum("n")).alias("value")).collect()  # one row per weight
-        if mean:
-            flat = np.zeros(len(mean))
-            flat[[r["at"] for r in mean]] = [r["value"] for r in mean]
-            weights = Weights.of(flat.astype(np.float32), settings)
-    return weights
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = sent.value
+        run = np.full(2, lex.ids[END], np.uint16)  # every text ends with an end, so its first contexts are ends
+        out = lambda run: pa.RecordBatch.from_arrays([pa.array([run.tobytes()], pa.binary())], ["block"])
+        for batch in vectors.slices(batches, "text"):
+            _, kind, _, _ = _classes(batch.column("text").to_pylist(), lex.ids, settings)
+            run = np.concatenate([run, kind.astype(np.uint16)])
+            while len(run) >= settings.batch + 2:
+                yield out(run[: settings.batch + 2])
+                run = run[settings.batch :]
+        if len(run) > 2:
+            yield out(run)
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, turn, seen = [], 0, 0
+
+        def out() -> pa.RecordBatch:
+            values = [pa.array([turn], pa.int32()), pa.array([held], pa.list_(pa.binary()))]
+            return pa.RecordBatch.from_arrays(values, ["turn", "blocks"])
+
+        for batch in batches:
+            for block in batch.column("block").to_pylist():
+                now = min(seen // share, turns - 1)
+                if now > turn:
+                    yield out()
+                    held, turn = [], now
+                held.append(block)
+                seen += len(block) // 2 - 2
+        if held:
+            yield out()
+
+    dealt = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(blocks, "block binary").repartition(lanes)
+    packed = dealt.mapInArrow(units, "turn int, blocks array<binary>").withColumn("lane", F.spark_partition_id())
+    return stage(packed, "units", ["turn"])
+
+
+def train(docs: DataFrame, lex: Lexicon, settings: Settings) -> Weights:
+    """Turn by turn, a unit in every lane from the shared weights and rates; the results are averaged by their tokens."""
+    weights, end, pieces = first_weights(lex, settings), lex.ids[END], 16
+    if not lex.total:
+        return weights
+    units, turns = _units(docs, lex, settings), schedule(lex.total, settings)[1]
+    small = replace(lex, ids={}, counts=np.zeros(0, np.int64))
+    state = np.concatenate([weights.flat(), np.full(len(weights.flat()), FIRST_SQUARE, np.float32)])
+    for turn in range(settings.rounds * turns):
+        start = docs.sparkSession.sparkContext.broadcast((small, state))
+
+        def rows(batches: Iterator[pa.RecordBatch], turn: int = turn, start=start) -> Iterator[pa.RecordBatch]:
+            lex, state = start.value
+            total, learnt = np.zeros(len(state)), 0
+            for batch in batches:
+                for lane, blocks in zip(batch.column("lane").to_pylist(), batch.column("blocks").to_pylist()):
+                    flat, squares = np.split(state.copy(), 2)
+                    trainer = Trainer(Weights.of(flat, settings), lex, settings, [settings.seed, turn, lane])
+                    trainer.squares = list(vars(Weights.of(squares, settings)).values())
+                    one, two, target = _unpack(blocks, end)
+                    trainer.walk(one, two, target)
+                    total += np.concatenate([trainer.w.flat(), *[x.ravel() for x in trainer.squares]]) * float(len(target))
+                    learnt += len(target)
+            if learnt:
+                mean = [x.astype(np.float32).tobytes() for x in np.array_split(total / learnt, pieces)]
+                at = pa.array(range(pieces), pa.int32())
+                yield pa.RecordBatch.from_arrays([at, pa.array(mean, pa.binary()), pa.array([learnt] * pieces, pa.int64())], ["at", "value", "n"])
+
+        def mean(table: pa.Table) -> pa.Table:
+            n = table.column("n").to_pylist()
+            total = sum(np.frombuffer(v, np.float32) * float(c) for v, c in zip(table.column("value").to_pylist(), n))
+            value = (total / sum(n)).astype(np.float32).tobytes()
+            return pa.table([table.column("at").slice(0, 1), pa.array([value], pa.binary())], ["at", "value"])
+
+        parts = units.filter(F.col("turn") == turn % turns).mapInArrow(rows, "at int, value binary, n long")
+        met = parts.groupBy("at").applyInArrow(mean, "at int, value binary").collect()  # ``pieces`` rows
+        if met:
+            state = np.concatenate([np.frombuffer(r["value"], np.float32) for r in sorted(met, key=lambda r: r["at"])])
+    return Weights.of(np.split(state, 2)[0], settings)
 
 
 class Scorer:

@@ -26,10 +26,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/roleweave/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it from there, so that later steps neither recompute nor depend on executors."""
+def stage(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` once and read it from there, so that later steps neither recompute nor depend on executors.
+
+    Filters on the columns ``by`` read only the files that hold those values.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by or []).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

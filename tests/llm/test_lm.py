@@ -79,3 +79,35 @@ def test_gradient_steps_raise_the_likelihood():
         trainer.learn(kind, sizes, 0)
     assert lm.Scorer(trainer.w, SMALL).logs(one, two, kind).mean() > before + 0.3
     assert rng is not None
+
+
+def test_training_does_not_follow_the_partitions(documents):
+    import random
+
+    rng = random.Random(5)
+    follow = {f"w{i}": [f"w{(7 * i + k) % 20}" for k in range(2)] for i in range(20)}
+    rows = []
+    for i in range(600):
+        words = [f"w{rng.randrange(20)}"]
+        while len(words) < 60:
+            words.append(rng.choice(follow[words[-1]]))
+        rows.append((i, " ".join(words)))
+    settings = lm.Settings(vocabulary=24, dimensions=6, noise=16, batch=64, head=40, longest=12)
+    gain = {}
+    for parts in (1, 64):
+        got = [r for r in lm.language_scores(documents(rows).repartition(parts), settings).collect() if r["held_out"]]
+        gain[parts] = sum(r["score"] - r["base_score"] for r in got) / sum(r["n_tokens"] for r in got)
+    assert gain[1] > 0.3 and abs(gain[64] - gain[1]) < 0.1 * gain[1], gain
+
+
+def test_units_hold_every_token_with_its_contexts(documents, rows):
+    learning = documents([r for r in rows if not out(r[0])]).repartition(7)
+    lex = lm.lexicon(lm.count_tokens(learning).cache(), SMALL)
+    small = lm.Settings(**{**vars(SMALL), "unit": 2})
+    end, want = lex.ids[lm.END], Counter()
+    for r in learning.collect():
+        _, kind, sizes, _ = lm._classes([(r["text"] or "").encode()], lex.ids, small)
+        want.update(zip(*(x.tolist() for x in (*lm._contexts(kind, sizes, end), kind))))
+    units = lm._units(learning, lex, small).collect()
+    got = Counter(x for u in units for x in zip(*(a.tolist() for a in lm._unpack([bytes(b) for b in u["blocks"]], end))))
+    assert got == want and len({(u["turn"], u["lane"]) for u in units}) == len(units) > 4
