@@ -19,7 +19,7 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each class of near duplicates."""
+    """Keep the document with the smallest doc_id of each class of near duplicates: five-word shingles, similarity 0.85 or more, as op7."""
     share_package(spark)
     return minhash.remove_near_duplicates(docs.select(DOCUMENT_COLUMNS))
 
