@@ -16,7 +16,6 @@ from roleweave.llm.skew import numbered, salted_join
 from roleweave.llm.storage import stage
 
 SHARDS = 40
-ROUNDS = 12
 
 
 def _quotas(total: int, shards: int) -> list[int]:
@@ -68,15 +67,17 @@ def _propose(state: DataFrame, room: list[int]) -> DataFrame:
     return joined.withColumn("target", target.cast("int")).drop("best", "open", "shards", "held")
 
 
-def propagate(rows: DataFrame, shards: int, total: int, rounds: int = ROUNDS) -> DataFrame:
+def propagate(rows: DataFrame, shards: int, total: int, rounds: int | None = None) -> DataFrame:
     """Move grouped ``rows`` (group, order, shard) together; no shard ends above its quota.
 
     ``total`` counts all rows, those without a group too.  What a round grants is a table of at most
     shards x shards counts; which rows move is settled by a gapless numbering within each move.
+    Rounds go on until no move is granted, at most twice the number of shards unless ``rounds`` says so:
+    a group proposes one open shard a round, so it fills about one shard a round.
     """
     quotas = _quotas(total, shards)
     state = stage(rows, "shards")
-    for _ in range(rounds):
+    for _ in range(2 * shards if rounds is None else rounds):
         sizes = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
         room = [q - sizes.get(j, 0) for j, q in enumerate(quotas)]
         proposed = stage(_propose(state, room), "moves")
@@ -95,7 +96,7 @@ def propagate(rows: DataFrame, shards: int, total: int, rounds: int = ROUNDS) ->
     return state
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, also: list[str] | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None, also: list[str] | None = None) -> DataFrame:
     """Documents in shards 0 to ``shards`` - 1, equal texts together as far as even sizes allow.
 
     Columns doc_id, size (UTF-8 bytes of the text and 16), text_crc32, law ("rows": shards differ by

@@ -61,3 +61,10 @@ def test_grants_never_overfill():
         out[i] += n
     assert all(into[j] - out[j] <= room[j] for j in range(4))
     assert grants[0, 1] >= 3 and grants[1, 0] == 3
+
+
+def test_a_group_over_many_shards_is_mended_to_the_end(documents, prose):
+    rows = [(i, "same text") for i in range(600)] + [(1000 + i, prose(i, 4)) for i in range(600)]
+    got = check(sharding.shard(documents(rows), 40), rows, 40)  # 30 rows a shard
+    held = Counter(r["shard"] for r in got if r["doc_id"] < 1000)
+    assert len(held) <= 21, held
