@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roleweave.llm import ann, crf, decontaminate, licenses, line_dedup, lm, minhash, mixing, sharding, warc
+from roleweave.llm import ann, crf, decontaminate, hard_negatives, licenses, line_dedup, lm, minhash, mixing, packing, sharding, warc
 from roleweave.llm.storage import share_package
 
 
@@ -64,6 +64,16 @@ def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return ann.search_table(_table(spark, folder, "embeddings"))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives for every fiftieth embedding among all."""
+    return hard_negatives.mine(_table(spark, folder, "embeddings"))
+
+
+def op12_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences."""
+    return packing.packed_documents(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_warc_round_trip": op2_warc_round_trip,
@@ -75,10 +85,13 @@ QUERIES = {
     "op8_balanced_sharding": op8_balanced_sharding,
     "op9_license_scan": op9_license_scan,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_best_fit_packing": op12_best_fit_packing,
 }
 ORACLES: dict[str, str] = {
     "op2_warc_round_trip": warc.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op6_benchmark_decontamination": decontaminate.ORACLE,
     "op9_license_scan": licenses.oracle(),
+    "op11_hard_negatives": hard_negatives.ORACLE,
 }
