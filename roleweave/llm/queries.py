@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roleweave.llm import ann, crf, decontaminate, hard_negatives, licenses, line_dedup, lm, minhash, mixing, packing, sharding, warc
+from roleweave.llm import ann, crf, decontaminate, hard_negatives, licenses, line_dedup, lm, minhash, mixing, packing, sharding, warc, whitening
 from roleweave.llm.storage import share_package
 
 
@@ -74,6 +74,11 @@ def op12_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(_table(spark, folder, "documents"))
 
 
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """All embeddings whitened on eight components."""
+    return whitening.whitened(_table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_warc_round_trip": op2_warc_round_trip,
@@ -87,6 +92,7 @@ QUERIES = {
     "op10_nearest_neighbours": op10_nearest_neighbours,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 ORACLES: dict[str, str] = {
     "op2_warc_round_trip": warc.ORACLE,
