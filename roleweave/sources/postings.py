@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from roleweave.functions import text as T
 from roleweave.operators.skills import SkillExtractor
 from roleweave.schema import API_PAGE, POSTING_CSV, nan_to_null
 
+#: Digits of numbers in an order key: as many as the longest number has.
+ORDER_DIGITS = 19
 # Fixed value: postings per page of the landed feed.
 PAGE_ROWS = 50
 
@@ -59,14 +62,24 @@ def _nested(raw: Column, field: str) -> Column:
     return F.when(is_object, F.get_json_object(raw, f"$.{field}"))
 
 
+def _order_part(pages: DataFrame, name: str) -> Column:
+    """A column as a part of the order key: whole numbers padded, texts whole, with the separator escaped."""
+    value = F.col(name).cast("string")
+    if isinstance(pages.schema[name].dataType, IntegralType):
+        return F.lpad(F.coalesce(value, F.lit("")), ORDER_DIGITS, "0")
+    escaped = F.replace(F.replace(value, F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F"))
+    return F.coalesce(escaped, F.lit("%null"))
+
+
 def flatten_pages(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per posting, every text normalized.
 
     ``arrival_seq`` orders by the ``keep`` columns (the search or file), page and place in the page;
-    it is unique if they tell all pages apart, and serves as ``posting_id`` too.
+    it is unique if they tell all pages apart, and serves as ``posting_id`` too.  Names are never cut,
+    so searches that begin alike stay apart.
     """
     rows = pages.select(*keep, "page", F.posexplode("results").alias("pos", "r"))
-    arrival = F.concat_ws("/", *[F.lpad(F.col(c).cast("string"), 12, "0") for c in (*keep, "page", "pos")])
+    arrival = F.concat_ws("/", *[_order_part(rows, c) for c in (*keep, "page", "pos")])
     return rows.select(
         *keep,
         arrival.alias("arrival_seq"),
@@ -97,27 +110,50 @@ def with_skills(postings: DataFrame, extractor: SkillExtractor) -> DataFrame:
     )
 
 
-def flatten_reduced(pages: DataFrame) -> DataFrame:
-    """The reduced landing: nine columns, blank skills, level and type, a missing name fails."""
+REDUCED_COLUMNS = (
+    "job_title", "company", "job_location", "job_description", "job_link", "job_skills", "search_country", "job_level", "job_type",
+)
+
 
-    def required(raw: Column, field: str) -> Column:
-        value = _nested(raw, field)
-        return F.coalesce(value, F.raise_error(F.lit(f"posting without {field}")).cast("string"))
+def flatten_reduced(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The reduced landing of every posting, with ``reason``: what it lacks, null if it is whole.
 
-    rows = pages.select("page", F.posexplode("results").alias("pos", "r"))
+    Nine columns: blank skills, level and type, names of company and place required.  The ``keep``
+    columns, page and place in the page come first.  ``accepted`` and ``rejected`` part the result;
+    both read the same pass.
+    """
+    rows = pages.select(*keep, "page", F.posexplode("results").alias("pos", "r"))
+    company, place = _nested(F.col("r.company"), "display_name"), _nested(F.col("r.location"), "display_name")
+    reason = F.when(F.col("r").isNull(), "posting is null").when(company.isNull(), "company without display_name").when(
+        place.isNull(), "location without display_name"
+    )
     return rows.select(
+        *keep,
+        "page",
+        "pos",
         F.col("r.title").alias("job_title"),
-        required(F.col("r.company"), "display_name").alias("company"),
-        required(F.col("r.location"), "display_name").alias("job_location"),
+        company.alias("company"),
+        place.alias("job_location"),
         F.col("r.description").alias("job_description"),
         F.col("r.redirect_url").alias("job_link"),
         F.lit("").alias("job_skills"),
         F.lit("United States").alias("search_country"),
         F.lit("").alias("job_level"),
         F.lit("").alias("job_type"),
+        reason.alias("reason"),
     )
 
 
+def accepted(reduced: DataFrame) -> DataFrame:
+    """The nine columns of the postings that have what is required."""
+    return reduced.where("reason IS NULL").select(*REDUCED_COLUMNS)
+
+
+def rejected(reduced: DataFrame) -> DataFrame:
+    """The other postings, whole, each with its ``reason``."""
+    return reduced.where("reason IS NOT NULL")
+
+
 def read_posting_csv(spark: SparkSession, path: str) -> DataFrame:
     return (
         spark.read.schema(POSTING_CSV)

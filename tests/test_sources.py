@@ -1,7 +1,5 @@
 import json
 
-import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from roleweave.operators.dedup import deduplicate_postings
@@ -43,12 +41,30 @@ def test_landed_pages(spark, tmp_path, vocab):
     assert full["job_text"] == "One | Python and SQL | python, sql | Acme Co | X"
 
 
-def test_reduced_landing_requires_names(spark, tmp_path):
-    pages = P.read_api_pages(spark, _land(tmp_path, {1: [_posting("One")]}))
-    assert P.flatten_reduced(pages).first()["company"] == " Acme  Co "
-    bad = P.read_api_pages(spark, _land(tmp_path, {1: [_posting("One", company=None)]}))
-    with pytest.raises(PySparkException, match="posting without display_name"):
-        P.flatten_reduced(bad).collect()
+def test_reduced_landing_parts_whole_and_rejected(spark, tmp_path):
+    rows = [_posting("One"), _posting("Two", company=None), _posting("Three", location="plain"), _posting("Four", company={"display_name": None}), None]
+    reduced = P.flatten_reduced(P.read_api_pages(spark, _land(tmp_path, {1: rows})))
+    good = P.accepted(reduced).collect()
+    assert [(r["job_title"], r["company"], r["job_skills"]) for r in good] == [("One", " Acme  Co ", "")]
+    assert good[0].asDict().keys() == set(P.REDUCED_COLUMNS)
+    bad = {r["pos"]: (r["job_title"], r["reason"]) for r in P.rejected(reduced).collect()}
+    assert bad == {
+        1: ("Two", "company without display_name"), 2: ("Three", "location without display_name"),
+        3: ("Four", "company without display_name"), 4: (None, "posting is null"),
+    }
+
+
+def test_searches_that_begin_alike_keep_their_own_order(spark):
+    names = ["data-scientist-us", "data-scientist-uk", "data-scientist-fr", "1", "01", "a/b", "a%2Fb", None]
+    posting = "title string, company string, location string, description string, redirect_url string, category string, contract_type string, contract_time string, salary_min double, salary_max double"
+    one = ("Dev", '{"display_name": "A"}', '{"display_name": "X"}', "text", None, None, None, None, None, None)
+    rows = [(n, p, [(*one[:4], f"u{i}", *one[5:])] if n != "data-scientist-uk" else [(*one[:4], "u0", *one[5:])]) for i, n in enumerate(names) for p in (1, 2)]
+    pages = spark.createDataFrame(rows, f"search string, page int, results array<struct<{posting.replace(' string', ': string').replace(' double', ': double')}>>")
+    flat = P.flatten_pages(pages, keep=("search",))
+    ids = [r["posting_id"] for r in flat.collect()]
+    assert len(set(ids)) == len(rows) and any(i.startswith("data-scientist-us/") for i in ids)
+    kept = deduplicate_postings(flat.where("search LIKE 'data%' AND page = 1").withColumn("job_title", F.col("job_link"))).collect()
+    assert sorted(r["search"] for r in kept) == ["data-scientist-fr", "data-scientist-uk"]
 
 
 def test_resumes_drop_bad_bytes(spark, tmp_path):

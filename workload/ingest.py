@@ -69,7 +69,7 @@ _SQL_PAGES = f"""placed AS (SELECT *, doc_id // {_PER_SEARCH} AS search, (doc_id
   landed AS (SELECT *, page = 13 + search % 6 AS empty FROM placed WHERE (page + search) % 7 <> 3),
   stops AS (SELECT search, min(page) AS stop FROM landed WHERE empty GROUP BY search),
   usable AS (SELECT l.* FROM landed l LEFT JOIN stops s ON s.search = l.search WHERE page < coalesce(stop, 1000000)),
-  flat AS (SELECT *, concat(lpad(search::VARCHAR, 12, '0'), '/', lpad(page::VARCHAR, 12, '0'), '/', lpad(pos::VARCHAR, 12, '0')) AS arrival FROM placed)"""
+  flat AS (SELECT *, concat(lpad(search::VARCHAR, 19, '0'), '/', lpad(page::VARCHAR, 19, '0'), '/', lpad(pos::VARCHAR, 19, '0')) AS arrival FROM placed)"""
 
 
 @query(
@@ -97,17 +97,48 @@ def s2(spark, sf):
     return P.flatten_pages(_whole(spark, sf), keep=("search",))
 
 
+_NAMED = "'remote data scientist, full time / ' || search"
+
+
+@query(
+    "s2_flatten_named_searches",
+    f"""WITH {_SQL_PAGES} SELECT {_NAMED} AS search, concat(replace({_NAMED}, '/', '%2F'), '/', lpad(page::VARCHAR, 19, '0'), '/', lpad(pos::VARCHAR, 19, '0')) AS posting_id,
+      {sql_norm('text')} AS job_title, page AS source_page FROM flat""",
+)
+def s2_named(spark, sf):
+    """Searches are folder names that begin alike."""
+    pages = _whole(spark, sf).withColumn("search", F.concat(F.lit("remote data scientist, full time / "), "search"))
+    return P.flatten_pages(pages, keep=("search",)).select("search", "posting_id", "job_title", "source_page")
+
+
 @query(
-    "s3_flatten_reduced",
-    f"""WITH {_SQL_PAGES} SELECT text AS job_title, source AS company, lang AS job_location, chr(160) || text || chr(10) AS job_description, md5(text) AS job_link,
-      '' AS job_skills, 'United States' AS search_country, '' AS job_level, '' AS job_type FROM flat WHERE lang IN ('en', 'fr')""",
+    "ingest_named_to_unique",
+    f"""WITH {_SQL_PAGES}, postings AS (SELECT concat(replace({_NAMED}, '/', '%2F'), '/', lpad(page::VARCHAR, 19, '0'), '/', lpad(pos::VARCHAR, 19, '0')) AS arrival_seq,
+      {sql_norm('text')} AS job_title, CASE WHEN lang IN ('en', 'fr') THEN source ELSE '' END AS company, lang AS job_location, md5(text) AS job_link FROM flat),
+      {SQL_DEDUP.replace('posting_id', 'arrival_seq')} SELECT arrival_seq, job_link FROM unique_postings""",
 )
+def named_to_unique(spark, sf):
+    pages = _whole(spark, sf).withColumn("search", F.concat(F.lit("remote data scientist, full time / "), "search"))
+    return D.deduplicate_postings(P.flatten_pages(pages, keep=("search",))).select("arrival_seq", "job_link")
+
+
+_SQL_REDUCED = """text AS job_title, CASE WHEN lang IN ('en', 'fr') THEN source END AS company, lang AS job_location,
+  chr(160) || text || chr(10) AS job_description, md5(text) AS job_link, '' AS job_skills, 'United States' AS search_country, '' AS job_level, '' AS job_type"""
+
+
+@query("s3_flatten_reduced", f"WITH {_SQL_PAGES} SELECT {_SQL_REDUCED} FROM flat WHERE lang IN ('en', 'fr')")
 def s3(spark, sf):
-    """Postings whose company is an object; a missing one fails the rule, which a unit test shows."""
-    named = _whole(spark, sf).withColumn(
-        "results", F.filter("results", lambda r: F.coalesce(r["company"].startswith("{"), F.lit(False)))
-    )
-    return P.flatten_reduced(named)
+    """All landed postings; those without a company name are rejected."""
+    return P.accepted(P.flatten_reduced(_whole(spark, sf)))
+
+
+@query(
+    "s3_rejected",
+    f"""WITH {_SQL_PAGES} SELECT search, page, pos, {_SQL_REDUCED}, 'company without display_name' AS reason FROM flat
+      WHERE lang NOT IN ('en', 'fr')""",
+)
+def s3_rejected(spark, sf):
+    return P.rejected(P.flatten_reduced(_whole(spark, sf), keep=("search",)))
 
 
 @query(
