@@ -376,7 +376,8 @@ def pack(pieces: DataFrame, settings: Settings = Settings()) -> DataFrame:
             )
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return pieces.join(firsts, ["length", "task"]).select(*pieces.columns, "before").mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    # the counts grow with the tasks, so both sides shuffle at every size
+    return pieces.join(firsts.hint("merge"), ["length", "task"]).select(*pieces.columns, "before").mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
 def packed_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
