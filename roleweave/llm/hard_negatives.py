@@ -47,7 +47,7 @@ class Settings:
     least_block: int = 512
     chunk: int = 4096
     batch: int = 256
-    leaf: int = 32
+    leaf: int = 128
     fanout: int = 16
 
 
