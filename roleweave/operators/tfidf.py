@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from roleweave.functions import text as T
 from roleweave.functions.arrays import let, run_counts
-from roleweave.operators.joins import unmatched_key
+from roleweave.operators.topk import best_documents, build_index
+from roleweave.staging import staged
 from roleweave.vocabulary import one_of
 
 # A usual vocabulary size, for callers that want that cut; the default keeps all terms.
@@ -64,28 +65,47 @@ def fit_vocabulary(
     return stats.select("term", "df", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def weigh(terms: DataFrame, vocabulary: DataFrame, id_col: str, capped: bool) -> DataFrame:
-    """(id, term, weight) with ``weight = tf * idf``, null for terms outside the vocabulary.
+def weigh(terms: DataFrame, vocabulary: DataFrame, id_col: str, capped: bool, complete: bool = False) -> DataFrame:
+    """(id, term, weight) with ``weight = tf * idf``; a document without terms keeps a row with nulls.
 
-    Every input row stays, so later sums see every document.  A capped vocabulary has at most
-    its cap of rows and is broadcast.  An uncapped one is split: the most frequent terms, a fixed
-    number of them, are broadcast, and only the rest of the pairs shuffle by term, so no
-    frequent term gathers in one task.
+    A capped vocabulary has at most its cap of rows and is broadcast; terms outside it keep their
+    rows without weight.  An uncapped one is split: the most frequent terms, a fixed number of
+    them, are broadcast, and only the other rows shuffle by term, so no frequent term gathers in one
+    task; terms outside it are dropped.  ``complete`` says that it holds every term of ``terms``: those of
+    one document, most of it, then need no partner, because they share one weight.
     """
     weight = F.col("tf") * F.col("idf")
     if capped:
         joined = terms.join(F.broadcast(vocabulary.select("term", "idf")), "term", "left")
         return joined.select(id_col, "term", weight.alias("weight"))
     hot = vocabulary.orderBy(F.col("df").desc(), F.col("term")).limit(HOT_TERMS)
-    tagged = terms.join(
-        F.broadcast(hot.select("term", F.col("idf").alias("_hot"))), "term", "left"
-    ).withColumn("_key", unmatched_key(F.col("term"), F.col("_hot").isNull(), F.col(id_col)))
-    rest = vocabulary.select(F.col("term").alias("_key"), F.col("idf").alias("_rest"))
-    return (
-        tagged.join(rest, "_key", "left")
-        .withColumn("idf", F.coalesce("_hot", "_rest"))
-        .select(id_col, "term", weight.alias("weight"))
-    )
+    tagged = terms.join(F.broadcast(hot.select("term", F.col("idf").alias("_hot"))), "term", "left")
+    frequent = tagged.where("_hot IS NOT NULL OR term IS NULL").withColumnRenamed("_hot", "idf")
+    rest = tagged.where("_hot IS NULL AND term IS NOT NULL").drop("_hot")
+    if complete:
+        once = vocabulary.where("df = 1").agg(F.max("idf")).scalar()
+        rest = rest.join(vocabulary.where("df > 1").select("term", "idf"), "term", "left").withColumn("idf", F.coalesce("idf", once))
+    else:
+        rest = rest.join(vocabulary.select("term", "idf"), "term")
+    return frequent.unionByName(rest).select(id_col, "term", weight.alias("weight"))
+
+
+def fitted(docs: DataFrame, doc_id: str, max_features: int | None = None, written: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The term lists of a corpus as (id, term, tf) rows and its vocabulary, each computed once and written.
+
+    ``written`` says that ``docs`` is a written table; otherwise its term lists are written first.
+    """
+    lists = docs.select(doc_id, "terms")
+    if not written:
+        lists = staged(lists, "terms")
+    return explode_terms(lists, doc_id), staged(fit_vocabulary(lists, max_features=max_features), "vocabulary")
+
+
+def unit_weights(terms: DataFrame, vocabulary: DataFrame, wanted: DataFrame, doc_id: str, capped: bool) -> DataFrame:
+    """(id, term, weight) of the ``wanted`` part of the vocabulary, scaled to documents of length 1 over all of it."""
+    norms = weigh(terms, vocabulary, doc_id, capped, complete=True).groupBy(doc_id).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"))
+    weights = weigh(terms, wanted, doc_id, capped=False).where("weight > 0")
+    return weights.join(norms, doc_id).select(doc_id, "term", (F.col("weight") / F.col("_norm")).alias("weight"))
 
 
 def query_weights(queries: DataFrame, vocabulary: DataFrame, query_id: str, counts_col: str = "terms") -> DataFrame:
@@ -100,16 +120,16 @@ def query_weights(queries: DataFrame, vocabulary: DataFrame, query_id: str, coun
 
 
 def cosine_to_query(
-    docs: DataFrame, query: DataFrame, doc_id: str, max_features: int | None = None
+    docs: DataFrame, query: DataFrame, doc_id: str, max_features: int | None = None, written: bool = False
 ) -> DataFrame:
     """Cosine of one query against every document: (doc, similarity), zero if nothing is shared.
 
     ``docs`` and the one-row ``query`` carry ``terms`` arrays.  The query weight rides along in
     the vocabulary, so norm and dot product come from one pass and one sum per document.
     """
-    vocabulary = fit_vocabulary(docs, max_features=max_features)
+    terms, vocabulary = fitted(docs, doc_id, max_features, written)
     q = query_weights(query.withColumn("_q", F.lit(0)), vocabulary, "_q").select("term", "qw")
-    weighted = weigh(explode_terms(docs, doc_id), vocabulary, doc_id, capped=max_features is not None)
+    weighted = weigh(terms, vocabulary, doc_id, max_features is not None, complete=True)
     # One query has no more terms than its own text.
     scored = weighted.join(F.broadcast(q), "term", "left")
     sums = scored.groupBy(doc_id).agg(
@@ -125,22 +145,33 @@ def cosine_pairs(
 ) -> DataFrame:
     """(query, doc, similarity) for a table of queries; pairs that share no term are left out.
 
-    Only terms of some query reach the dot products, and each (query, document) sum is reduced
-    before the shuffle because a document's terms sit together.
+    As large as its result is; ``best_pairs`` keeps the best of each query without it.
     """
-    vocabulary = fit_vocabulary(docs, max_features=max_features)
-    qvec = query_weights(queries, vocabulary, query_id)
-    capped = max_features is not None
-    terms = explode_terms(docs, doc_id)
-    weighted = weigh(terms, vocabulary, doc_id, capped)
-    norms = weighted.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    query_terms = explode_terms(queries, query_id).where("term IS NOT NULL").select("term").distinct()
-    relevant = weigh(terms.join(query_terms, "term", "left_semi"), vocabulary, doc_id, capped)
-    dots = (
-        relevant.join(qvec, "term")
+    weights, qvec = _corpus_and_queries(docs, queries, doc_id, query_id, max_features)
+    return (
+        weights.join(qvec, "term")
         .groupBy(query_id, doc_id)
-        .agg(F.sum(F.col("weight") * F.col("qw")).alias("dot"))
-    )
-    return dots.join(norms, doc_id).select(
-        query_id, doc_id, (F.col("dot") / F.col("norm")).alias("similarity")
+        .agg(F.sum(F.col("weight") * F.col("qw")).alias("similarity"))
     )
+
+
+def _corpus_and_queries(docs, queries, doc_id, query_id, max_features, written=False) -> tuple[DataFrame, DataFrame]:
+    """Unit weights of the documents for the terms that some query holds, and unit weights of the queries."""
+    terms, vocabulary = fitted(docs, doc_id, max_features, written)
+    asked = explode_terms(queries, query_id).where("term IS NOT NULL").select("term").distinct()
+    wanted = staged(vocabulary.join(asked, "term", "left_semi"), "wanted")
+    qvec = staged(query_weights(queries, wanted, query_id), "queries")
+    return unit_weights(terms, vocabulary, wanted, doc_id, max_features is not None), qvec
+
+
+def best_pairs(
+    docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, k: int, max_features: int | None = None,
+    digits: int | None = None,
+) -> DataFrame:
+    """(query, doc, similarity, rank): the k most similar documents of each query, ties by document."""
+    weights, qvec = _corpus_and_queries(docs, queries, doc_id, query_id, max_features)
+    weights = weights.select(F.col(doc_id).alias("doc"), F.col("term").alias("feature"), "weight")
+    index = build_index(weights, docs.count())
+    asks = qvec.select(F.col(query_id).alias("query"), F.col("term").alias("feature"), F.col("qw").alias("weight"))
+    found = best_documents(index, asks, k, digits=digits)
+    return found.select(F.col("query").alias(query_id), F.col("doc").alias(doc_id), F.col("score").alias("similarity"), "rank")

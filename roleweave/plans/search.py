@@ -19,7 +19,7 @@ from roleweave.operators.dedup import deduplicate_postings
 from roleweave.operators.rank import sort_keys, with_rank
 from roleweave.operators.skills import SkillExtractor, canonicalize
 from roleweave.operators.tfidf import cosine_to_query, term_counts
-from roleweave.session import ensure_checkpoint_dir
+from roleweave.staging import staged
 from roleweave.vocabulary import Vocabulary, array_literal, bounded_rows
 
 
@@ -32,8 +32,10 @@ class SearchOptions:
     max_features: int | None = None
 
 
-def one_profile(profiles: DataFrame) -> Row:
-    """The single profile of a search; its values become literals of the plan."""
+def one_profile(profiles: DataFrame, profile_id=None) -> Row:
+    """The single profile of a search, picked by its id if one is given; its values become literals of the plan."""
+    if profile_id is not None:
+        profiles = profiles.where(F.col("profile_id") == profile_id)
     rows = bounded_rows(profiles, max_rows=1)
     if not rows:
         raise ValueError("the profile is blank: give a role, skills or a resume")
@@ -97,18 +99,18 @@ def search(
     extractor: SkillExtractor,
     vocab: Vocabulary,
     options: SearchOptions = SearchOptions(),
+    profile_id=None,
 ) -> DataFrame:
-    """Scored postings, one row each, ready to be ranked, paged or exported."""
-    profile = one_profile(profiles)
+    """Scored postings of one profile, one row each, ready to be ranked, paged or exported."""
+    profile = one_profile(profiles, profile_id)
     spark = postings.sparkSession
-    ensure_checkpoint_dir(spark)
     kept = flagged(postings, vocab, options).where("is_clean AND in_scope").drop("is_clean", "in_scope")
     # Read three times below (vocabulary, similarity, scores), so written once.
-    features = posting_features(kept, extractor, vocab, profile["role"]).checkpoint()
+    features = staged(posting_features(kept, extractor, vocab, profile["role"]), "features")
     query = spark.createDataFrame([(profile["query_text"],)], "text string").select(
         term_counts(F.col("text"), vocab.stopwords).alias("terms")
     )
-    similarity = cosine_to_query(features, query, "posting_id", options.max_features)
+    similarity = cosine_to_query(features, query, "posting_id", options.max_features, written=True)
     return score_postings(features.drop("terms"), similarity, profile).drop("_role")
 
 
@@ -153,9 +155,8 @@ def score_postings(features: DataFrame, similarity: DataFrame, profile: Row) ->
 def ranked(results: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
     """(posting_id, rank) in the chosen order; join the columns a page needs by id."""
     keys = results.select("posting_id", "arrival_seq", "final_score", "skill_score", "role_score", "job_title", "company")
-    ensure_checkpoint_dir(results.sparkSession)
     # Sorting samples its input first, so the scores are written once instead of made twice.
-    return with_rank(keys.checkpoint(), sort_keys(options.sort)).select("posting_id", "rank")
+    return with_rank(staged(keys, "keys"), sort_keys(options.sort)).select("posting_id", "rank")
 
 
 def rescore(
@@ -165,9 +166,10 @@ def rescore(
     profiles: DataFrame,
     extractor: SkillExtractor,
     vocab: Vocabulary,
+    profile_id=None,
 ) -> DataFrame:
     """Score again from full page texts where they add enough; the similarity stays as it was."""
-    profile = one_profile(profiles)
+    profile = one_profile(profiles, profile_id)
     texts = score.full_texts(postings, page_text, only=results)
     fit = score.role_fit(
         F.lit(profile["role"]),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from roleweave.functions import text as T
 from roleweave.operators import market as M
 from roleweave.operators import rank as W
+from roleweave.operators import tfidf as V
 from roleweave.operators.skills import SkillExtractor
 from roleweave.plans import search as S
 from roleweave.sources.sinks import export_columns
@@ -17,18 +18,18 @@ from workload.common import (
 from workload.dedup import SQL_DEDUP
 from workload.profiles import RAW_PROFILES, SQL_PROFILE_SKILLS, _sql_section, profiles
 from workload.scoring import (
-    CAP, SQL_PAIRS, profile_pairs, sql_hits, sql_terms, sql_unit, sql_vocabulary,
+    CAP, SQL_PAIRS, docs, profile_terms, sql_hits, sql_terms, sql_unit, sql_vocabulary,
 )
 from workload.skills import _KNOWN, sql_posting_skills
 
 OPTIONS = S.SearchOptions(max_features=CAP)
+PROFILE = 0
 
 
 def results(spark, sf):
-    """The search of the first profile; scores are rounded so that both engines rank alike."""
+    """The search of one profile; scores are rounded so that both engines rank alike."""
     vocab = vocabulary(spark)
-    first = profiles(spark, sf).orderBy("profile_id").limit(1)
-    found = S.search(postings(spark, sf), first, SkillExtractor(spark, vocab, CUES), vocab, OPTIONS)
+    found = S.search(postings(spark, sf), profiles(spark, sf), SkillExtractor(spark, vocab, CUES), vocab, OPTIONS, PROFILE)
     return found.withColumns(
         {c: F.round(c, 6) for c in ("final_score", "nlp_score", "skill_score", "role_score")}
     )
@@ -37,7 +38,7 @@ def results(spark, sf):
 _RK = ROLE_KEYWORDS["of the"]
 _FILTER = f"{SQL_DIRECT} AND coalesce(regexp_matches(lower(search_country), 'united states|usa|us'), false)"
 SQL_SEARCH = f"""WITH {VOCAB_CTE}, {_KNOWN}, {P_CTE}, {SQL_DEDUP},
-  {RAW_PROFILES.replace('FROM benchmark', 'FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)')},
+  {RAW_PROFILES.replace('FROM benchmark', f'FROM benchmark WHERE item_id = {PROFILE}')},
   {SQL_PROFILE_SKILLS},
   me AS (SELECT role, coalesce((SELECT list(skill ORDER BY skill) FROM profile_skill), []) AS us, resume_text,
     CASE WHEN w_profile + w_skill + w_role = 0 THEN 0.2 ELSE w_profile / (w_profile + w_skill + w_role) END AS w1,
@@ -151,8 +152,7 @@ def w5_group(spark, sf):
       (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS rank FROM pairs) WHERE rank <= 10""",
 )
 def w2(spark, sf):
-    order = [F.col("similarity").desc(), F.col("doc_id").asc()]
-    return W.top_k_per(profile_pairs(spark, sf), ["item_id"], order, 10)
+    return V.best_pairs(docs(spark, sf), profile_terms(spark, sf), "doc_id", "item_id", 10, CAP, digits=6)
 
 
 @query("w2_top_events", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 10")

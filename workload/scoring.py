@@ -218,7 +218,7 @@ _DOC_SOURCE = "src AS (SELECT doc_id AS id, text AS body FROM documents)"
 _ONE_QUERY = f"qsrc AS (SELECT 0 AS id, '{QUERY_TEXT}' AS body)"
 
 
-def _docs(spark, sf, bigrams=True):
+def docs(spark, sf, bigrams=True):
     return table(spark, sf, "documents").select(
         "doc_id", V.term_counts(F.col("text"), STOPWORDS, bigrams).alias("terms")
     )
@@ -239,13 +239,13 @@ def _sql_cosine(cap, bigrams):
 
 @query("r6_tfidf_cosine", _sql_cosine(CAP, True))
 def r6(spark, sf):
-    found = V.cosine_to_query(_docs(spark, sf), _query(spark), "doc_id", max_features=CAP)
+    found = V.cosine_to_query(docs(spark, sf), _query(spark), "doc_id", max_features=CAP)
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
 @query("r6b_unigrams_no_cap", _sql_cosine(None, False))
 def r6b(spark, sf):
-    found = V.cosine_to_query(_docs(spark, sf, False), _query(spark, False), "doc_id", max_features=None)
+    found = V.cosine_to_query(docs(spark, sf, False), _query(spark, False), "doc_id", max_features=None)
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -255,7 +255,7 @@ def r6b(spark, sf):
       SELECT term, df, round(idf, 6) AS idf FROM vocab""",
 )
 def a10(spark, sf):
-    return V.fit_vocabulary(_docs(spark, sf), max_features=CAP).withColumn("idf", F.round("idf", 6))
+    return V.fit_vocabulary(docs(spark, sf), max_features=CAP).withColumn("idf", F.round("idf", 6))
 
 
 _MANY = "qsrc AS (SELECT item_id AS id, text AS body FROM benchmark)"
@@ -265,17 +265,14 @@ SQL_PAIRS = f"""{_DOC_SOURCE}, {_MANY}, {sql_terms('src', 'd')}, {sql_terms('qsr
     FROM dv d JOIN qv q USING (term) GROUP BY q.id, d.id)"""
 
 
-def profile_pairs(spark, sf):
-    queries = table(spark, sf, "benchmark").select(
-        "item_id", V.term_counts(F.col("text"), STOPWORDS).alias("terms")
-    )
-    pairs = V.cosine_pairs(_docs(spark, sf), queries, "doc_id", "item_id", max_features=CAP)
-    return pairs.withColumn("similarity", F.round("similarity", 6))
+def profile_terms(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", V.term_counts(F.col("text"), STOPWORDS).alias("terms"))
 
 
 @query("r6c_cosine_many_profiles", f"WITH {SQL_PAIRS} SELECT * FROM pairs")
 def r6c(spark, sf):
-    return profile_pairs(spark, sf)
+    pairs = V.cosine_pairs(docs(spark, sf), profile_terms(spark, sf), "doc_id", "item_id", max_features=CAP)
+    return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
 # --- re-scoring from full texts ---------------------------------------------------------------
