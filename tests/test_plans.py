@@ -7,6 +7,7 @@ from roleweave.operators import rank as W
 from roleweave.operators.profiles import build_profiles
 from roleweave.operators.skills import SkillExtractor
 from roleweave.plans import search as S
+from roleweave.plans.many import search_many
 
 SF = "/root/testdata/sf0.001"
 
@@ -98,3 +99,22 @@ def test_queries_equal_duckdb(spark, name):
     want = sorted(cur.fetchall())
     got = sorted(tuple(r[c] for c in columns) for r in entry.queries()[name](spark, SF).collect())
     assert got == want
+
+
+def test_many_profiles_equal_one_at_a_time(found, spark, vocab):
+    postings, _, extractor, _ = found
+    more = postings.unionByName(postings.withColumns({"posting_id": F.col("posting_id") + 100, "arrival_seq": F.col("arrival_seq") + 100, "job_link": F.concat("job_link", F.lit("/x")), "company": F.concat("company", F.lit(" B"))}))
+    raw = spark.createDataFrame(
+        [(1, "data engineer", "sql; python", "Summary builds pipelines skills Spark experience Kafka", 0.0, 0.0, 0.0), (2, "nurse", "", "patient care", 1.0, 0.0, 1.0),
+         (3, "sql wizard", "", "", 0.0, 0.0, 1.0), (4, "xx", "", "", 1.0, 1.0, 1.0)],
+        "profile_id long, role string, typed_skills string, resume_text string, w_profile double, w_skill double, w_role double",
+    )
+    profiles = build_profiles(raw, extractor, vocab)
+    got = {}
+    for r in search_many(more, profiles, extractor, vocab, 3).orderBy("profile_id", "rank").collect():
+        got.setdefault(r["profile_id"], []).append((r["posting_id"], r["final_score"], r["skill_score"], tuple(r["matched_skills"])))
+    for number in (1, 2):
+        rows = S.search(more, profiles, extractor, vocab, profile_id=number).where("final_score > 0").collect()
+        want = sorted(((-round(r["final_score"], 6), r["arrival_seq"], r) for r in rows), key=lambda x: x[:2])[:3]
+        assert got.get(number, []) == [(r["posting_id"], round(r["final_score"], 6), round(r["skill_score"], 6), tuple(r["matched_skills"])) for _, _, r in want]
+    assert 1 in got and 4 not in got

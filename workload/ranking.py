@@ -10,6 +10,7 @@ from roleweave.operators import rank as W
 from roleweave.operators import tfidf as V
 from roleweave.operators.skills import SkillExtractor
 from roleweave.plans import search as S
+from roleweave.plans.many import search_many
 from roleweave.sources.sinks import export_columns
 from workload.classify import SQL_DIRECT, SQL_INDUSTRY, SQL_LEVEL, SQL_MODE, SQL_TYPE
 from workload.common import (
@@ -102,6 +103,50 @@ def plan_top(spark, sf):
     return top.select("posting_id", "job_title", "company", "final_score", "nlp_score", "skill_score", "role_score")
 
 
+_SQL_ROLE_WORDS = "list_filter(string_split(lower(trim(role)), ' '), lambda w: length(w) >= 3)"
+SQL_SEARCH_MANY = f"""WITH {VOCAB_CTE}, {_KNOWN}, {P_CTE}, {SQL_DEDUP}, {RAW_PROFILES}, {SQL_PROFILE_SKILLS},
+  known_roles AS (SELECT role AS rkey, list(keyword ORDER BY pos) AS kws FROM role_kw GROUP BY 1),
+  listed_skills AS (SELECT id, list(skill ORDER BY skill) AS us FROM profile_skill GROUP BY 1),
+  me AS MATERIALIZED (SELECT profile_id, lower(trim(role)) AS rkey, r.rkey IS NOT NULL AND lower(trim(role)) <> '' AS named,
+    coalesce(r.kws, {_SQL_ROLE_WORDS}) AS kws, coalesce(us, []) AS us,
+    coalesce(nullif({sql_norm(f"concat(role, ' ', array_to_string(coalesce(us, []), ' '), ' ', {_sql_section('summary_text')}, ' ', {_sql_section('experience_text')})")}, ''), {sql_norm('role')}) AS body,
+    CASE WHEN w_profile + w_skill + w_role = 0 THEN 0.2 ELSE w_profile / (w_profile + w_skill + w_role) END AS w1,
+    CASE WHEN w_profile + w_skill + w_role = 0 THEN 0.5 ELSE w_skill / (w_profile + w_skill + w_role) END AS w2,
+    CASE WHEN w_profile + w_skill + w_role = 0 THEN 0.3 ELSE w_role / (w_profile + w_skill + w_role) END AS w3
+    FROM raw_profiles LEFT JOIN known_roles r ON r.rkey = lower(trim(role)) LEFT JOIN listed_skills ON id = profile_id
+    WHERE NOT ({sql_norm('role')} = '' AND len(coalesce(us, [])) = 0 AND {sql_norm('resume_text')} = '')),
+  kept AS MATERIALIZED (SELECT * FROM unique_postings WHERE {_FILTER}),
+  jtexts AS MATERIALIZED (SELECT id, raw, {sql_match('raw')} AS matching FROM
+    (SELECT posting_id AS id, job_title || chr(10) || job_description AS raw FROM kept)),
+  {sql_posting_skills('jtexts', 'j')},
+  listed AS (SELECT posting_id AS id, coalesce(list(skill ORDER BY skill) FILTER (skill IS NOT NULL), []) AS js
+    FROM kept LEFT JOIN jgated ON jgated.id = posting_id GROUP BY 1),
+  blobs AS MATERIALIZED (SELECT posting_id, arrival_seq, js, {sql_match("job_title || ' ' || job_description")} AS blob, {sql_match('job_title')} AS tmatch,
+    concat(job_title, ' | ', job_description, ' | ', array_to_string(js, ', '), ' | ', company, ' | ', job_location) AS body
+    FROM kept JOIN listed ON listed.id = posting_id),
+  src AS (SELECT posting_id AS id, body FROM blobs), qsrc AS (SELECT profile_id AS id, body FROM me),
+  {sql_terms('src', 'd')}, {sql_terms('qsrc', 'q')}, {sql_vocabulary('src', 'd', CAP)}, {sql_unit('d_tf', 'dv')}, {sql_unit('q_tf', 'qv')},
+  dots AS (SELECT q.id AS profile_id, d.id, sum(d.w * q.w) AS s FROM dv d JOIN qv q USING (term) GROUP BY ALL),
+  factors AS (SELECT me.*, posting_id, arrival_seq, js, coalesce(s, 0) AS sim, list_filter(js, lambda x: list_contains(us, x)) AS matched,
+    CASE WHEN len(js) = 0 THEN 0 ELSE len(list_filter(js, lambda x: list_contains(us, x))) / len(js) END AS raw_skill,
+    CASE WHEN len(kws) = 0 THEN 0 ELSE len(list_filter(kws, lambda k: contains(blob, k))) / len(kws) END
+      + CASE WHEN named AND contains(tmatch, rkey) THEN 0.3 ELSE 0 END AS raw_role
+    FROM me CROSS JOIN blobs LEFT JOIN dots ON dots.profile_id = me.profile_id AND dots.id = posting_id),
+  scored AS (SELECT *, CASE WHEN len(js) < 4 AND raw_skill > 0.5 THEN 0.5 ELSE raw_skill END AS skill, least(1.0, raw_role) AS fit FROM factors),
+  finals AS (SELECT *, least(1.0, w1 * sim + w2 * skill + w3 * fit) AS total FROM scored)
+  SELECT profile_id, posting_id, row_number() OVER w AS rank, round(total, 6) AS final_score, round(sim, 6) AS nlp_score, round(skill, 6) AS skill_score,
+    round(fit, 6) AS role_score, array_to_string(matched, '|') AS matched FROM finals WHERE total > 0
+  WINDOW w AS (PARTITION BY profile_id ORDER BY round(total, 6) DESC, arrival_seq) QUALIFY row_number() OVER w <= 10"""
+
+
+@query("plan_search_many", SQL_SEARCH_MANY)
+def plan_many(spark, sf):
+    """The ten best postings of every profile."""
+    vocab = vocabulary(spark)
+    found = search_many(postings(spark, sf), profiles(spark, sf), SkillExtractor(spark, vocab, CUES), vocab, 10, OPTIONS)
+    return found.withColumn("matched", T.join_list(F.col("matched_skills"), "|")).drop("matched_skills")
+
+
 _ORDERS = {
     "best": ("Best Match", "final_score DESC"),
     "skills": ("Skills Match", "skill_score DESC"),
