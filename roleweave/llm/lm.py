@@ -39,6 +39,8 @@ class Settings:
     """Model and training sizes; at most ``head`` tokens of up to ``longest`` bytes are sent to all tasks.
 
     ``rounds`` are passes over the corpus; a unit is at most about ``unit`` steps of ``batch`` tokens.
+    Where one pass has fewer than ``least_steps`` steps one after another, each unit is gone through
+    several times in its turn, so that small corpora are trained as long as larger ones.
     """
 
     vocabulary: int = 768
@@ -48,6 +50,7 @@ class Settings:
     unit: int = 64
     rate: float = 0.1
     rounds: int = 1
+    least_steps: int = 1000
     head: int = 200_000
     longest: int = 64
     seed: int = 7
@@ -331,7 +334,9 @@ def train(docs: DataFrame, lex: Lexicon, settings: Settings) -> Weights:
     weights, end, pieces = first_weights(lex, settings), lex.ids[END], 16
     if not lex.total:
         return weights
-    units, turns = _units(docs, lex, settings), schedule(lex.total, settings)[1]
+    units, (lanes, turns) = _units(docs, lex, settings), schedule(lex.total, settings)
+    steps = ceil(lex.total / (lanes * settings.batch))  # of a pass, one after another
+    repeats = max(1, ceil(settings.least_steps / (settings.rounds * steps)))
     small = replace(lex, ids={}, counts=np.zeros(0, np.int64))
     state = np.concatenate([weights.flat(), np.full(len(weights.flat()), FIRST_SQUARE, np.float32)])
     for turn in range(settings.rounds * turns):
@@ -346,7 +351,8 @@ def train(docs: DataFrame, lex: Lexicon, settings: Settings) -> Weights:
                     trainer = Trainer(Weights.of(flat, settings), lex, settings, [settings.seed, turn, lane])
                     trainer.squares = list(vars(Weights.of(squares, settings)).values())
                     one, two, target = _unpack(blocks, end)
-                    trainer.walk(one, two, target)
+                    for _ in range(repeats):
+                        trainer.walk(one, two, target)
                     total += np.concatenate([trainer.w.flat(), *[x.ravel() for x in trainer.squares]]) * float(len(target))
                     learnt += len(target)
             if learnt:
@@ -362,6 +368,7 @@ def train(docs: DataFrame, lex: Lexicon, settings: Settings) -> Weights:
 
         parts = units.filter(F.col("turn") == turn % turns).mapInArrow(rows, "at int, value binary, n long")
         met = parts.groupBy("at").applyInArrow(mean, "at int, value binary").collect()  # ``pieces`` rows
+        start.destroy()
         if met:
             state = np.concatenate([np.frombuffer(r["value"], np.float32) for r in sorted(met, key=lambda r: r["at"])])
     return Weights.of(np.split(state, 2)[0], settings)

@@ -111,3 +111,25 @@ def test_units_hold_every_token_with_its_contexts(documents, rows):
     units = lm._units(learning, lex, small).collect()
     got = Counter(x for u in units for x in zip(*(a.tolist() for a in lm._unpack([bytes(b) for b in u["blocks"]], end))))
     assert got == want and len({(u["turn"], u["lane"]) for u in units}) == len(units) > 4
+
+
+def test_small_corpora_gain_from_context(spark):
+    """Held-out tokens of a small table score better than by the same model without context, by a tenth of a decade each."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    settings = lm.Settings()
+    kept = docs.filter(~lm.held_out(F.col("doc_id")))
+    lex = lm.lexicon(lm.count_tokens(kept), settings)
+    weights = lm.train(kept, lex, settings)
+    plain = lm.Weights(**{name: value.copy() for name, value in vars(weights).items()})
+    plain.left[:] = 0
+    plain.bias = lm.first_weights(lex, settings).bias
+    texts = [(r["text"] or "").encode() for r in docs.filter(lm.held_out(F.col("doc_id"))).collect()]
+    scores = []
+    for w in (weights, plain):
+        scorer, total, n = lm.Scorer(w, settings), 0.0, 0
+        for text in texts:
+            _, kind, sizes, _ = lm._classes([text], lex.ids, settings)
+            total += scorer.logs(*lm._contexts(kind, sizes, lex.ids[lm.END]), kind).sum()
+            n += len(kind)
+        scores.append(total / n)
+    assert scores[0] >= scores[1] + 0.1
