@@ -65,16 +65,15 @@ def window_places(docs: DataFrame, passages: DataFrame, width: int = WINDOW) ->
     found = None
     for size in sizes:
         enough = split.filter(F.col("n_words") >= size)
-        rows = enough.select(
-            "doc_id", "text_id", "n_words", "all",
-            F.posexplode(_runs(F.col("all"), F.lit(size), F.col("n_words") - size + 1)).alias("at", "gram"),
-        )
-        hit = _join(rows, wanted.filter(F.col("size") == size).select("gram"), ["gram"], small, F.xxhash64("doc_id", "at"), "left_semi")
+        place = F.posexplode(_runs(F.col("all"), F.lit(size), F.col("n_words") - size + 1)).alias("at", "gram")
         first = F.greatest(F.col("at") - (width - size), F.lit(0))
-        hit = hit.select(
-            "doc_id", "text_id", "n_words", "at", "gram", F.lit(size).alias("size"), first.alias("first"),
-            F.slice("all", first + 1, F.col("at") + width - first).alias("near"),
-        )
+        near = F.slice("all", first + 1, F.col("at") + width - first).alias("near")  # all words of a window that holds the shingle
+        kept = ["doc_id", "text_id", "n_words", "at", "gram"]
+        rows = enough.select("doc_id", "text_id", "n_words", "all", place)
+        if not small:  # what shuffles is a fixed number of words, never the text
+            rows = rows.select(*kept, near)
+        hit = _join(rows, wanted.filter(F.col("size") == size).select("gram"), ["gram"], small, F.xxhash64("doc_id", "at"), "left_semi")
+        hit = hit.select(*kept, F.lit(size).alias("size"), first.alias("first"), near if small else F.col("near"))
         found = hit if found is None else found.union(hit)
     if found is None:
         found = split.filter("false").select("doc_id", "text_id", "n_words", F.lit(0).alias("at"), F.lit(0).cast("long").alias("gram"), F.lit(1).alias("size"), F.lit(0).alias("first"), F.col("all").alias("near"))
