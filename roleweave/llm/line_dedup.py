@@ -55,8 +55,8 @@ def spread_lines(docs: DataFrame) -> DataFrame:
 
 
 def text_id(text: Column) -> Column:
-    """Equal for equal texts."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+    """128 bits, equal for equal texts."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def boilerplate(lines: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -67,14 +67,14 @@ def boilerplate(lines: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """
     several = lines.groupBy("line").agg(F.min("site").alias("a"), F.max("site").alias("b")).filter("a < b").select("line")
     several = stage(several, "several")
-    pairs = salted_join(lines, several, ["line"], F.col("site"), "left_semi")
-    pairs = stage(pairs.groupBy("line", "site").agg(F.count(F.lit(1)).alias("copies")), "line-sites")
-    sketches = pairs.groupBy("line").agg(F.hll_sketch_agg("site", settings.precision).alias("sketch"))
+    shared = salted_join(lines, several, ["line"], F.col("site"), "left_semi")
+    sketches = shared.groupBy("line").agg(F.hll_sketch_agg("site", settings.precision).alias("sketch"))
     estimates = stage(sketches.select("line", F.hll_sketch_estimate("sketch").alias("estimate")), "estimates")
     low, high = settings.sites * (1 - settings.margin), settings.sites * (1 + settings.margin)
     sure = estimates.filter(F.col("estimate") > high).select("line", F.col("estimate").alias("n_sites"), F.lit(False).alias("exact"))
     near = estimates.filter(F.col("estimate").between(low, high)).select("line")
-    counted = salted_join(pairs, near, ["line"], F.col("site"), "left_semi").groupBy("line").agg(F.count(F.lit(1)).alias("n_sites"))
+    counted = salted_join(lines, near, ["line"], F.col("site"), "left_semi").select("line", "site").distinct()
+    counted = counted.groupBy("line").agg(F.count(F.lit(1)).alias("n_sites"))
     counted = counted.filter(F.col("n_sites") >= settings.sites).withColumn("exact", F.lit(True))
     return stage(sure.union(counted), "boilerplate")
 
