@@ -27,6 +27,27 @@ def unmatched_key(key: Column, matches: Column, row_id: Column) -> Column:
     return F.when(matches, key).otherwise(F.concat(F.lit("\u0000"), row_id.cast("string")))
 
 
+#: A key with this share of the rows is split, so there are at most as many as its inverse.
+HOT_SHARE = 1 / 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], salt: Column) -> DataFrame:
+    """Inner join of a written table ``left`` with its frequent keys dealt over several tasks.
+
+    ``right`` has few rows per key; those of a frequent key are repeated once per part.
+    """
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = left.agg(F.count(F.lit(1))).scalar()
+    hot = counts.where((F.col("_n") > total * HOT_SHARE) & (F.col("_n") > 1000))
+    parts = F.ceil(F.col("_n") / F.greatest(total * HOT_SHARE, F.lit(1000))).cast("int")
+    hot = F.broadcast(hot.select(*keys, parts.alias("_parts")))  # at most 1,000 rows
+    dealt = left.join(hot, keys, "left").withColumn("_part", F.coalesce(F.pmod(salt, F.col("_parts")), F.lit(0)).cast("int"))
+    repeated = right.join(hot, keys, "left").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))
+    )
+    return dealt.drop("_parts").join(repeated.drop("_parts"), [*keys, "_part"]).drop("_part")
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Spread a small scan over all cores; a scan with enough splits is returned as it is.
 

@@ -8,7 +8,7 @@ A posting then needs one row-local array intersection: no join and no shuffle of
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +38,7 @@ LETTER_RIGHT = r"(?:$|[,;:\s/)\]])"
 CHUNK_BREAK = "[.;•●○–—]"
 MIN_CHUNK_CHARS = 1
 
-_TOKENS = rf"{T.WORD}+|{T.NON_WORD}+"
+TOKENS = rf"{T.WORD}+|{T.NON_WORD}+"
 _WORD_EDGED = re.compile(r"\w(.*\w)?", re.DOTALL)
 
 
@@ -56,18 +56,9 @@ def valid_skill(term: Column, vocab: Vocabulary) -> Column:
 
     def of_term(s: Column) -> Column:
         words = F.split(s, rf"{T.BLANK}+")
-        barred = (
-            ~F.length(s).between(2, 40)
-            | one_of(s, vocab.stop("generic"))
-            | s.rlike(r"^\p{Nd}{5}|&|http|www\.|@")
-            | one_of(s, vocab.stop("location"))
-            | F.arrays_overlap(words, array_literal(vocab.stop("institution")))
-            | ~s.rlike("[a-z0-9+#]")
-            | s.rlike(r"^\p{Nd}+$")
-        )
         return (
             F.when(one_of(s, vocab.single_letters), True)
-            .when(barred, False)
+            .when(barred_term(s, vocab), False)
             .when(one_of(s, vocab.known), True)
             .when(F.size(words) >= 2, False)
             .otherwise(~s.rlike(NON_SKILL_WORDS))
@@ -76,6 +67,19 @@ def valid_skill(term: Column, vocab: Vocabulary) -> Column:
     return let(F.lower(T.strip_blank(T.text_or_empty(term))), of_term)
 
 
+def barred_term(s: Column, vocab: Vocabulary) -> Column:
+    """Whether length, form or a stop list rules a lower-case term out."""
+    return (
+        ~F.length(s).between(2, 40)
+        | one_of(s, vocab.stop("generic"))
+        | s.rlike(r"^\p{Nd}{5}|&|http|www\.|@")
+        | one_of(s, vocab.stop("location"))
+        | F.arrays_overlap(F.split(s, rf"{T.BLANK}+"), array_literal(vocab.stop("institution")))
+        | ~s.rlike("[a-z0-9+#]")
+        | s.rlike(r"^\p{Nd}+$")
+    )
+
+
 def resolve_alias(term: Column, vocab: Vocabulary) -> Column:
     """One alias step."""
     return F.when(
@@ -200,7 +204,7 @@ class TextMatcher:
         self._odd = {s: c for s, c in surfaces.items() if s not in plain}
 
     def in_text(self, text: Column) -> Column:
-        tokens = F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0))
+        tokens = F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0))
         grams = word_grams(tokens, self._longest, self._first_words)
         return F.concat(self._tokens.in_tokens(grams), literal_hits(text, self._odd))
 
@@ -262,23 +266,30 @@ def requirement_tokens(text: Column, matching_text: Column, cues=REQUIREMENT_CUE
     return let(body, of_body)
 
 
-def colon_tokens(text: Column, vocab: Vocabulary) -> Column:
-    """Tokens to the right of each line's first colon."""
+def colon_parts(text: Column) -> Column:
+    """Tokens to the right of each line's first colon, slashes left in."""
     lines = F.filter(F.split(text, T.LINE_BREAK), lambda s: F.contains(s, F.lit(":")))
     rights = F.transform(
         lines,
         lambda s: F.regexp_replace(F.regexp_replace(s, r"(?s)^[^:]*:", ""), r"\(.*?\)", ""),
     )
     parts = F.flatten(F.transform(rights, lambda r: F.split(r, r"[,;|]")))
-    tokens = F.filter(F.transform(parts, _trim_list_token), lambda p: p != "")
+    return F.filter(F.transform(parts, _trim_list_token), lambda p: p != "")
+
 
-    return F.filter(
-        F.flatten(F.transform(tokens, lambda p: _unslashed(p, vocab))),
-        lambda p: ~p.rlike(r"^(?:https?://|www\.)")
-        & ~F.arrays_overlap(F.split(p, rf"{T.BLANK}+"), array_literal(vocab.stop("institution"))),
+def list_token(p: Column, vocab: Vocabulary) -> Column:
+    """Whether a token of a list is neither an address nor part of an institution's name."""
+    return ~p.rlike(r"^(?:https?://|www\.)") & ~F.arrays_overlap(
+        F.split(p, rf"{T.BLANK}+"), array_literal(vocab.stop("institution"))
     )
 
 
+def colon_tokens(text: Column, vocab: Vocabulary) -> Column:
+    """Tokens to the right of each line's first colon."""
+    parts = F.flatten(F.transform(colon_parts(text), lambda p: _unslashed(p, vocab)))
+    return F.filter(parts, lambda p: list_token(p, vocab))
+
+
 class SkillExtractor:
     """Posting- and resume-side extraction over one vocabulary; every result is a column."""
 
@@ -357,8 +368,8 @@ def scan_terms_by_join(
         "surface",
         "canonical",
     )
-    tokens = F.regexp_extract_all(text_col, F.lit(_TOKENS), F.lit(0))
-    grams = explode_items(texts, [id_col], _context_grams(tokens, longest), "g").select(
+    tokens = F.regexp_extract_all(text_col, F.lit(TOKENS), F.lit(0))
+    grams = explode_items(texts, [id_col], context_grams(tokens, longest), "g").select(
         id_col, "g.gram", "g.context"
     )
     hits = grams.join(broadcast_if_small(rows), F.col("gram") == F.col("core"))
@@ -366,8 +377,8 @@ def scan_terms_by_join(
     return hits.where(exact).select(id_col, F.col("canonical").alias("skill")).distinct()
 
 
-def _context_grams(tokens: Column, longest: int) -> Column:
-    """Grams with up to two neighbouring tokens on each side."""
+def context_grams(tokens: Column, longest: int, keep: Callable[[Column, int], Column] | None = None) -> Column:
+    """Grams with up to two neighbouring tokens on each side; ``keep`` tells by first word and length which to make."""
 
     def gram(tok: Column, i: Column, words: int) -> Column:
         around = [F.get(tok, i + offset) for offset in range(-3, 2 * words)]
@@ -379,7 +390,10 @@ def _context_grams(tokens: Column, longest: int) -> Column:
 
     def of_tokens(tok: Column) -> Column:
         def of_length(words: int) -> Column:
-            return F.transform(gram_starts(tok, words), lambda i: gram(tok, i, words))
+            starts = gram_starts(tok, words)
+            if keep is not None:
+                starts = F.filter(starts, lambda i: keep(F.get(tok, i - 1), words))
+            return F.transform(starts, lambda i: gram(tok, i, words))
 
         return F.concat(*[of_length(k) for k in range(1, longest + 1)])
 

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from roleweave.functions import text as T
 from roleweave.functions.arrays import explode_items, sorted_distinct
+from roleweave.operators import dictionary as D
 from roleweave.operators import skills as K
+from roleweave.vocabulary import Vocabulary
 from workload.common import (
-    ACRONYMS, ALIASES, CUES, DICTIONARY, NW, P_CTE, S, SINGLE_LETTERS, VOCAB_CTE, postings, query, sql_match, sql_norm, sql_occurs, table, values, vocabulary,
+    ACRONYMS, ALIASES, CUES, DICTIONARY, NW, P_CTE, S, SINGLE_LETTERS, VOCAB_CTE, VOCAB_SQL, postings, query, sql_match, sql_norm, sql_occurs, table, values, vocabulary,
 )
 
 _KNOWN = "known AS (SELECT DISTINCT term FROM skill WHERE dictionary OR approved)"
@@ -391,3 +393,54 @@ def e12_verdict(spark, sf):
 )
 def a12(spark, sf):
     return K.missed_skills(*_quality_inputs(spark, sf))
+
+
+# --- dictionaries of any size: terms and aliases taken from the corpus ------------------------
+
+_CORPUS_TERMS = r"""corpus_terms AS MATERIALIZED (SELECT DISTINCT term FROM (
+    SELECT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS term FROM documents UNION ALL
+    SELECT regexp_extract(lower(text), '^[a-z]+ [a-z]+') FROM documents) WHERE term <> ''),
+  skill AS MATERIALIZED (SELECT term, true AS dictionary, false AS approved, false AS acronym, false AS single_letter FROM corpus_terms),
+  alias AS MATERIALIZED (SELECT term AS variant, substring(term, 1, 6) AS canonical FROM corpus_terms WHERE length(term) = 8 AND NOT contains(term, ' '))"""
+_ANY = "WITH " + ",\n".join(f"{name} AS ({sql})" for name, sql in VOCAB_SQL.items() if name not in ("skill", "alias")) + f", {_CORPUS_TERMS}, {_KNOWN}"
+_ANY_SCAN = """pieces AS (SELECT id, u.tok, u.i FROM texts, unnest(regexp_extract_all(matching, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+')) WITH ORDINALITY AS u(tok, i)),
+  forms AS (SELECT DISTINCT id, form FROM (SELECT id, tok AS form FROM pieces UNION ALL SELECT id, tok || l1 || l2 FROM
+    (SELECT id, tok, lead(tok) OVER w AS l1, lead(tok, 2) OVER w AS l2 FROM pieces WINDOW w AS (PARTITION BY id ORDER BY i)) WHERE l1 = ' ')),
+  scan AS (SELECT id, found FROM forms JOIN (SELECT term AS form, term AS found FROM skill UNION SELECT variant, canonical FROM alias) USING (form))"""
+
+
+def _corpus_dictionary(spark, sf):
+    low = F.lower("text")
+    docs = table(spark, sf, "documents")
+    words = docs.select(F.explode(F.regexp_extract_all(low, F.lit("[a-z]{6,}"), F.lit(0))).alias("term"))
+    pairs = docs.select(F.regexp_extract(low, "^[a-z]+ [a-z]+", 0).alias("term"))
+    terms = words.union(pairs).where("term <> ''").distinct()
+    flags = [F.lit(n == "dictionary").alias(n) for n in ("dictionary", "approved", "acronym", "single_letter")]
+    alias = terms.where("length(term) = 8 AND NOT contains(term, ' ')").select(F.col("term").alias("variant"), F.substring("term", 1, 6).alias("canonical"))
+    return D.build(terms.select("term", *flags), alias, Vocabulary(stops=vocabulary(spark).stops))
+
+
+@query(
+    "e1_dictionary_of_any_size",
+    f"""{_ANY}, {P_CTE}, texts AS MATERIALIZED (SELECT id, raw, {sql_match('raw')} AS matching FROM
+      (SELECT posting_id AS id, job_title || chr(10) || job_description AS raw FROM postings)), {_ANY_SCAN}, {sql_requirements('texts', 'req')},
+      every AS (SELECT * FROM scan UNION SELECT * FROM req), {sql_gate('every', 'gated')} {sql_listed('texts', 'gated')}""",
+)
+def e1_any(spark, sf):
+    """Every word of six letters and every first pair of words of the corpus is a term, every one of eight an alias."""
+    found = D.posting_skills(postings(spark, sf), "posting_id", F.col("job_title"), F.col("job_description"), _corpus_dictionary(spark, sf), CUES)
+    return found.select(F.col("posting_id").alias("doc_id"), T.join_list(F.col("skills"), "|").alias("skills"))
+
+
+_CLEAN = f"regexp_replace(regexp_replace(text, 'https?://[^{S[1:-1]}]+', ' ', 'g'), 'www\\.[^{S[1:-1]}]+', ' ', 'g')"
+
+
+@query(
+    "e2_dictionary_of_any_size",
+    f"""{_ANY}, texts AS MATERIALIZED (SELECT id, raw, {sql_match('raw')} AS matching FROM (SELECT doc_id AS id, {_CLEAN} AS raw FROM documents)),
+      {_ANY_SCAN}, {sql_requirements('texts', 'req')}, {sql_colons('texts', 'col')},
+      every AS (SELECT * FROM scan UNION SELECT * FROM req UNION SELECT * FROM col), {sql_gate('every', 'gated')} {sql_listed('texts', 'gated')}""",
+)
+def e2_any(spark, sf):
+    found = D.resume_skills(table(spark, sf, "documents"), "doc_id", F.col("text"), _corpus_dictionary(spark, sf), CUES)
+    return found.select("doc_id", T.join_list(F.col("skills"), "|").alias("skills"))
