@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Field and column names of the landed pages, the posting list and the export.
 API_PAGE = """
 page int,
 results array<struct<

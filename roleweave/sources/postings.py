@@ -162,6 +162,18 @@ def read_posting_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_posting_csv_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """The posting CSVs of a folder with ``arrival_seq``: file name, then row.
+
+    A file with line breaks inside quotes is read by one task from its start, so the row numbers of
+    a task grow along the file.  The key is unique and orders the rows; its numbers have gaps.
+    """
+    rows = read_posting_csv(spark, path).select("*", F.col("_metadata.file_path").alias("_file"))
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    key = F.concat_ws("/", _order_part(rows, "_file"), _order_part(rows, "_row"))
+    return rows.withColumn("arrival_seq", key).drop("_file", "_row")
+
+
 def read_resumes(spark: SparkSession, path: str) -> DataFrame:
     """Plain-text resumes: bytes that are not UTF-8 are dropped, blanks collapsed."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)

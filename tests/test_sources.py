@@ -99,6 +99,16 @@ def test_clean_and_match_csv(spark, tmp_path, vocab):
     assert N.best(clean.join(texts, "arrival_seq"), "similarity", 1).first()["job_link"] == "u4"
 
 
+def test_csv_files_have_one_order(spark, tmp_path):
+    head = "job_link,job_title,company,job_location,first_seen,job_level,job_type,job_summary,job_skills\n"
+    for name in ("b.csv", "a.csv"):
+        rows = "".join(f'{name}{i},t,c,l,,,,"two\nlines, ""{i}""",s\n' for i in range(30))
+        (tmp_path / name).write_text(head + rows)
+    rows = P.read_posting_csv_in_order(spark, str(tmp_path)).orderBy("arrival_seq").collect()
+    assert [r["job_link"] for r in rows] == [f"{n}{i}" for n in ("a.csv", "b.csv") for i in range(30)]
+    assert len({r["arrival_seq"] for r in rows}) == 60 and rows[3]["job_summary"] == 'two\nlines, "3"'
+
+
 def test_csv_sinks(spark, tmp_path):
     df = spark.createDataFrame([("b", 0.5, ["x", "y"], 2), ('a "q"', 0.9, [], 1)], "job_title string, final_score double, extra array<string>, n int")
     sinks.write_csv(df, str(tmp_path / "all"))

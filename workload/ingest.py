@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from roleweave.functions import text as T
 from roleweave.plans import matching as N
 from roleweave.operators import dedup as D
+from roleweave.operators.rank import with_rank
 from roleweave.session import ensure_checkpoint_dir
 from roleweave.sources import postings as P
+from roleweave.sources.sinks import write_csv
 from roleweave.streaming import ingest as I
 from workload.common import P_CTE, postings, query, sql_norm, table, vocabulary
 from workload.dedup import SQL_DEDUP
@@ -256,3 +258,77 @@ def _as_postings(d):
     )
 
 
+
+
+# --- files written and read back ---------------------------------------------------------------
+
+
+def _folder(spark, name):
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+_CSV_TEXT = "nullif(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '')"
+_SQL_CSV = f"""SELECT md5(text) AS job_link, source || ', "' || lang || '"' AS job_title, source AS company, lang AS job_location,
+  CAST(doc_id AS VARCHAR) AS first_seen, {_CSV_TEXT} AS job_summary, to_json([source, lang]) AS job_skills FROM documents"""
+
+
+def _csv_rows(spark, sf):
+    """Documents as rows of a posting list: quotes, commas and line breaks inside fields, a list as skills."""
+    text = F.nullif(F.replace(F.replace("text", F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), F.lit(""))
+    return table(spark, sf, "documents").select(
+        F.md5("text").alias("job_link"),
+        F.concat(F.col("source"), F.lit(', "'), F.col("lang"), F.lit('"')).alias("job_title"),
+        F.col("source").alias("company"),
+        F.col("lang").alias("job_location"),
+        F.col("doc_id").cast("string").alias("first_seen"),
+        F.lit("").alias("job_level"),
+        F.lit(None).cast("string").alias("job_type"),
+        text.alias("job_summary"),
+        F.array("source", "lang").alias("job_skills"),
+    )
+
+
+@query(
+    "s1_s6_csv_round_trip",
+    f"SELECT row_number() OVER (ORDER BY CAST(first_seen AS BIGINT)) AS place, * FROM ({_SQL_CSV})",
+)
+def s1_s6(spark, sf):
+    """Several CSV files of cleaned postings, sorted across files, read again in their order."""
+    path = _folder(spark, "cleaned")
+    write_csv(_csv_rows(spark, sf).orderBy(F.col("first_seen").cast("long")), path)
+    rows = P.read_posting_csv_in_order(spark, path)
+    ranked = with_rank(rows.select("arrival_seq", "first_seen"), [F.col("arrival_seq")], rank="place")
+    return rows.drop("job_level", "job_type", "arrival_seq").join(ranked.select("first_seen", "place"), "first_seen")
+
+
+@query(
+    "s7_filtered_sink",
+    f"SELECT company, job_location, job_summary FROM ({_SQL_CSV}) WHERE regexp_matches(lower(job_summary), 'pour|with ')",
+)
+def s7(spark, sf):
+    path = _folder(spark, "filtered")
+    write_csv(_csv_rows(spark, sf).where(F.lower("job_summary").rlike("pour|with ")), path)
+    return P.read_posting_csv(spark, path).select("company", "job_location", "job_summary")
+
+
+@query(
+    "s8_landed_sink",
+    f"WITH {_SQL_PAGES} SELECT source AS company, lang AS job_location, md5(text) AS job_link, 'United States' AS search_country FROM flat WHERE lang IN ('en', 'fr')",
+)
+def s8(spark, sf):
+    """The reduced landing as CSV."""
+    path = _folder(spark, "landed")
+    write_csv(P.accepted(P.flatten_reduced(_whole(spark, sf))), path)
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return back.select("company", "job_location", "job_link", "search_country")
+
+
+@query("s5_resumes", f"SELECT item_id, {sql_norm('text')} AS resume_text FROM benchmark WHERE {sql_norm('text')} <> ''")
+def s5(spark, sf):
+    """The profiles' resumes, each a text file in a folder of its number."""
+    path = _folder(spark, "resumes")
+    items = table(spark, sf, "benchmark").where(T.normalize(F.col("text")) != "").select("text", "item_id")
+    items.repartitionByRange("item_id").write.partitionBy("item_id").option("lineSep", "\n").text(path)
+    found = P.read_resumes(spark, f"{path}/*")
+    return found.select(F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id"), "resume_text")
