@@ -10,6 +10,7 @@ left out ends at the next tag that implies its end: the start of a sibling or th
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from html.entities import html5, name2codepoint
@@ -163,6 +164,11 @@ _ENDS = {
 }
 
 
+_STRICT_BLOCKS = sorted(
+    {n for b in _BLOCK.split("|") for n in ([f"h{i}" for i in range(1, 7)] if b == "h[1-6]" else [b])} - set(_OPTIONAL)
+)
+
+
 def tag_events(tokens: Column) -> Column:
     """``array<struct<i, name, kind, cls, ref, optional, block, ends>>`` of the tags: kind 1 opens, -1 closes, 0 is void.
 
@@ -170,21 +176,27 @@ def tag_events(tokens: Column) -> Column:
     open elements that its start ends.
     """
 
-    def event(t: Column, i: Column) -> Column:
-        name = F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
+    def attribute(t: Column, name: str) -> Column:
+        return F.when(F.contains(t, F.lit("=")), _attribute(t, name)).otherwise("")
+
+    def event(t: Column, i: Column, name: Column) -> Column:
         void = name.isin(*_VOID) | F.endswith(t, F.lit("/>"))
         return F.struct(
             i.alias("i"),
             name.alias("name"),
             F.when(F.startswith(t, F.lit("</")), -1).when(void, 0).otherwise(1).alias("kind"),
-            _attribute(t, "class").alias("cls"),
-            _attribute(t, "id").alias("ref"),
+            attribute(t, "class").alias("cls"),
+            attribute(t, "id").alias("ref"),
             name.isin(*_OPTIONAL).alias("optional"),
-            (name.rlike(f"^(?:{_BLOCK})$") & ~name.isin(*_OPTIONAL)).alias("block"),
-            F.coalesce(_look_up(_ENDS, name), F.lit("")).alias("ends"),
+            name.isin(*_STRICT_BLOCKS).alias("block"),
+            F.when(name.isin(*_ENDS), _look_up(_ENDS, name)).otherwise("").alias("ends"),
         )
 
-    return F.filter(F.transform(tokens, event), lambda e: e["name"] != "")
+    def tag(t: Column, i: Column) -> Column:
+        name = F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
+        return F.when(F.startswith(t, F.lit("<")), let(name, lambda n: F.when(n != "", event(t, i, n))))
+
+    return F.filter(F.transform(tokens, tag), lambda e: e.isNotNull())
 
 
 def _range(start: Column, end: Column) -> Column:
@@ -297,22 +309,42 @@ def range_text(tokens: Column, start: Column, end: Column, separator: str) -> Co
     return _strip_all(inside, separator)
 
 
-def without_noise(tokens: Column, rules: PageRules) -> Column:
-    """Tokens outside structural elements and outside elements with a noise class or id."""
+_GONE = "<!>"
+
+
+def _noise_ranges(events: Column, rules: PageRules) -> Column:
+    """Structural elements and elements with a noise class or id."""
+    pattern = f"(?i){rules.noise}"
 
     def noisy(e: Column) -> Column:
-        pattern = f"(?i){rules.noise}"
-        return e["name"].isin(*rules.structural_tags) | e["cls"].rlike(pattern) | e["ref"].rlike(pattern)
-
-    def keep(tok: Column) -> Column:
-        return let(
-            outer_ranges(tag_events(tok), noisy),
-            lambda ranges: F.filter(
-                tok, lambda _, i: ~F.exists(ranges, lambda r: i.between(r["s"], r["e"]))
-            ),
-        )
+        marked = F.when(e["cls"] != "", e["cls"].rlike(pattern)).otherwise(False)
+        return e["name"].isin(*rules.structural_tags) | marked | F.when(e["ref"] != "", e["ref"].rlike(pattern)).otherwise(False)
+
+    return outer_ranges(events, noisy)
+
 
-    return let(tokens, keep)
+def _outside(tokens: Column, ranges: Column, blank: bool) -> Column:
+    """Tokens outside ordered ranges, by slices; with ``blank`` an empty separator stands for each that is gone."""
+
+    def piece(r: Column, j: Column) -> Column:
+        start = F.coalesce(F.get(ranges, j - 1)["e"] + 1, F.lit(0))
+        before = F.slice(tokens, start + 1, r["s"] - start)
+        if not blank:
+            return before
+        return F.concat(before, F.array_repeat(F.lit(_GONE), F.least(r["e"], F.size(tokens) - 1) - r["s"] + 1))
+
+    def tail(end: Column) -> Column:
+        return F.when(end >= F.size(tokens) - 1, F.array().cast("array<string>")).otherwise(F.slice(tokens, end + 2, F.size(tokens)))
+
+    rest = let(F.element_at(ranges, -1)["e"], tail)
+    return F.when(F.size(ranges) == 0, tokens).otherwise(F.concat(F.flatten(F.transform(ranges, piece)), rest))
+
+
+def without_noise(tokens: Column, rules: PageRules) -> Column:
+    """Tokens outside structural elements and outside elements with a noise class or id."""
+    return let(
+        tokens, lambda tok: let(_noise_ranges(tag_events(tok), rules), lambda ranges: _outside(tok, ranges, False))
+    )
 
 
 def _first(events: Column, matches: Callable[[Column], Column]) -> Column:
@@ -331,8 +363,10 @@ def _element_text(tokens: Column, events: Column, opening: Column) -> Column:
 
 def container_text(tokens: Column, events: Column, rules: PageRules) -> Column:
     pattern = f"(?i){rules.container}"
-    opening = F.coalesce(
-        _first(events, lambda e: e["cls"].rlike(pattern)), _first(events, lambda e: e["ref"].rlike(pattern))
+    named = F.filter(events, lambda e: (e["cls"] != "") | (e["ref"] != ""))
+    opening = let(
+        named,
+        lambda n: F.coalesce(_first(n, lambda e: e["cls"].rlike(pattern)), _first(n, lambda e: e["ref"].rlike(pattern))),
     )
     return _element_text(tokens, events, opening)
 
@@ -340,11 +374,11 @@ def container_text(tokens: Column, events: Column, rules: PageRules) -> Column:
 def vendor_text(tokens: Column, events: Column, rules: PageRules) -> Column:
     """First vendor pattern, in order, whose element has enough text; null if none has."""
 
-    def candidate(pattern: str) -> Column:
-        found = _element_text(tokens, events, _first(events, lambda e: e["cls"].rlike(f"(?i){pattern}")))
+    def candidate(named: Column, pattern: str) -> Column:
+        found = _element_text(tokens, events, _first(named, lambda e: e["cls"].rlike(f"(?i){pattern}")))
         return let(found, lambda t: F.when(F.length(t) > rules.min_vendor_chars, t))
 
-    return F.coalesce(*[candidate(p) for p in rules.vendor])
+    return let(F.filter(events, lambda e: e["cls"] != ""), lambda n: F.coalesce(*[candidate(n, p) for p in rules.vendor]))
 
 
 def _sibling_spans(events: Column, after: Column) -> Column:
@@ -407,7 +441,11 @@ def heading_text(tokens: Column, events: Column, rules: PageRules) -> Column:
             ),
         )
     )
-    return F.array_join(F.filter(chunks, lambda c: c != ""), "\n")
+    found = F.array_join(F.filter(chunks, lambda c: c != ""), "\n")
+    if re.search(r"[\^$\\]", rules.section.replace(r"\s", "")):
+        return found
+    # A pattern without anchors that is nowhere in the page's text is in no heading.
+    return F.when(range_text(tokens, F.lit(-1), F.lit(_LAST), " ").rlike(f"(?i){rules.section}"), found).otherwise("")
 
 
 def blocks(tokens: Column, rules: PageRules) -> Column:
@@ -430,16 +468,17 @@ def block_text(tokens: Column, rules: PageRules) -> Column:
 
 
 def body_text(tokens: Column, events: Column) -> Column:
-    def bound(name: str, kind: int) -> Column:
-        hits = F.filter(events, lambda e: (e["name"] == name) & (e["kind"] == kind))
+    def bound(marks: Column, name: str, kind: int) -> Column:
+        hits = F.filter(marks, lambda e: (e["name"] == name) & (e["kind"] == kind))
         return F.get(hits, F.lit(0))["i"]
 
-    start = F.coalesce(bound("body", 1), bound("head", -1), F.lit(-1))
-    end = F.coalesce(bound("body", -1), F.lit(_LAST))
-    return let(
-        F.struct(start.alias("s"), end.alias("e")),
-        lambda r: range_text(tokens, r["s"], r["e"], "\n"),
-    )
+    def of_marks(marks: Column) -> Column:
+        start = F.coalesce(bound(marks, "body", 1), bound(marks, "head", -1), F.lit(-1))
+        end = F.coalesce(bound(marks, "body", -1), F.lit(_LAST))
+        return F.struct(start.alias("s"), end.alias("e"))
+
+    marks = F.filter(events, lambda e: e["name"].isin("body", "head"))
+    return let(let(marks, of_marks), lambda r: range_text(tokens, r["s"], r["e"], "\n"))
 
 
 def _choice(text: Column, step: str | Column) -> Column:
@@ -491,8 +530,16 @@ def main_text(html: Column, rules: PageRules = PageRules()) -> Column:
         third = let(second, lambda c: filled(c, block_text(tok, rules), "blocks"))
         return let(third, after_blocks)
 
-    cleaned = decoded(without_noise(tokenize(html), rules))
-    chosen = let(cleaned, lambda tok: let(tag_events(tok), lambda events: pick(tok, events)))
+    def of_page(tok: Column, events: Column) -> Column:
+        """Noise leaves separators behind, so places stay and the tags are looked at once."""
+
+        def of_kept(kept: Column) -> Column:
+            left = F.filter(events, lambda e: F.get(kept, e["i"]) != _GONE)
+            return let(left, lambda ev: pick(kept, ev))
+
+        return let(_noise_ranges(events, rules), lambda ranges: let(decoded(_outside(tok, ranges, True)), of_kept))
+
+    chosen = let(tokenize(html), lambda tok: let(tag_events(tok), lambda events: of_page(tok, events)))
 
     def whole(text: Column) -> Column:
         return text if rules.max_chars is None else T.prefix(text, rules.max_chars)

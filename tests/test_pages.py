@@ -131,3 +131,9 @@ def test_extract_pages_and_page_texts(spark):
     got = extract_pages(spark.createDataFrame(rows, "job_link string, html string"))
     assert got.columns == ["job_link", "text", "step", "n_chars"]
     assert [tuple(r) for r in page_texts(got).collect()] == [("u", "b" * 200)]
+
+
+def test_many_noise_elements(page):
+    parts = "".join(f'<p>kept {i} text</p><div class="share">gone <b>{i}</b></div>' for i in range(300))
+    text, step = page(f"<body>{parts}</body>")
+    assert step == "blocks" and text.split() == [w for i in range(300) for w in ("kept", str(i), "text")]
