@@ -104,7 +104,10 @@ def fitted(docs: DataFrame, doc_id: str, max_features: int | None = None, writte
 def unit_weights(terms: DataFrame, vocabulary: DataFrame, wanted: DataFrame, doc_id: str, capped: bool) -> DataFrame:
     """(id, term, weight) of the ``wanted`` part of the vocabulary, scaled to documents of length 1 over all of it."""
     norms = weigh(terms, vocabulary, doc_id, capped, complete=True).groupBy(doc_id).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"))
-    weights = weigh(terms, wanted, doc_id, capped=False).where("weight > 0")
+    if wanted.count() <= HOT_TERMS:  # all of them are broadcast, so nothing shuffles
+        weights = terms.join(F.broadcast(wanted.select("term", "idf")), "term").select(doc_id, "term", (F.col("tf") * F.col("idf")).alias("weight"))
+    else:
+        weights = weigh(terms, wanted, doc_id, capped=False).where("weight > 0")
     return weights.join(norms, doc_id).select(doc_id, "term", (F.col("weight") / F.col("_norm")).alias("weight"))
 
 

@@ -67,7 +67,9 @@ def test_no_documents_and_no_queries(spark):
     assert K.best_documents(K.build_index(weights.where("false"), 0), asks, 3).collect() == []
 
 
-def test_best_pairs_equal_the_pair_table(spark):
+@pytest.mark.parametrize("frequent", [5, 20_000])
+def test_best_pairs_equal_the_pair_table(spark, monkeypatch, frequent):
+    monkeypatch.setattr(V, "HOT_TERMS", frequent)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(200)]
     text = lambda n: " ".join(words[min(int(rng.paretovariate(0.5)), 199)] for _ in range(n))
