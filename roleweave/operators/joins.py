@@ -31,10 +31,11 @@ def unmatched_key(key: Column, matches: Column, row_id: Column) -> Column:
 HOT_SHARE = 1 / 1000
 
 
-def hot_join(left: DataFrame, right: DataFrame, keys: list[str], salt: Column) -> DataFrame:
-    """Inner join of a written table ``left`` with its frequent keys dealt over several tasks.
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], salt: Column, how: str = "inner") -> DataFrame:
+    """Inner or left join of ``left`` with its frequent keys dealt over several tasks.
 
-    ``right`` has few rows per key; those of a frequent key are repeated once per part.
+    ``left`` is read twice, its keys alone the first time: a written table or a scan.  ``right``
+    has few rows per key; those of a frequent key are repeated once per part.
     """
     counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = left.agg(F.count(F.lit(1))).scalar()
@@ -45,7 +46,7 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], salt: Column) -
     repeated = right.join(hot, keys, "left").withColumn(
         "_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))
     )
-    return dealt.drop("_parts").join(repeated.drop("_parts"), [*keys, "_part"]).drop("_part")
+    return dealt.drop("_parts").join(repeated.drop("_parts"), [*keys, "_part"], how).drop("_part")
 
 
 def spread(scan: DataFrame) -> DataFrame:

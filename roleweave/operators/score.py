@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from roleweave.functions import text as T
 from roleweave.functions.arrays import let
-from roleweave.operators.joins import unmatched_key
+from roleweave.operators.joins import hot_join, unmatched_key
+from roleweave.staging import staged
 from roleweave.vocabulary import Vocabulary, map_literal
 
 # Thresholds of the scoring rules.
@@ -156,7 +157,7 @@ def choose_text(postings: DataFrame, page_text: DataFrame) -> DataFrame:
     """Left join full page texts by link and take one where it adds enough.
 
     ``page_text`` has one row per link.  Postings without a link get a key of their own, so they
-    are spread over all tasks instead of meeting in one.
+    are spread over all tasks instead of meeting in one; a link of very many postings is split.
     """
     link = F.coalesce(F.col("job_link"), F.lit(""))
     keyed = postings.withColumn("_link", unmatched_key(link, link != "", F.col("posting_id")))
@@ -164,7 +165,7 @@ def choose_text(postings: DataFrame, page_text: DataFrame) -> DataFrame:
     longer = F.length("_page") > F.length(T.text_or_empty(F.col("job_description"))) + FULL_TEXT_MARGIN
     used = F.coalesce(longer, F.lit(False))
     return (
-        keyed.join(pages, "_link", "left")
+        hot_join(keyed, pages, ["_link"], F.xxhash64("posting_id"), "left")
         .withColumn("used_full_desc", used)
         .withColumn("scored_text", F.when(F.col("used_full_desc"), F.col("_page")).otherwise(F.col("job_description")))
         .drop("_link", "_page")
@@ -175,7 +176,7 @@ def full_texts(postings: DataFrame, page_text: DataFrame, only: DataFrame | None
     """(posting_id, job_title, text) of the postings whose full page adds enough.
 
     The snippet itself is not needed, so only its length is shuffled.  ``only`` names the
-    postings to look at; deduplicated ones have one link each, so no link is hot.
+    postings to look at.  A link of very many postings is split.
     """
     link = F.coalesce(F.col("job_link"), F.lit(""))
     short = postings.where(link != "").select(
@@ -184,7 +185,7 @@ def full_texts(postings: DataFrame, page_text: DataFrame, only: DataFrame | None
     if only is not None:
         short = short.join(only.select("posting_id"), "posting_id", "left_semi")
     return (
-        short.join(page_text.select("job_link", "text"), "job_link")
+        hot_join(staged(short, "links"), page_text.select("job_link", "text"), ["job_link"], F.xxhash64("posting_id"))
         .where(F.length("text") > F.col("_n") + FULL_TEXT_MARGIN)
         .select("posting_id", "job_title", "text")
     )

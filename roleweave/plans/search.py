@@ -170,6 +170,7 @@ def rescore(
 ) -> DataFrame:
     """Score again from full page texts where they add enough; the similarity stays as it was."""
     profile = one_profile(profiles, profile_id)
+    results = staged(results, "results")  # read three times below
     texts = score.full_texts(postings, page_text, only=results)
     fit = score.role_fit(
         F.lit(profile["role"]),

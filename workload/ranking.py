@@ -8,6 +8,7 @@ from roleweave.functions import text as T
 from roleweave.operators import market as M
 from roleweave.operators import rank as W
 from roleweave.operators import tfidf as V
+from roleweave.operators.pages import extract_pages, page_texts
 from roleweave.operators.skills import SkillExtractor
 from roleweave.plans import search as S
 from roleweave.plans.many import search_many
@@ -22,6 +23,7 @@ from workload.scoring import (
     CAP, SQL_PAIRS, docs, profile_terms, sql_hits, sql_terms, sql_unit, sql_vocabulary,
 )
 from workload.skills import _KNOWN, sql_posting_skills
+from workload.web import SQL_MAIN
 
 OPTIONS = S.SearchOptions(max_features=CAP)
 PROFILE = 0
@@ -311,3 +313,48 @@ def c13(spark, sf):
 )
 def s9(spark, sf):
     return export_columns(results(spark, sf))
+
+
+SQL_RESCORED = f"""{SQL_SEARCH}, page_main AS MATERIALIZED ({SQL_MAIN} SELECT page_id, text FROM main WHERE text <> ''),
+  link_text AS (SELECT job_link, first(text ORDER BY length(text) DESC, text DESC) AS page_text
+    FROM page_main JOIN postings ON posting_id = page_id GROUP BY job_link),
+  fuller AS MATERIALIZED (SELECT posting_id, job_title, page_text FROM kept JOIN link_text USING (job_link)
+    WHERE length(page_text) > length(coalesce(job_description, '')) + 50),
+  ftexts AS MATERIALIZED (SELECT id, raw, {sql_match('raw')} AS matching FROM
+    (SELECT posting_id AS id, job_title || chr(10) || page_text AS raw FROM fuller)),
+  {sql_posting_skills('ftexts', 'f')},
+  fresh AS (SELECT posting_id, page_text, coalesce(list(skill ORDER BY skill) FILTER (skill IS NOT NULL), []) AS fjs
+    FROM fuller LEFT JOIN fgated ON fgated.id = posting_id GROUP BY 1, 2),
+  again AS (SELECT f.posting_id, f.tmatch, sim, us, w1, w2, w3, n.posting_id IS NOT NULL AS used,
+    CASE WHEN n.posting_id IS NULL THEN js ELSE fjs END AS js,
+    CASE WHEN n.posting_id IS NULL THEN f.blob ELSE {sql_match("job_title || ' ' || page_text")} END AS blob
+    FROM factors f LEFT JOIN fresh n ON n.posting_id = f.posting_id),
+  refit AS (SELECT *, {sql_hits(_RK)} AS hits, list_filter(js, lambda x: list_contains(us, x)) AS matched,
+    CASE WHEN len(js) = 0 THEN 0 ELSE len(list_filter(js, lambda x: list_contains(us, x))) / len(js) END AS raw_skill FROM again),
+  rescored AS (SELECT *, CASE WHEN len(js) < 4 AND raw_skill > 0.5 THEN 0.5 ELSE raw_skill END AS skill,
+    len(js) < 4 AND raw_skill > 0.5 AS capped,
+    least(1.0, len(hits) / {len(_RK)} + CASE WHEN contains(tmatch, 'of the') THEN 0.3 ELSE 0 END) AS fit FROM refit)"""
+
+
+@query(
+    "r7_rescore",
+    f"""{SQL_RESCORED} SELECT posting_id, used AS used_full_desc, array_to_string(js, '|') AS skills, array_to_string(matched, '|') AS matched,
+      array_to_string(hits, '|') AS hits, round(sim, 6) AS nlp_score, round(skill, 6) AS skill_score, round(fit, 6) AS role_score,
+      round(least(1.0, w1 * sim + w2 * skill + w3 * fit), 6) AS final_score,
+      capped OR len(js) < 4 AS few_skills, NOT used AND len(js) < 8 AS snippet_unreliable FROM rescored""",
+)
+def rescored(spark, sf):
+    """Search, then the main texts of the postings' own pages, then the scores again where a page adds enough."""
+    vocab = vocabulary(spark)
+    people, extractor, rows = profiles(spark, sf), SkillExtractor(spark, vocab, CUES), postings(spark, sf)
+    found = S.search(rows, people, extractor, vocab, OPTIONS, PROFILE)
+    links = rows.select("job_link", F.col("posting_id").alias("page_id"))
+    pages = page_texts(extract_pages(table(spark, sf, "pages")).join(links, "page_id"))
+    again = S.rescore(rows, found, pages, people, extractor, vocab, PROFILE)
+    return again.select(
+        "posting_id", "used_full_desc", "few_skills", "snippet_unreliable",
+        T.join_list(F.col("expanded_job_skills"), "|").alias("skills"),
+        T.join_list(F.col("matched_skills"), "|").alias("matched"),
+        T.join_list(F.col("role_hits"), "|").alias("hits"),
+        *[F.round(c, 6).alias(c) for c in ("nlp_score", "skill_score", "role_score", "final_score")],
+    )

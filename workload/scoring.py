@@ -298,6 +298,21 @@ def r7(spark, sf):
     return chosen.select("posting_id", "used_full_desc", F.length("scored_text").cast("long").alias("n"))
 
 
+_HOT = "CASE WHEN doc_id % 3 = 0 THEN 'https://one.example' ELSE concat('https://www.', source, '.example.com/', md5(text)) END AS job_link"
+P_HOT = P_CTE.replace("concat('https://www.', source, '.example.com/', md5(text)) AS job_link", _HOT)
+
+
+@query("r7_j5_hot_link", f"WITH {P_HOT}, {SQL_CHOSEN} SELECT posting_id, used_full_desc, length(scored_text) AS n FROM chosen")
+def r7_hot(spark, sf):
+    """A third of the postings share one link, hence one page text."""
+    hot = F.when(F.col("posting_id") % 3 == 0, "https://one.example").otherwise(F.col("job_link"))
+    p = postings(spark, sf).withColumn("job_link", hot)
+    pages = table(spark, sf, "pages").select("page_id", F.col("html").alias("text"))
+    linked = p.select("posting_id", "job_link").join(pages, F.col("posting_id") == F.col("page_id"))
+    chosen = R.choose_text(p, page_texts(linked.withColumn("n_chars", F.length("text"))))
+    return chosen.select("posting_id", "used_full_desc", F.length("scored_text").cast("long").alias("n"))
+
+
 @query(
     "r7_rescored_skills",
     f"""WITH {VOCAB_CTE}, {_KNOWN}, {P_CTE}, {SQL_CHOSEN}, texts AS MATERIALIZED (SELECT id, raw, {sql_match('raw')} AS matching FROM
