@@ -148,6 +148,31 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(r["arrival_seq"] for r in I.read_ingested(spark, target).collect()) == want
 
 
+def test_runs_hold_all_earlier_batches_and_a_batch_opens_its_buckets_only(spark, tmp_path):
+    settings = I.KeySettings(merge_every=2, bucket_keys=4)
+    schema = spark.range(0).selectExpr("cast(id as string) AS link_key").schema
+    table = I.KeyTable(spark, str(tmp_path / "links"), schema, settings)
+    for batch in range(7):
+        if batch != 3:  # a batch may leave nothing
+            table.add(spark.range(batch * 20, batch * 20 + 20).selectExpr("cast(id as string) AS link_key"), batch)
+    everything = spark.range(140).selectExpr("cast(id as string) AS link_key")
+    assert table.known(everything, 0) is None
+    for batch in range(1, 8):
+        want = {str(i) for b in range(batch) if b != 3 for i in range(b * 20, b * 20 + 20)}
+        got = [r[0] for r in table.known(everything, batch).collect()]
+        assert sorted(got) == sorted(want)
+    assert [table._parts(n) for n in (0, 5, 6)] == [([], range(0)), ([(2, 0)], range(4, 5)), ([(2, 0), (1, 2)], range(6, 6))]
+    one = spark.createDataFrame([("5",)], "link_key string")
+    found = table.known(one, 4)
+    assert found.where("link_key = '5'").count() == 1 and found.count() < 60 / 4
+    files = found.select(F.input_file_name()).distinct().count()
+    assert files == 1
+    # A run without its note was cut off: it is written again.
+    import shutil
+    shutil.rmtree(tmp_path / "links_notes" / "level=2")
+    assert table.known(everything, 4).count() == 60
+
+
 def test_bounded_state_variant(spark, tmp_path):
     rows = [("2024-01-01 00:00:00", "u"), ("2024-01-01 00:10:00", "u"), ("2024-01-01 00:20:00", "v")]
     spark.createDataFrame(rows, "at string, job_link string").write.json(str(tmp_path / "in"))

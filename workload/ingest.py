@@ -247,6 +247,24 @@ def s11(spark, sf):
     return I.read_ingested(spark, f"{base}/table").select("posting_id", "job_title")
 
 
+@query("s11_stream_batches", f"WITH {P_CTE}, {SQL_DEDUP} SELECT posting_id, job_title FROM unique_postings")
+def s11_batches(spark, sf):
+    """Nine landed files, one batch each, keys merged into runs of three batches and of nine."""
+    base = _folder(spark, "batches")
+    rows = _as_postings(table(spark, sf, "documents"))
+    low, high = rows.agg(F.min("arrival_seq"), F.max("arrival_seq")).first()
+    if low is None:
+        return rows.select("posting_id", "job_title")
+    step = (high - low) // 9 + 1
+    for at in range(low, high + 1, step):  # files land in arrival order
+        part = rows.where((F.col("arrival_seq") >= at) & (F.col("arrival_seq") < at + step))
+        part.coalesce(1).write.mode("append").parquet(f"{base}/landing")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landing")
+    settings = I.KeySettings(merge_every=3, bucket_keys=64)
+    I.ingest(stream, f"{base}/table", f"{base}/progress", settings=settings).awaitTermination()
+    return I.read_ingested(spark, f"{base}/table").select("posting_id", "job_title")
+
+
 def _as_postings(d):
     return d.select(
         F.col("doc_id").alias("posting_id"),
