@@ -3,12 +3,15 @@
 A package holds ``archive/data.warc.gz`` (one gzip member per record) and ``indexes/index.cdx`` (one
 line per record: offset, length, URI).  Both are stored, not compressed again, so a record is a byte
 range of the package.  The reader parses the end record, the ZIP64 records and the central
-directory, finds the members' ranges, and from then on reads ranges only.
+directory, finds archives and indexes among its members by their folders (a package of others may
+hold several, under any names), and from then on reads ranges only.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import json
 import struct
 import uuid
 import zipfile
@@ -140,7 +143,7 @@ def _record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int
 
 def parse_record(packed: bytes) -> dict:
     """Fields of a gzip-packed WARC record, with its block; raises if it is broken."""
-    raw = zlib.decompress(packed, 31)
+    raw = zlib.decompress(packed, 31) if packed[:2] == b"\x1f\x8b" else packed
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -150,11 +153,16 @@ def parse_record(packed: bytes) -> dict:
     if rest[length:] != b"\r\n\r\n":
         raise ValueError("WARC record of another length")
     http, _, payload = rest[:length].partition(b"\r\n\r\n")
-    fields["http"] = dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])
+    pairs = (x.partition(":") for x in http.decode("utf-8", "replace").split("\r\n")[1:])
+    fields["http"] = {name: value.strip() for name, _, value in pairs}
     fields["payload"] = payload
     return fields
 
 
+def _number(text: str | None) -> int | None:
+    return None if text in (None, "None") else int(text)
+
+
 def decide(pages: DataFrame) -> DataFrame:
     """``pages`` with payload, digest and refers_to: the smallest page_id among equal large payloads, null if none."""
     page = pages.select(
@@ -215,30 +223,89 @@ def write_packages(records: DataFrame, folder: str, most: int = 1 << 30) -> Data
     return stage(order.mapInArrow(rows, "path string, records long"), "packages")
 
 
+def _index_text(path: str, file: BinaryIO, index: Member) -> bytes:
+    """Lines of an index member: stored or deflated in the package, plain or gzip by its name."""
+    raw = _range(file, index.start, index.packed)
+    if index.method == zipfile.ZIP_DEFLATED:
+        raw = zlib.decompress(raw, -15)
+    elif index.method != zipfile.ZIP_STORED:
+        raise ValueError(f"{path}: {index.name} is packed by method {index.method}, only stored and deflated indexes can be read")
+    if zlib.crc32(raw) != index.crc:
+        raise ValueError(f"{path}: broken index {index.name}")
+    return gzip.decompress(raw) if index.name.endswith(".gz") else raw
+
+
+def _places(path: str, index: str, text: bytes, archives: dict[str, Member]) -> Iterator[tuple[str, int, int]]:
+    """(archive, offset, length) of each index line: ``offset length``, or a line that ends with a JSON object of them."""
+    for line in text.splitlines():
+        if not line.strip():
+            continue
+        brace = line.find(b"{")
+        if brace >= 0:
+            entry = json.loads(line[brace:])
+            if not {"offset", "length"} <= set(entry):
+                continue  # a header line
+            named, offset, length = entry.get("filename"), int(entry["offset"]), int(entry["length"])
+        else:
+            named, (offset, length) = None, map(int, line.split())
+        if named is None and len(archives) > 1:
+            raise ValueError(f"{path}: {index} does not name the archive of a record, and there are {len(archives)}")
+        name = next(iter(archives)) if named is None else named
+        if name not in archives:
+            raise ValueError(f"{path}: {index} names {name}, which is not in the package")
+        yield name, offset, length
+
+
+def contents(path: str, file: BinaryIO, size: int) -> dict[int, list[tuple[int, int]]]:
+    """(offset, length) of all records by where their archive member begins, in order and once each.
+
+    Archives are the members ``archive/*.warc.gz`` or ``archive/*.warc``, indexes the members
+    ``indexes/*.cdx`` or ``.cdxj``, also with ``.gz``.  An archive has to be stored, as a record is
+    read by its range, and has to be named by an index if it is not empty.
+    """
+    members = directory(file, size)
+    archives = {
+        m.name.removeprefix("archive/"): m for m in members if m.name.startswith("archive/") and m.name.endswith((".warc", ".warc.gz"))
+    }
+    indexes = [m for m in members if m.name.startswith("indexes/") and m.name.removesuffix(".gz").endswith((".cdx", ".cdxj"))]
+    if not archives or not indexes:
+        raise ValueError(f"{path}: no {'archive' if not archives else 'index'} in the package")
+    for m in archives.values():
+        if m.method:
+            raise ValueError(f"{path}: {m.name} has to be stored, records are read by their ranges")
+    found: dict[str, set[tuple[int, int]]] = {}
+    for index in indexes:
+        for name, offset, length in _places(path, index.name, _index_text(path, file, index), archives):
+            if offset < 0 or length <= 0 or offset + length > archives[name].size:
+                raise ValueError(f"{path}: {index.name} points outside {name}")
+            found.setdefault(name, set()).add((offset, length))
+    for name, m in archives.items():
+        if m.size and name not in found:
+            raise ValueError(f"{path}: no index names {name}")
+    return {archives[name].start: sorted(places) for name, places in found.items()}
+
+
 def locate(packages: DataFrame, block: int = 4 << 20) -> DataFrame:
-    """Runs of neighbouring records of about ``block`` bytes: path, start (in the package), and the records' lengths."""
+    """Runs of adjoining records of about ``block`` bytes: path, start (in the package), and the records' lengths."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 filesystem, inner = _open(path)
                 with filesystem.open_input_file(inner) as file:
-                    members = {m.name: m for m in directory(file, filesystem.get_file_info(inner).size)}
-                    data, index = members[DATA], members[INDEX]
-                    if data.method or index.method:
-                        raise ValueError(f"{path}: members have to be stored")
-                    text = _range(file, index.start, index.size)
-                if zlib.crc32(text) != index.crc:
-                    raise ValueError(f"{path}: broken index")
-                start, lengths = data.start, []
-                for line in text.splitlines():
-                    offset, length = map(int, line.split())
-                    lengths.append(length)
-                    if data.start + offset + length - start >= block:
+                    found = contents(path, file, filesystem.get_file_info(inner).size)
+                for member, places in found.items():
+                    start, end, lengths = member, member, []
+                    for offset, length in places:
+                        if lengths and (member + offset != end or end + length - start > block):
+                            yield out(path, start, lengths)
+                            lengths = []
+                        if not lengths:
+                            start = member + offset
+                        lengths.append(length)
+                        end = member + offset + length
+                    if lengths:
                         yield out(path, start, lengths)
-                        start, lengths = data.start + offset + length, []
-                if lengths:
-                    yield out(path, start, lengths)
 
     def out(path: str, start: int, lengths: list[int]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -252,7 +319,9 @@ def read_records(runs: DataFrame) -> DataFrame:
     """Records of the runs: page_id, url, record_type, refers_to, payload, payload_bytes, payload_digest.
 
     Responses are measured on the payload read; a digest that differs from the record's own is an error.
-    Revisits carry no payload (null) and tell length and digest of the one they refer to.
+    Revisits carry no payload (null) and tell length and digest of the one they refer to.  Records
+    of other kinds give no rows.  Archives of others have no page ids (null); their digests are
+    checked where they are hexadecimal SHA-256.
     """
     schema = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string"
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
@@ -266,19 +335,25 @@ def read_records(runs: DataFrame) -> DataFrame:
                 with filesystem.open_input_file(inner) as file:
                     file.seek(start)
                     for length in lengths:
-                        got.append(_read(file.read(length)))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*got), types)], names)
+                        record = _read(file.read(length))
+                        if record is not None:
+                            got.append(record)
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*got), types)], names)
 
-    def _read(packed: bytes) -> tuple:
+    def _read(packed: bytes) -> tuple | None:
         r = parse_record(packed)
-        digest, kind = r["WARC-Payload-Digest"].removeprefix("sha256:"), r["WARC-Type"]
-        page, url = r["WARC-Page-ID"], r["WARC-Target-URI"]
-        page_id = None if page == "None" else int(page)
+        kind, page, url = r.get("WARC-Type"), _number(r.get("WARC-Page-ID")), r.get("WARC-Target-URI")
+        if kind not in ("response", "revisit"):
+            return None
+        told = r.get("WARC-Payload-Digest", "")
+        digest = told.removeprefix("sha256:") if told.startswith("sha256:") and len(told) == 71 else None
         if kind == "revisit":
-            return page_id, url, kind, int(r["WARC-Refers-To-Page-ID"]), None, int(r["http"]["Content-Length"]), digest
-        if hashlib.sha256(r["payload"]).hexdigest() != digest:
+            return page, url, kind, _number(r.get("WARC-Refers-To-Page-ID")), None, _number(r["http"].get("Content-Length")), digest
+        own = hashlib.sha256(r["payload"]).hexdigest()
+        if digest not in (None, own):
             raise ValueError(f"page {page}: payload and digest differ")
-        return page_id, url, kind, None, r["payload"], len(r["payload"]), digest
+        return page, url, kind, None, r["payload"], len(r["payload"]), own
 
     # Runs are dealt anew, so that a large package is read by many tasks.
     return runs.repartition(F.xxhash64("path", "start")).mapInArrow(rows, schema)

@@ -1,7 +1,9 @@
 """Archives against the standard library's ZIP code and a byte-for-byte round trip."""
 
+import gzip
 import hashlib
 import io
+import json
 import struct
 import zipfile
 import zlib
@@ -119,3 +121,81 @@ def test_broken_records_are_refused():
         warc.parse_record(record[:-9])
     with pytest.raises(ValueError):
         warc.parse_record(zlib.compress(b"nothing", wbits=31))
+
+
+def package(path, archives, indexes, method=zipfile.ZIP_STORED):
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("datapackage.json", "{}", zipfile.ZIP_DEFLATED)
+        for name, data in archives.items():
+            z.writestr(zipfile.ZipInfo(f"archive/{name}"), data, method)
+        for name, (data, packing) in indexes.items():
+            z.writestr(zipfile.ZipInfo(f"indexes/{name}"), data, packing)
+
+
+def several(n=6):
+    """Records in two archives, with index lines that name them; a gap between the records of each."""
+    archives, lines = {"rec-0.warc.gz": b"", "rec-1.warc.gz": b""}, []
+    for i in range(n):
+        name, body = f"rec-{i % 2}.warc.gz", f"payload {i}".encode() * 20
+        record = warc._record(i, f"http://{i}/", body, hashlib.sha256(body).hexdigest(), None)
+        place = {"filename": name, "offset": str(len(archives[name])), "length": str(len(record))}
+        lines.append(f"key{i} 20240101 {json.dumps(place)}\n".encode())
+        archives[name] += record + (b"gap" if i == 2 else b"")
+    return archives, [b'!meta {"format": "cdxj"}\n', *lines]
+
+
+def read(spark, path, **options):
+    share_package(spark)
+    return warc.read_records(warc.locate(spark.createDataFrame([(f"file://{path}",)], "path string"), **options)).collect()
+
+
+def test_members_and_indexes_are_found_by_the_directory(spark, tmp_path):
+    archives, lines = several()
+    text = b"".join(lines)
+    for number, indexes in enumerate([
+        {"index.cdxj": (text, zipfile.ZIP_STORED)},
+        {"index.cdx.gz": (gzip.compress(text), zipfile.ZIP_STORED)},
+        {"a.cdx": (b"".join(lines[:4]), zipfile.ZIP_DEFLATED), "b.cdx.gz": (gzip.compress(b"".join(lines[3:])), zipfile.ZIP_DEFLATED)},
+    ]):
+        package(tmp_path / f"{number}.wacz", archives, indexes)
+        got = read(spark, tmp_path / f"{number}.wacz", block=[1, 4 << 20][number % 2])
+        assert sorted((r["page_id"], r["payload_bytes"]) for r in got) == [(i, 180) for i in range(6)]
+
+
+def test_records_of_others_and_of_other_kinds(spark, tmp_path):
+    block = b"HTTP/1.1 200 OK\r\nServer:x\r\n\r\nbody"
+    head = "WARC/1.0\r\nWARC-Type: {}\r\nWARC-Target-URI: u\r\nWARC-Payload-Digest: sha1:ABC\r\nContent-Length: {}\r\n\r\n"
+    records = [head.format(kind, len(block)).encode() + block + b"\r\n\r\n" for kind in ("warcinfo", "response", "revisit")]
+    at = [sum(map(len, records[:i])) for i in range(3)]
+    index = "".join(f"{a} {len(r)}\n" for a, r in zip(at, records)).encode()
+    package(tmp_path / "p.wacz", {"plain.warc": b"".join(records)}, {"i.cdx": (index, zipfile.ZIP_STORED)})
+    got = sorted(read(spark, tmp_path / "p.wacz"), key=lambda r: r["record_type"])
+    assert [(r["page_id"], r["record_type"], r["payload"] and bytes(r["payload"]), r["refers_to"]) for r in got] == [
+        (None, "response", b"body", None), (None, "revisit", None, None)
+    ]
+
+
+@pytest.mark.parametrize("case, message", [
+    ("deflated archive", "has to be stored"), ("no index", "no index in"), ("no archive", "no archive in"), ("unnamed", "does not name"),
+    ("unknown", "not in the package"), ("outside", "points outside"), ("forgotten", "no index names"),
+])
+def test_packages_that_cannot_be_read_say_why(tmp_path, case, message):
+    archives, lines = several()
+    method, text = zipfile.ZIP_STORED, b"".join(lines)
+    if case == "deflated archive":
+        method = zipfile.ZIP_DEFLATED
+    if case == "no archive":
+        archives = {}
+    if case == "unnamed":
+        text = b"0 10\n"
+    if case == "unknown":
+        text = text.replace(b"rec-1", b"rec-9")
+    if case == "outside":
+        text = b'k {"filename": "rec-0.warc.gz", "offset": 0, "length": 99999}\n'
+    if case == "forgotten":
+        text = lines[1]
+    indexes = {} if case == "no index" else {"index.cdx": (text, zipfile.ZIP_STORED)}
+    package(tmp_path / "p.wacz", archives, indexes, method)
+    data = (tmp_path / "p.wacz").read_bytes()
+    with pytest.raises(ValueError, match=message):
+        warc.contents("p", io.BytesIO(data), len(data))
