@@ -104,21 +104,21 @@ def best_documents(
     k: int,
     score: Callable[[DataFrame], DataFrame] | None = None,
     digits: int | None = None,
-    order: tuple[Column, ...] = (F.col("doc"),),
+    order: tuple[Column, ...] | None = None,
 ) -> DataFrame:
     """The k best documents of each query: the columns that ``score`` returns, and ``rank`` from 1.
 
     ``queries`` holds (query, feature, weight) with weights above zero, one row per query and feature.
     ``score`` turns (query, doc) pairs into rows with their exact ``score``, which is nowhere above the sum of
     products; by default it is that sum.  With ``digits`` scores are rounded before they are
-    ranked.  Ties follow ``order``.  Documents that share no feature with a query are left out.
+    ranked.  Ties follow ``order``, by default the document.  Documents that share no feature with a query are left out.
     """
     exact = score or dot_scores(index, queries)
     margin = 1e-9 + (0.0 if digits is None else 10.0**-digits)
     rounded = F.col("score") if digits is None else F.round("score", digits)
 
     def top(pairs: DataFrame) -> DataFrame:
-        ranking = Window.partitionBy("query").orderBy(F.col("score").desc(), *order)
+        ranking = Window.partitionBy("query").orderBy(F.col("score").desc(), *(order or (F.col("doc"),)))
         scored = exact(pairs).withColumn("score", rounded)
         return scored.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= k)
 

@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +122,9 @@ def test_many_profiles_equal_one_at_a_time(found, spark, vocab):
         want = sorted(((-round(r["final_score"], 6), r["arrival_seq"], r) for r in rows), key=lambda x: x[:2])[:3]
         assert got.get(number, []) == [(r["posting_id"], round(r["final_score"], 6), round(r["skill_score"], 6), tuple(r["matched_skills"])) for _, _, r in want]
     assert 1 in got and 4 not in got
+
+
+def test_registries_need_no_session():
+    """Names and statements can be listed before a session exists."""
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); from pyspark import SparkContext; assert SparkContext._active_spark_context is None"
+    subprocess.run([sys.executable, "-W", "error::SyntaxWarning", "-c", code], check=True, cwd=Path(entry.__file__).parent)

@@ -140,9 +140,32 @@ def x4(spark, sf):
     return found.withColumn("n_chars", F.col("n_chars").cast("long"))
 
 
-@query("x5_heading_text")
+_SECTION = r"(?:^|[^a-zA-Z0-9_])(?:the|la|der|de)(?:[^a-zA-Z0-9_]|$)"
+# The data's headings stand in an article of paragraphs; unclosed <b> elements end with the article, so nothing follows them.
+SQL_SECTIONS = f"""heads AS (SELECT o.page_id, o.i AS s, min(c.i) AS e FROM kept o JOIN kept c ON c.page_id = o.page_id AND c.i > o.i
+    AND c.name = o.name AND starts_with(c.t, '</') WHERE regexp_matches(o.name, '^h[1-6]$') AND NOT starts_with(o.t, '</') GROUP BY o.page_id, o.i),
+  sections AS (SELECT h.page_id, h.e FROM heads h JOIN kept k ON k.page_id = h.page_id AND k.i > h.s AND k.i < h.e AND k.name = '' AND k.t <> '<!>'
+    AND {_strip('k.t')} <> '' GROUP BY h.page_id, h.s, h.e HAVING regexp_matches(string_agg({_strip('k.t')}, ' ' ORDER BY k.i), '(?i){_SECTION}')),
+  reach AS (SELECT x.page_id, x.e AS s, coalesce(min(k.i), 2147483647) AS e FROM sections x LEFT JOIN kept k ON k.page_id = x.page_id AND k.i > x.e
+    AND (regexp_matches(k.t, '(?i)^<h[1-6][\\s>]') OR k.name IN ('article', 'body', 'html') AND starts_with(k.t, '</')) GROUP BY x.page_id, x.e),
+  siblings AS (SELECT r.page_id, r.s AS h, o.i AS s, least(r.e, coalesce(min(c.i), 2147483647)) AS e FROM reach r
+    JOIN kept o ON o.page_id = r.page_id AND o.i > r.s AND o.i < r.e AND o.name = 'p' AND NOT starts_with(o.t, '</')
+    LEFT JOIN kept c ON c.page_id = o.page_id AND c.i > o.i AND c.name = 'p' GROUP BY r.page_id, r.s, r.e, o.i),
+  chunks AS (SELECT b.page_id, b.h, b.s, string_agg({_strip('k.t')}, ' ' ORDER BY k.i) AS chunk FROM siblings b JOIN kept k
+    ON k.page_id = b.page_id AND k.i > b.s AND k.i < b.e AND k.name = '' AND k.t <> '<!>' AND {_strip('k.t')} <> '' GROUP BY b.page_id, b.h, b.s),
+  b5 AS (SELECT page_id, string_agg(chunk, chr(10) ORDER BY h, s) AS body FROM chunks GROUP BY page_id)"""
+
+
+@query(
+    "x5_heading_text",
+    f"""{SQL_MAIN}, {SQL_SECTIONS}, v AS (SELECT p.*, b5.body AS t5 FROM picked p LEFT JOIN b5 USING (page_id)),
+      w AS (SELECT *, CASE WHEN length(coalesce(t5, t6, '')) < 100 AND length(coalesce(t7, '')) > CASE coalesce(t5, t6, '') WHEN '' THEN 0 ELSE 300 END THEN 'body' WHEN t5 IS NOT NULL THEN 'headings'
+        WHEN coalesce(t6, '') <> '' THEN 'blocks' ELSE 'none' END AS step5 FROM v),
+      x AS (SELECT page_id, url, step5 AS step, {sql_norm("CASE step5 WHEN 'body' THEN t7 WHEN 'headings' THEN t5 WHEN 'blocks' THEN t6 ELSE '' END")} AS text FROM w)
+      SELECT page_id, url, step, text, length(text) AS n_chars FROM x""",
+)
 def x5(spark, sf):
     """Texts that follow headings which contain one of the data's frequent words."""
-    rules = replace(_RULES, section=r"(?:^|[^a-zA-Z0-9_])(?:the|la|der|de)(?:[^a-zA-Z0-9_]|$)")
+    rules = replace(_RULES, section=_SECTION)
     found = extract_pages(table(spark, sf, "pages"), rules=rules)
     return found.withColumn("n_chars", F.col("n_chars").cast("long"))
