@@ -2,7 +2,9 @@
 
 A window per key would sort all copies of a hot key in one task.  Instead the winner of each
 key is a minimum over narrow rows, which partial aggregation reduces before the shuffle, and the
-wide rows meet the winners once, on their unique arrival number.
+wide rows meet the winners once, on their unique arrival number.  Postings meet the losers instead:
+those are written first, and where their size allows it they go to every task, so that texts stay
+where they are.
 """
 
 from __future__ import annotations
@@ -11,6 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roleweave.functions import text as T
+from roleweave.staging import staged
+
+#: Losers up to this many bytes go to every task; beyond it the rows meet them by a shuffle.
+BROADCAST_BYTES = 64 * 1024 * 1024
+#: Bytes of a row in a broadcast table besides its key, generously.
+ROW_BYTES = 64
 
 
 def keep_first(df: DataFrame, keys: list, order: str = "arrival_seq") -> DataFrame:
@@ -55,8 +63,17 @@ def deduplicate_postings(postings: DataFrame, collapse_empty_links: bool = False
     A posting without a link is compared by its triple only; with ``collapse_empty_links`` all
     empty links share one key instead, and one such posting survives the first pass.
     """
-    winners = first_by_triple(first_by_link(posting_keys(postings, collapse_empty_links)))
-    return postings.join(winners.select("arrival_seq"), "arrival_seq", "left_semi")
+    keys = posting_keys(postings, collapse_empty_links)
+    winners = first_by_triple(first_by_link(keys)).select("arrival_seq")
+    return without_losers(postings, keys.select("arrival_seq").join(winners, "arrival_seq", "left_anti"))
+
+
+def without_losers(rows: DataFrame, losers: DataFrame, order: str = "arrival_seq") -> DataFrame:
+    """``rows`` whose ``order`` is not null and not in ``losers``; the losers' size is measured, not estimated."""
+    losers = staged(losers.where(F.col(order).isNotNull()), "losers")
+    n, longest = losers.agg(F.count(F.lit(1)), F.max(F.octet_length(F.col(order).cast("string")))).first()
+    small = n * ((longest or 0) + ROW_BYTES) <= BROADCAST_BYTES
+    return rows.where(F.col(order).isNotNull()).join(F.broadcast(losers) if small else losers.hint("merge"), order, "left_anti")
 
 
 def drop_repeats(df: DataFrame, link: str = "job_link", order: str = "arrival_seq") -> DataFrame:

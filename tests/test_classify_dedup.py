@@ -133,3 +133,18 @@ def test_drop_repeats(spark):
     df = spark.createDataFrame([(2, "a"), (1, "a"), (3, "b")], "arrival_seq long, job_link string")
     assert sorted(r[0] for r in D.drop_repeats(df).collect()) == [1, 3]
     assert D.drop_repeats(df.select("job_link").withColumnRenamed("job_link", "z")).count() == 2
+
+
+@pytest.mark.parametrize("limit", [D.BROADCAST_BYTES, 0])
+def test_losers_go_and_texts_are_not_shuffled(spark, monkeypatch, limit):
+    monkeypatch.setattr(D, "BROADCAST_BYTES", limit)
+    rows = [(i, f"u{i % 7}", f"t{i % 5}", "c", "l", f"text {i}") for i in range(60)] + [(None, "v", "x", "c", "l", "no number")]
+    df = spark.createDataFrame(rows, "arrival_seq long, job_link string, job_title string, company string, job_location string, job_description string")
+    kept = D.deduplicate_postings(df)
+    assert sorted(r["arrival_seq"] for r in kept.collect()) == [0, 1, 2, 3, 4]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert ("strategy=broadcast" in plan) == bool(limit)
+    text_first = kept.where("arrival_seq < 60").select("job_description")
+    executed = text_first._jdf.queryExecution().executedPlan().toString()
+    assert ("Exchange hashpartitioning" in executed) == (not limit)
+    assert D.deduplicate_postings(df.where("false")).count() == 0
