@@ -3,7 +3,7 @@
 A power below 1 flattens the shares.  It is the largest that meets a target entropy, raised as far as
 a limit on repetition asks.  A source's quota is its weight of the budget: so many whole passes over
 its documents and a part of one more, for which blocks of documents are permuted and taken until the
-quota is used up.
+quota is used up.  Every pass has a permutation of its own, which ``positions`` writes out.
 """
 
 from __future__ import annotations
@@ -121,18 +121,25 @@ def weights(sizes: DataFrame, settings: Settings) -> DataFrame:
     return out.withColumn("rest", rest).withColumn("blocks", blocks).withColumn("power", F.lit(power))
 
 
+def _nameless(text: Column) -> Column:
+    """Stands for a missing doc_id, so that such rows do not go as one."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64(text))
+
+
 def _block(settings: Settings) -> Column:
-    return F.pmod(F.xxhash64("doc_id", F.lit(settings.seed)), F.col("blocks"))
+    named = F.xxhash64("doc_id", F.lit(settings.seed))
+    return F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("_nameless", F.lit(settings.seed))).otherwise(named), F.col("blocks"))
 
 
-def _turn(settings: Settings) -> Column:
-    """The place of a block in the last pass."""
-    return F.xxhash64("_source", "block", "whole", F.lit(settings.seed))
+def _turn(settings: Settings, epoch: str = "whole") -> Column:
+    """The place of a block in a pass, the last one by default."""
+    return F.xxhash64("_source", "block", epoch, F.lit(settings.seed))
 
 
 def _place(settings: Settings) -> Column:
     """The place of a document in its block in the last pass."""
-    return F.xxhash64("doc_id", "whole", F.lit(settings.seed + 1))
+    named = F.xxhash64("doc_id", "whole", F.lit(settings.seed + 1))
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("_nameless", "whole", F.lit(settings.seed + 1))).otherwise(named)
 
 
 def _meet(docs: DataFrame, sources: DataFrame, count: int) -> DataFrame:
@@ -149,11 +156,11 @@ def mix(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     documents, so neither a block nor a list of blocks gathers a hot source in one task.
 
     Null is a source like others.  Null, empty and blank texts have no tokens; they go with their
-    block.  Rows that share a doc_id go together.  Columns named like the new ones are replaced; an
+    block.  Rows that share a doc_id go together, rows without one go by their texts.  Columns named like the new ones are replaced; an
     empty table gives none.
     """
     source = docs.drop("weight", "epoch", "block")
-    narrow = source.select(_source(docs).alias("_source"), "doc_id", n_tokens(F.col("text")).alias("n"))
+    narrow = source.select(_source(docs).alias("_source"), "doc_id", _nameless(F.col("text")).alias("_nameless"), n_tokens(F.col("text")).alias("n"))
     narrow = stage(narrow, "tokens")
     sizes = stage(source_sizes(narrow), "sources")
     plan = stage(weights(sizes, settings), "weights")
@@ -168,7 +175,7 @@ def mix(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     edge = edge.groupBy("_source").agg(F.min(F.struct("before", "turn", "block")).alias("edge"))
     edge = stage(edge.select("_source", "edge.turn", "edge.block", "edge.before"), "edges")
 
-    inside = placed.select("_source", "block", "doc_id", "whole", "rest", "n").join(
+    inside = placed.select("_source", "block", "doc_id", "_nameless", "whole", "rest", "n").join(
         F.broadcast(edge) if count <= BROADCAST_SOURCES else edge, ["_source", "block"]
     )
     inside = inside.withColumn("place", _place(settings))
@@ -179,7 +186,8 @@ def mix(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     )
     limits = stage(limits, "limits")
 
-    drawn = _meet(source.withColumn("_source", _source(docs)), limits.select("_source", "weight", "whole", "rest", "blocks", "edge_turn", "edge_block", "last"), count)
+    keyed = source.withColumn("_source", _source(docs)).withColumn("_nameless", _nameless(F.col("text")))
+    drawn = _meet(keyed, limits.select("_source", "weight", "whole", "rest", "blocks", "edge_turn", "edge_block", "last"), count)
     drawn = drawn.withColumn("block", _block(settings)).withColumn("turn", _turn(settings))
     earlier = (F.col("turn") < F.col("edge_turn")) | ((F.col("turn") == F.col("edge_turn")) & (F.col("block") < F.col("edge_block")))
     partly = (F.col("block") == F.col("edge_block")) & (_place(settings) <= F.col("last"))
@@ -191,8 +199,30 @@ def mix(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     )
 
 
+def positions(draws: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``draws`` (doc_id, source, epoch, block) with ``position`` and ``share``: the order in which to read them.
+
+    ``position`` counts a source's draws from 0 without gaps: pass by pass, in each pass its blocks in
+    permuted order, in each block the documents in permuted order.  ``share`` is the middle of the
+    draw's place among those of its source, between 0 and 1: in the order of share, every stretch holds the
+    sources in proportion to their draws.  A source's blocks number the root of its documents, so no
+    task holds a whole source.  ``draws`` is read twice; it should be a written table.
+    """
+    placed = draws.withColumn("_source", _source(draws)).withColumn("_turn", _turn(settings, "epoch"))
+    placed = placed.withColumn("_place", F.xxhash64("doc_id", "epoch", F.lit(settings.seed + 1)))
+    block = ["_source", "epoch", "_turn", "block"]
+    running = F.sum("_n").over(Window.partitionBy("_source").orderBy("epoch", "_turn", "block"))
+    starts = placed.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.withColumn("_start", running - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy("_source"))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*block).orderBy("_place", "doc_id")) - 1
+    found = placed.withColumn("_inside", inside).join(starts, block).withColumn("position", F.col("_start") + F.col("_inside"))
+    share = (F.col("position") + 0.5) / F.col("_all")
+    return found.withColumn("share", share).select(*draws.drop("position", "share").columns, "position", "share")
+
+
 def drawn_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Per draw: doc_id, source, epoch, block, weight of the source."""
-    return mix(docs.select("doc_id", "source", "text"), settings).select(
+    """Per draw: doc_id, source, epoch, block, weight of the source, position and share (see ``positions``)."""
+    draws = mix(docs.select("doc_id", "source", "text"), settings).select(
         F.col("doc_id").cast("long").alias("doc_id"), "source", "epoch", "block", "weight"
     )
+    return positions(stage(draws, "draws"), settings)

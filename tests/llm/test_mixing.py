@@ -80,3 +80,39 @@ def test_many_sources_go_by_a_shuffle(documents, prose, monkeypatch):
     want = Counter(r["doc_id"] for r in mixing.mix(documents(rows)).collect())
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
     assert Counter(r["doc_id"] for r in mixing.mix(documents(rows)).collect()) == want
+
+
+def test_positions_are_block_permutations_of_every_pass(documents, prose):
+    rows = rows_of(prose, [300, 40, 25, 12])
+    settings = mixing.Settings(entropy=0.99, passes=6.0)
+    got = mixing.drawn_documents(documents(rows), settings).collect()
+    # The natural entropy is below the target: the power is below 1 and small sources repeat.
+    natural = Counter(r[2] for r in rows)
+    assert entropy([n / len(rows) for n in natural.values()]) < 0.7 and max(r["epoch"] for r in got) >= 2
+    orders = defaultdict(list)
+    for s in natural:
+        mine = sorted((r for r in got if r["source"] == s), key=lambda r: r["position"])
+        assert [r["position"] for r in mine] == list(range(len(mine)))
+        assert [r["epoch"] for r in mine] == sorted(r["epoch"] for r in mine)
+        assert all(abs(r["share"] - (r["position"] + 0.5) / len(mine)) < 1e-12 for r in mine)
+        for epoch in {r["epoch"] for r in mine}:
+            part = [r for r in mine if r["epoch"] == epoch]
+            blocks = [b for i, b in enumerate(r["block"] for r in part) if i == 0 or part[i - 1]["block"] != b]
+            assert len(blocks) == len(set(blocks))  # each block stands together
+            orders[s].append([r["doc_id"] for r in part])
+    first, second = orders["src3"][:2]
+    assert sorted(first) == sorted(second) and first != second and first != sorted(first)
+    # Any stretch in the order of share holds the sources in proportion.
+    mixed = [r["source"] for r in sorted(got, key=lambda r: (r["share"], r["source"]))]
+    draws = Counter(mixed)
+    for at in range(0, len(mixed) - 100, 50):
+        for s, n in Counter(mixed[at : at + 100]).items():
+            assert abs(n - 100 * draws[s] / len(mixed)) <= 2.5
+
+
+def test_many_rows_without_an_id(documents, prose):
+    rows = [(None, prose(i, 6), "a") for i in range(120)] + [(i, prose(i, 6), "b") for i in range(10)]
+    got = mixing.drawn_documents(documents(rows), mixing.Settings(entropy=0.5, budget=300)).collect()
+    a = [r for r in got if r["source"] == "a"]
+    assert sorted(r["position"] for r in a) == list(range(len(a))) and 20 < len(a) < 60
+    assert len({r["block"] for r in a}) > 1
