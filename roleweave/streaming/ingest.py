@@ -8,7 +8,8 @@ nothing.  Equality with the batch result needs files to arrive in arrival order.
 A batch does not read the whole history.  ``merge_every`` batches become a run, as many runs a
 run of the next level, so batch b needs fewer than ``merge_every`` runs of each level (the digits
 of b in that base) and a key is written once per level.  A run is dealt to buckets by key hash,
-about ``bucket_keys`` keys each, and a batch opens the buckets of its own keys only.
+about ``bucket_keys`` keys each, and a batch reads the buckets of its own keys only.  Buckets below
+``FOLDER_KEYS`` keys share a folder, so that small ones do not become a file each.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ from roleweave.operators.dedup import first_by_link, first_by_triple, posting_ke
 from roleweave.session import ensure_checkpoint_dir
 
 
+#: Keys that a folder of a run has at least on average.
+FOLDER_KEYS = 16_384
+
+
 @dataclass(frozen=True)
 class KeySettings:
     """Batches (then runs) per run, keys per bucket on average, and buckets a run has at most (a power of two)."""
@@ -92,32 +97,35 @@ class KeyTable:
                 return None
             raise
 
-    def _run(self, level: int, number: int, of: int, buckets: set[int] | None = None) -> DataFrame:
-        schema = StructType([*self.schema.fields]).add("bucket", IntegerType())
+    def _run(self, level: int, number: int, dealt: tuple[int, int | None], buckets: set[int] | None = None) -> DataFrame:
+        of, folders = dealt
+        schema = StructType([*self.schema.fields]).add("bucket", IntegerType()).add("folder", IntegerType())
         run = self.spark.read.schema(schema).parquet(self._run_path(level, number))
         wanted = None if buckets is None else {b % of for b in buckets}
         if wanted is not None and len(wanted) < of:
             run = run.where(F.col("bucket").isin(sorted(wanted)))
+            if folders is not None:  # runs of before have a folder per bucket
+                run = run.where(F.col("folder").isin(sorted({b % folders for b in wanted})))
         return run.select(self.key)
 
     def _run_path(self, level: int, number: int) -> str:
         return f"{self.path}_runs/level={level}/run={number}"
 
-    def _ensure(self, level: int, number: int) -> int:
-        """Buckets of a run, written first if it is not complete.
+    def _ensure(self, level: int, number: int) -> tuple[int, int | None]:
+        """Buckets and folders of a run, written first if it is not complete.
 
-        The note with the number of buckets is written last, so a run without one is written
+        The note with their numbers is written last, so a run without one is written
         again.  The content depends on earlier batches only: a replay finds or makes the same.
         """
         note = f"{self.path}_notes/level={level}/run={number}"
         try:
-            found = self.spark.read.schema("of int").parquet(note).first()
+            found = self.spark.read.schema("of int, folders int").parquet(note).first()
         except AnalysisException as e:
             if not _absent(e):
                 raise
             found = None
         if found is not None:
-            return found["of"]
+            return found["of"], found["folders"]
         every, most = self.settings.merge_every, self.settings.max_buckets
         children = range(number * every, (number + 1) * every)
         if level == 1:
@@ -126,18 +134,20 @@ class KeyTable:
             keys = reduce(DataFrame.unionAll, [self._run(level - 1, n, self._ensure(level - 1, n)) for n in children])
         if keys is None:
             keys = self.spark.createDataFrame([], self.schema)
-        of = 1
-        needed = keys.count() / self.settings.bucket_keys
-        while of < needed and of < most:
+        n, of = keys.count(), 1
+        while of < n / self.settings.bucket_keys and of < most:
             of *= 2
-        dealt = keys.withColumn("bucket", self._hash(of)).repartition("bucket")
-        writer = dealt.sortWithinPartitions("bucket", self.key).write.mode("overwrite")
-        if dealt.isEmpty():  # a partitioned write of no rows leaves no file to read a schema from
-            dealt.drop("bucket").write.mode("overwrite").parquet(f"{self._run_path(level, number)}/bucket=0")
+        folders = of
+        while folders > 1 and n < folders * FOLDER_KEYS:
+            folders //= 2
+        dealt = keys.withColumn("bucket", self._hash(of)).withColumn("folder", F.pmod("bucket", F.lit(folders))).repartition("folder")
+        if n == 0:  # a partitioned write of no rows leaves no file to read a schema from
+            dealt.drop("folder").write.mode("overwrite").parquet(f"{self._run_path(level, number)}/folder=0")
         else:
-            writer.partitionBy("bucket").parquet(self._run_path(level, number))
-        self.spark.createDataFrame([(of,)], "of int").coalesce(1).write.mode("overwrite").parquet(note)
-        return of
+            writer = dealt.sortWithinPartitions("folder", "bucket", self.key).write.mode("overwrite")
+            writer.partitionBy("folder").parquet(self._run_path(level, number))
+        self.spark.createDataFrame([(of, folders)], "of int, folders int").coalesce(1).write.mode("overwrite").parquet(note)
+        return of, folders
 
 
 def dedup_sink(

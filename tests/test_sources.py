@@ -173,6 +173,41 @@ def test_runs_hold_all_earlier_batches_and_a_batch_opens_its_buckets_only(spark,
     assert table.known(everything, 4).count() == 60
 
 
+def test_small_buckets_share_a_folder(spark, tmp_path):
+    schema = spark.range(0).selectExpr("cast(id as string) AS link_key").schema
+    table = I.KeyTable(spark, str(tmp_path / "links"), schema, I.KeySettings(merge_every=2, bucket_keys=4))
+    for batch in range(2):
+        table.add(spark.range(batch * 500, batch * 500 + 500).selectExpr("cast(id as string) AS link_key"), batch)
+    one = spark.createDataFrame([("5",)], "link_key string")
+    found = table.known(one, 2)
+    assert found.where("link_key = '5'").count() == 1 and found.count() < 50
+    assert len(list((tmp_path / "links_runs").rglob("*.parquet"))) <= 4
+
+
+def test_runs_with_a_folder_per_bucket_are_still_read(spark, tmp_path):
+    keys = spark.range(40).selectExpr("cast(id as string) AS link_key")
+    table = I.KeyTable(spark, str(tmp_path / "links"), keys.schema, I.KeySettings(merge_every=2, bucket_keys=4))
+    keys.withColumn("bucket", table._hash(16)).write.partitionBy("bucket").parquet(table._run_path(1, 0))
+    spark.createDataFrame([(16,)], "of int").write.parquet(str(tmp_path / "links_notes" / "level=1" / "run=0"))
+    one = spark.createDataFrame([("5",)], "link_key string")
+    found = table.known(one, 2)
+    assert found.where("link_key = '5'").count() == 1 and found.count() < 40
+    assert table.known(keys, 2).count() == 40
+
+
+def test_the_ingest_query_reads_a_file_or_a_folder(spark, tmp_path):
+    from workload.ingest import s11
+
+    rows = [(i, f"word{i % 5} and more", "src", "en", 10) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    docs.repartition(3).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "one").glob("*.parquet")).rename(tmp_path / "file" / "documents.parquet")
+    for name in ("folder", "file"):
+        assert sorted(r["posting_id"] for r in s11(spark, str(tmp_path / name)).collect()) == [0, 1, 2, 3, 4]
+
+
 def test_bounded_state_variant(spark, tmp_path):
     rows = [("2024-01-01 00:00:00", "u"), ("2024-01-01 00:10:00", "u"), ("2024-01-01 00:20:00", "v")]
     spark.createDataFrame(rows, "at string, job_link string").write.json(str(tmp_path / "in"))
