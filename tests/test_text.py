@@ -95,3 +95,9 @@ def test_display_name(one, term, want):
 
 def test_prefix(one):
     assert one(T.prefix(c, 3), x="abcdef") == "abc"
+
+
+def test_first_words_are_those_of_the_normalized_text(spark):
+    texts = [None, "", " ", "a", "  a", "a b c", "  a \tb\nc", "a\u00a0b c", "\x1c\x1dq", "ab  ", "\U0001f600 x y"]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select(T.first_words(F.col("t"), 2)).collect()
+    assert [r[0] for r in rows] == ["", "", "", "a", "a", "a b", "a b", "a b", "q", "ab", "\U0001f600 x"]

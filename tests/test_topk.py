@@ -1,6 +1,7 @@
 """The impact index against all pairs: equal results, little read, no table of all pairs."""
 
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -60,6 +61,15 @@ def test_light_entries_are_not_read(spark):
     assert found.count() <= 50 * 40  # of 50 * 2000 pairs that share a feature
 
 
+def test_pairs_are_not_shuffled_for_few_queries(spark):
+    docs, queries = _zipf(1, 30, 20, 5), _zipf(2, 5, 20, 4)
+    weights, asks = _tables(spark, docs, queries)
+    none = spark.createDataFrame([], "query long, threshold double")
+    found = K.candidates(K.build_index(weights, len(docs)), asks, none, 1e-9)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc#" in plan and not re.search(r"hashpartitioning\(query#\d+L?, doc#", plan)
+
+
 def test_no_documents_and_no_queries(spark):
     weights, asks = _tables(spark, {1: {"a": 1.0}}, {1: {"a": 1.0}})
     index = K.build_index(weights, 1)
