@@ -159,3 +159,16 @@ def test_choose_and_full_texts(spark):
     got = {r["posting_id"]: (r["used_full_desc"], r["scored_text"][0]) for r in R.choose_text(postings, pages).collect()}
     assert got == {1: (True, "p"), 2: (False, "x"), 3: (False, "x"), 4: (False, "y")}
     assert [r["posting_id"] for r in R.full_texts(postings, pages).collect()] == [1]
+
+
+def test_cosine_over_all_terms_shuffles_numbers_only(spark):
+    docs = spark.createDataFrame([(1, "red fox"), (1, "red sea"), (None, "fox"), (2, None)], "id long, text string").select(
+        "id", V.term_counts(F.col("text"), [], False).alias("terms")
+    )
+    query = spark.createDataFrame([("red red whale",)], "text string").select(V.term_counts(F.col("text"), [], False).alias("terms"))
+    found = V.cosine_to_query(docs, query, "id")
+    assert "hashpartitioning(term" not in found._jdf.queryExecution().toString()
+    # The rows of an id that comes twice are summed; the two words in two rows weigh less than the sea.
+    two, one = math.log(5 / 3) + 1, math.log(5 / 2) + 1
+    want = {1: 2 * two / math.sqrt(3 * two**2 + one**2), None: 0.0, 2: 0.0}
+    assert {r["id"]: r["similarity"] for r in found.collect()} == pytest.approx(want)
