@@ -128,3 +128,20 @@ def test_registries_need_no_session():
     """Names and statements can be listed before a session exists."""
     code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); from pyspark import SparkContext; assert SparkContext._active_spark_context is None"
     subprocess.run([sys.executable, "-W", "error::SyntaxWarning", "-c", code], check=True, cwd=Path(entry.__file__).parent)
+
+
+def test_a_search_makes_only_what_is_read(found, vocab, monkeypatch):
+    postings, profiles, extractor, results = found
+    written = []
+    monkeypatch.setattr(S, "staged", lambda df, name: written.append(name) or df)
+    parts = [["posting_id", "salary"], ["posting_id", "job_level_norm"], ["posting_id", "skill_score", "missing_skills"],
+             ["posting_id", "role_score"], ["posting_id", "few_skills", "industry"]]
+    wide = postings.withColumn("salary", F.col("posting_id") * 10.0)
+    for columns in parts:
+        part = S.search(wide, profiles, extractor, vocab, columns=columns)
+        assert part.columns == columns and not written
+        want = results.withColumn("salary", F.col("posting_id") * 10.0).select(*columns)
+        assert sorted(map(str, part.collect())) == sorted(map(str, want.collect()))
+    scored = S.search(wide, profiles, extractor, vocab, columns=["posting_id", "final_score"])
+    assert written == ["features"]
+    assert {r[0]: round(r[1], 9) for r in scored.collect()} == {r["posting_id"]: round(r["final_score"], 9) for r in results.collect()}
