@@ -153,3 +153,13 @@ def test_settings_tables_are_bounded(spark):
 
     with pytest.raises(ValueError, match="more than 9 rows"):
         bounded_rows(big, max_rows=9)
+
+
+def test_plain_words_are_their_own_canonical_form(spark, vocab):
+    terms = ["python", "plain", "plain\n", " plain", "Plain", "a", "x" * 40, "x" * 41, "https", "a/b", "citizen", "clearance", "éa", "aé",
+             "c++", "12345", "", None, "und", *vocab.aliases, *vocab.stop("generic"), *vocab.stop("location"), *vocab.stop("institution")]
+    df = spark.createDataFrame([(t,) for t in terms], "t string")
+    rows = df.select("t", K.plain_word(F.col("t"), vocab).alias("plain"), K.canonicalize(F.array("t"), vocab).alias("c")).collect()
+    assert all(r["c"] == [r["t"]] for r in rows if r["plain"])
+    assert {"python", "plain", "aé", "und"} <= {r["t"] for r in rows if r["plain"]}
+    assert not {"citizen", "plain\n", "https", "x" * 41} & {r["t"] for r in rows if r["plain"]}
