@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from roleweave.operators import joins as J
 from roleweave.operators import market as M
 from roleweave.operators import profiles as P
 from roleweave.operators import rank as W
@@ -172,3 +173,13 @@ def test_cosine_over_all_terms_shuffles_numbers_only(spark):
     two, one = math.log(5 / 3) + 1, math.log(5 / 2) + 1
     want = {1: 2 * two / math.sqrt(3 * two**2 + one**2), None: 0.0, 2: 0.0}
     assert {r["id"]: r["similarity"] for r in found.collect()} == pytest.approx(want)
+
+
+def test_parts_follow_the_bytes_of_a_scan(spark, tmp_path, monkeypatch):
+    spark.range(20_000).selectExpr("id", "id % 7 AS k").coalesce(1).write.parquet(str(tmp_path / "t"))
+    scan = spark.read.parquet(str(tmp_path / "t"))
+    size = J.estimated_bytes(scan)
+    assert J.dealt_by(scan, scan, "k") is scan
+    assert J.dealt_by(scan, scan, "id", part_bytes=size // 40).rdd.getNumPartitions() >= 40
+    monkeypatch.setattr(J, "SPREAD_BYTES", size // 40)
+    assert J.spread(scan).rdd.getNumPartitions() >= 40
