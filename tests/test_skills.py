@@ -1,3 +1,4 @@
+import itertools
 import re
 
 import pytest
@@ -163,3 +164,29 @@ def test_plain_words_are_their_own_canonical_form(spark, vocab):
     assert all(r["c"] == [r["t"]] for r in rows if r["plain"])
     assert {"python", "plain", "aé", "und"} <= {r["t"] for r in rows if r["plain"]}
     assert not {"citizen", "plain\n", "https", "x" * 41} & {r["t"] for r in rows if r["plain"]}
+
+
+def _letter_by_rule(letter: str, text: str) -> bool:
+    """The rule as stated: between separators in the text or in one of its trimmed chunks."""
+    strict = rf"(?:^|[,;:\s/(\[]){letter}(?:$|[,;:\s/)\]])"
+    return any(re.search(strict, s) for s in [text, *(c.strip(" ") for c in re.split("[.;•●○–—]", text))])
+
+
+def test_one_letter_skills_by_rule(spark):
+    parts = ["r", "R", " ", ",", ".", "(", "-", "–", "x"]
+    texts = ["".join(p) for n in range(1, 5) for p in itertools.product(parts, repeat=n)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    for words in (None, K.distinct_words(t)):
+        got = {r["t"]: r["s"] for r in rows.select("t", K.single_letter_hits(t, {"r": ["r"]}, words).alias("s")).collect()}
+        assert got == {x: ["r"] if _letter_by_rule("r", x) else [] for x in texts}
+
+
+def test_forms_of_several_words_between_edges(spark):
+    surfaces = {s: [s] for s in ("a b", "a.b", "b a b", "b", "ab a", "é a")}
+    texts = ["".join(p) for n in range(1, 6) for p in itertools.product(["a", "b", " ", ".", "é"], repeat=n)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    matcher, t = K.TextMatcher(surfaces), F.col("t")
+    want = {x: sorted(s for s in surfaces if re.search(rf"(?<!\w){re.escape(s)}(?!\w)", x)) for x in texts}
+    for hits in (matcher.in_text(t), matcher.in_text(t, K.distinct_words(t))):  # the second: words made once for several matchers
+        assert {r["t"]: sorted(r["s"]) for r in rows.select("t", hits.alias("s")).collect()} == want

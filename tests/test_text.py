@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -101,3 +102,20 @@ def test_first_words_are_those_of_the_normalized_text(spark):
     texts = [None, "", " ", "a", "  a", "a b c", "  a \tb\nc", "a\u00a0b c", "\x1c\x1dq", "ab  ", "\U0001f600 x y"]
     rows = spark.createDataFrame([(x,) for x in texts], "t string").select(T.first_words(F.col("t"), 2)).collect()
     assert [r[0] for r in rows] == ["", "", "", "a", "a", "a b", "a b", "a b", "q", "ab", "\U0001f600 x"]
+
+
+def test_runs_are_those_of_the_plain_classes(spark):
+    draw = random.Random(5)
+    signs = "a1é \t\n\x0b\x85\xa0\u1680\u2003\u2028\u3000|()[]{}:" + 12 * " "
+    texts = [("".join(draw.choices(signs, k=draw.randrange(12))),) for _ in range(3000)]
+    norm = F.trim(F.regexp_replace("x", f"{T.BLANK}+", " "))
+    match = F.trim(F.regexp_replace(F.lower("x"), rf"[{T._BLANKS}|()\[\]{{}}:]+", " "))
+    same = (T.normalize(c) == norm) & (T.match_text(c) == match)
+    assert spark.createDataFrame(texts, "x string").where(~same).count() == 0
+
+
+def test_single_spaces_are_not_replaced(one):
+    """They are most blanks of a text; replacing them copied it word by word."""
+    for runs in (T._BLANK_RUNS, T._MATCH_RUNS):
+        assert one(F.regexp_count(F.col("x"), F.lit(runs)), x="a b c d") == 0
+        assert one(F.regexp_count(F.col("x"), F.lit(runs)), x="a  b\tc d \n") == 3
