@@ -40,3 +40,9 @@ def test_explode_items_and_with_computed(spark):
     rows = A.explode_items(df, ["id"], F.col("xs"), "x").collect()
     assert sorted((r["id"], r["x"]) for r in rows) == [(1, "a"), (1, "b")]
     assert A.with_computed(df, {"n": F.size("xs")}).where("n = 0").count() == 1
+
+
+def test_run_counts_of_nothing(one):
+    assert one(A.run_counts(F.array().cast("array<string>"))) == []
+    assert one(A.run_counts(F.lit(None).cast("array<string>"))) == []
+    assert [tuple(r) for r in one(A.run_counts(F.col("x")), x=["b"])] == [("b", 1)]

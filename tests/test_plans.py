@@ -145,3 +145,8 @@ def test_a_search_makes_only_what_is_read(found, vocab, monkeypatch):
     scored = S.search(wide, profiles, extractor, vocab, columns=["posting_id", "final_score"])
     assert written == ["features"]
     assert {r[0]: round(r[1], 9) for r in scored.collect()} == {r["posting_id"]: round(r["final_score"], 9) for r in results.collect()}
+
+
+def test_the_best_ten_make_no_classes(spark, monkeypatch):
+    monkeypatch.setattr("roleweave.operators.classify.industry", lambda *_: F.raise_error(F.lit("not read")))
+    assert len(entry.queries()["plan_search_top"](spark, SF).collect()) == 10
