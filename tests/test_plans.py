@@ -147,6 +147,27 @@ def test_a_search_makes_only_what_is_read(found, vocab, monkeypatch):
     assert {r[0]: round(r[1], 9) for r in scored.collect()} == {r["posting_id"]: round(r["final_score"], 9) for r in results.collect()}
 
 
+def test_rescore_takes_only_pages_of_found_postings(found, spark, vocab):
+    """Links of dropped postings are not asked for, so their pages are not extracted."""
+    postings, profiles, extractor, _ = found
+    results = S.search(postings, profiles, extractor, vocab, columns=S.RESCORE_COLUMNS)
+    pages = spark.createDataFrame(
+        [(f"http://{x}", "SQL, Python, Spark, Kafka, AWS and more. " + "x" * 40) for x in ("c.example/6", "c.example/5")],
+        "job_link string, text string",
+    )
+    asked = []
+
+    def texts(wanted):
+        asked.extend(r["job_link"] for r in wanted.collect())
+        return pages.join(wanted, "job_link", "left_semi")
+
+    got = S.rescore(postings, results, texts, profiles, extractor, vocab)
+    want = S.rescore(postings, found[3], pages, profiles, extractor, vocab)
+    assert sorted(asked) == ["http://a.example/1", "http://b.example/3", "http://c.example/6"]
+    shown = ["posting_id", "used_full_desc", "expanded_job_skills", "matched_skills", "role_hits", "final_score", "few_skills"]
+    assert sorted(got.select(shown).collect()) == sorted(want.select(shown).collect())
+
+
 def test_the_best_ten_make_no_classes(spark, monkeypatch):
     monkeypatch.setattr("roleweave.operators.classify.industry", lambda *_: F.raise_error(F.lit("not read")))
     assert len(entry.queries()["plan_search_top"](spark, SF).collect()) == 10
