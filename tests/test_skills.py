@@ -190,3 +190,8 @@ def test_forms_of_several_words_between_edges(spark):
     want = {x: sorted(s for s in surfaces if re.search(rf"(?<!\w){re.escape(s)}(?!\w)", x)) for x in texts}
     for hits in (matcher.in_text(t), matcher.in_text(t, K.distinct_words(t))):  # the second: words made once for several matchers
         assert {r["t"]: sorted(r["s"]) for r in rows.select("t", hits.alias("s")).collect()} == want
+
+
+def test_no_text_has_no_hits(one):
+    """A null is a text without hits, not a null."""
+    assert one(K.TextMatcher({"a": ["a"], "a b": ["a b"]}).in_text(F.col("x")), x=None) == []
