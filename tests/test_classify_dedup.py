@@ -1,6 +1,9 @@
+import dataclasses
+
 import pytest
 from pyspark.sql import functions as F
 
+from roleweave.functions import text as T
 from roleweave.operators import classify as C
 from roleweave.operators import dedup as D
 from roleweave.operators import market as M
@@ -148,3 +151,24 @@ def test_losers_go_and_texts_are_not_shuffled(spark, monkeypatch, limit):
     executed = text_first._jdf.queryExecution().executedPlan().toString()
     assert ("Exchange hashpartitioning" in executed) == (not limit)
     assert D.deduplicate_postings(df.where("false")).count() == 0
+
+
+def test_phrases_without_blanks_need_no_normalized_text(spark, vocab, monkeypatch):
+    """Descriptions are normalized for phrases with blanks only; results are those of the normalized text."""
+    texts = ["a\tbad  offer", "bad\nOffer", "x Badword", "bad", "offer", None, "bad-offer", " bad\u2003offer "]
+    rows = spark.createDataFrame([(i, t, d) for i, (t, d) in enumerate((t, d) for t in texts for d in texts)], "i int, t string, d string")
+    normalize = T.normalize
+    for phrases in ({"badword", "offer x"}, {"bad offer", "badword"}, {"offer"}, {"bad-"}):
+        words = dataclasses.replace(vocab, quality={"text": sorted(phrases), "title": ["x bad"], "domain": []})
+        if not any(" " in p for p in phrases):
+            monkeypatch.setattr(T, "normalize", lambda c: F.raise_error(F.lit("normalized")) if "d" == str(c)[8:-2] else normalize(c))
+        flag = C.direct_employer(F.lit("https://a.example/"), F.col("d"), F.col("t"), words)
+        monkeypatch.undo()
+
+        def plain(t):
+            return " ".join((t or "").lower().split())
+
+        got = {r["i"]: r["f"] for r in rows.select("i", flag.alias("f")).collect()}
+        for r in rows.collect():
+            joint = plain(r["t"]) + " " + plain(r["d"])
+            assert got[r["i"]] == (not any(p in joint for p in phrases) and "x bad" not in plain(r["t"])), (r, phrases)
