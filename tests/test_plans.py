@@ -1,3 +1,4 @@
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from roleweave.operators import rank as W
+from roleweave.operators import topk
 from roleweave.operators.profiles import build_profiles
 from roleweave.operators.skills import SkillExtractor
 from roleweave.plans import search as S
@@ -124,6 +126,18 @@ def test_many_profiles_equal_one_at_a_time(found, spark, vocab):
     assert 1 in got and 4 not in got
 
 
+def test_many_pairs_are_not_sent_to_every_task(found, vocab, monkeypatch):
+    """Pairs beyond the measured bound are joined by shuffles, however small their file is."""
+    postings, profiles, extractor, _ = found
+    want = sorted(search_many(postings, profiles, extractor, vocab, 3).collect())
+    monkeypatch.setattr(topk, "SENT_BYTES", 0)
+    result = search_many(postings, profiles, extractor, vocab, 3)
+    plan = result._jdf.queryExecution().sparkPlan().toString()
+    joins = re.findall(r"(\w+Join) \[doc#\d+L?\], \[doc#\d+L?\], Inner", plan)
+    assert "SortMergeJoin" in joins  # of pairs and lists; the other one reads a table of documents
+    assert sorted(result.collect()) == want
+
+
 def test_registries_need_no_session():
     """Names and statements can be listed before a session exists."""
     code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); from pyspark import SparkContext; assert SparkContext._active_spark_context is None"
