@@ -175,6 +175,26 @@ def test_cosine_over_all_terms_shuffles_numbers_only(spark):
     assert {r["id"]: r["similarity"] for r in found.collect()} == pytest.approx(want)
 
 
+@pytest.mark.parametrize("hot", [1, 3, 10_000])
+def test_rows_of_a_term_shuffle_once_and_frequent_ones_not_at_all(spark, monkeypatch, hot):
+    monkeypatch.setattr(V, "HOT_KEYS", hot)
+    texts = {i: f"common {'often' if i % 2 else 'seldom'} pair{i // 2} own{i} own{i} red" if i % 5 else "common" for i in range(40)} | {40: None}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string").repartition(3).select("id", V.term_counts(F.col("text"), [], False).alias("terms"))
+    query = spark.createDataFrame([("red own3 pair3 whale common",)], "text string").select(V.term_counts(F.col("text"), [], False).alias("terms"))
+    found = V.cosine_to_query(docs, query, "id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(_a") == 1
+    counts = {i: {w: (t or "").split().count(w) for w in (t or "").split()} for i, t in texts.items()}
+    df = {w: sum(w in c for c in counts.values()) for c in counts.values() for w in c}
+    vector = lambda c: {w: tf * (math.log(42 / (df[w] + 1)) + 1) for w, tf in c.items() if w in df}
+    asked = vector(dict.fromkeys(["red", "own3", "pair3", "whale", "common"], 1))
+    length = lambda v: math.sqrt(sum(x * x for x in v.values())) or 1.0
+    want = {i: sum(x * asked.get(w, 0.0) for w, x in v.items()) / length(v) / length(asked) for i, v in ((i, vector(c)) for i, c in counts.items())}
+    assert {r["id"]: r["similarity"] for r in found.collect()} == pytest.approx(want)
+    assert V.cosine_to_query(docs.where("false"), query, "id").collect() == []
+    assert [r["similarity"] for r in V.cosine_to_query(docs.where("id = 40"), query, "id").collect()] == [0.0]
+
+
 def test_parts_follow_the_bytes_of_a_scan(spark, tmp_path, monkeypatch):
     spark.range(20_000).selectExpr("id", "id % 7 AS k").coalesce(1).write.parquet(str(tmp_path / "t"))
     scan = spark.read.parquet(str(tmp_path / "t"))
